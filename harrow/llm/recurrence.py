@@ -128,7 +128,8 @@ def _count_windows(bodies: DataFrame, unit: str, length: int) -> DataFrame:
 def recurring_spans(rows: DataFrame, unit: str, length: int, gram: int, resolve: Resolver, max_variants: int) -> DataFrame:
     """(doc_id, th, spans) of each document of ``keyed`` rows that has a recurring window."""
     runs = stage(rows.mapInArrow(_runs(unit, length, gram), _RUNS), "runs")
-    twice = runs.groupBy("anchor").count().filter("count >= 2").select("anchor")
+    # staged, so that the join reads two plain exchanges and a crowded anchor can be split
+    twice = stage(runs.groupBy("anchor").count().filter("count >= 2").select("anchor"), "twice")
     hits = stage(runs.join(twice, "anchor", "left_semi"), "hits")
     variants = stage(hits.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first", "geo")).alias("at")), "variants")
     wanted = variants.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("anchor", "region", "n", "at.first", "at.geo")).alias("want"))
