@@ -6,26 +6,87 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import interval_tree, phrase_automata
+from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that packing and id files are asked to use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.drop_repeated_phrases(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching_pack.pack(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_tree.drop_repeated_bytes(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix.mix_report(_documents(spark, sf_dir))
+
+
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_store.read_ids(spark, id_store.write_ids(_documents(spark, sf_dir), tokenizer_path()))
+
+
+def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.dedup_report(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_join.jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return rff_quality.score(docs, rff_quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_pareto_mix": op4_pareto_mix,
+    "op5_token_id_files": op5_token_id_files,
+    "op6_ivfpq_search": op6_ivfpq_search,
+    "op7_toxicity": op7_toxicity,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+#: Exact dedup, in DuckDB SQL.
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+             g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+        FROM t JOIN g USING (norm)
+    """,
+}
