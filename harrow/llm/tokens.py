@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,44 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept with their ids in a worker; beyond it the memory starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Letters up to here have the same classes in every version of Unicode.
+_SETTLED = "\u024f"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves; the others, in order, for the
+    code points from 256 on.
+    """
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """ids, as bytes, of words after a blank (or, with ``blank`` empty, without one).
+
+    The value of a word that cannot be encoded on its own is None.
+    """
+
+    def __init__(self, owner: Encoder, blank: str):
+        self.owner, self.blank = owner, blank
+
+    def __missing__(self, word: str) -> bytes | None:
+        core = word.rstrip(".,")
+        if core.isalpha() and (core.isascii() or max(core) <= _SETTLED):
+            # letters, and what follows them, are parts of their own
+            value = self.owner.part(self.blank + core)
+            if len(core) < len(word):
+                value += self.owner.part(word[len(core) :])
+        elif not word or word[0].isspace() or word[-1].isspace():
+            value = None
+        else:
+            value = self.owner.word(self.blank + word)
+        self[word] = value
+        return value
 
 
 class Encoder:
@@ -23,43 +61,52 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, whole = [], []
-        for i, text in enumerate(texts):
-            words = text.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
-            if plain(words):
-                split.append((i, words))
-            else:
-                whole.append(i)
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        fresh = list({w for _, words in split for w in words}.difference(self.words))
-        for k in range(0, len(fresh), 20_000):
-            self.words.update(zip(fresh[k : k + 20_000], self._encode(fresh[k : k + 20_000]), strict=True))
-        out: list[bytes] = [b""] * len(texts)
-        get = self.words.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        return out
-
-
-def plain(words: list[str]) -> bool:
-    """Do no two white-space characters meet at a blank?  words: all but the first begin with it."""
-    if words[0] == "" or words[0][-1].isspace():
-        return len(words) == 1 and words[0] == ""
-    return not any(len(w) < 2 or w[1].isspace() or w[-1].isspace() for w in words[1:])
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # the words kept here are never asked for again
+        self.tokenize = model.tokenize
+        self.letters = byte_letters()
+        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.kept: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.first, self.later, self.kept = _Words(self, ""), _Words(self, " "), {}
+
+    def part(self, part: str) -> bytes:
+        try:
+            return self.kept[part]
+        except KeyError:
+            tokens = self.tokenize(part.encode().decode("latin-1").translate(self.letters))
+            ids = self.kept[part] = array("I", [t.id for t in tokens]).tobytes()
+            return ids
+
+    def word(self, word: str) -> bytes:
+        if max(word) > _SETTLED:
+            return self.whole(word)
+        parts = self.parts(word)
+        return self.part(word) if len(parts) == 1 else b"".join(map(self.part, parts))
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if len(self.later) > KEPT_WORDS:
+            self.forget()
+        words = text.split(" ")
+        first = self.first[words[0]]
+        if first is not None:
+            try:
+                return first + b"".join(map(self.later.__getitem__, words[1:]))
+            except TypeError:  # blanks that stand beside white space
+                pass
+        return self.whole(text)
 
 
 @functools.cache
@@ -80,5 +127,5 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text",
         while lo < len(texts):
             used = reach[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(reach, used + limit, side="right")))
-            yield batch.slice(lo, hi - lo), enc.encode(texts.slice(lo, hi - lo).to_pylist())
+            yield batch.slice(lo, hi - lo), [enc.encode(t.as_py()) for t in texts.slice(lo, hi - lo)]
             lo = hi
