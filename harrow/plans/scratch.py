@@ -11,11 +11,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harrow.plans.ship import ship
+
 _ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application's own, below the shared one."""
+    ship(spark)
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
