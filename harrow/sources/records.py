@@ -84,13 +84,13 @@ def load_cases(folder: str) -> list[dict]:
 
 def session_events(spark: SparkSession, path: str) -> DataFrame:
     """(session, ord, type, data) of session logs; the first line of a log is its header."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", "\n")).alias("ord", "line")).filter(F.trim("line") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", "\n")).alias("ord", "line")).filter(F.trim("line") != "")
     event = F.from_json("line", "type string, data string", {"mode": "FAILFAST"})
     return lines.filter("ord > 0").select("session", "ord", event.alias("e")).select("session", "ord", "e.type", "e.data")
 
 
 def session_headers(spark: SparkSession, path: str) -> DataFrame:
-    first = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("session"), F.substring_index("value", "\n", 1).alias("line"))
+    first = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.substring_index("value", "\n", 1).alias("line"))
     return first.select("session", F.from_json("line", "version string, id string, parentSession string").alias("h")).select("session", "h.*")
 
 
