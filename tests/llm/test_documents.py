@@ -89,7 +89,7 @@ def brute_components(rows):
     return sorted((str(d), len(sets[i]), str(least.get(find(i)))) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,budget", [(1, 1.0), (2, 0.0), (3, 1e9)])
+@pytest.mark.parametrize("seed,budget", [(1, 0.05), (2, 0.0), (3, 1e9)])
 def test_jaccard_join(spark, seed, budget, monkeypatch):
     from harrow.llm import vertical_join
 
