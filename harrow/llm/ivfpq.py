@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by largest inner product.
 
 An inverted file of coarse centroids; inside a list, vectors are held as
-product-quantised residuals.  A query probes its best lists: its inner products
-with the codewords of every subspace are tabulated once (the asymmetric tables), a
-row's estimate is a sum of table entries, and the best estimates are reranked by
-exact inner products in double precision.
+product-quantised residuals, each a length and the codes of its direction, so that
+rows close to their centroid are told apart as well as rows far from it.  A query
+probes its best lists: its inner products with the codewords of every subspace are
+tabulated once (the asymmetric tables), a row's estimate is a sum of table entries,
+and the best estimates are reranked by exact inner products in double precision.
 
 Centroids and codebooks are fitted on a bounded sample; every row is indexed.  How
 many lists a query must probe depends on the data: it is read off the sample, whose
@@ -27,15 +28,15 @@ from harrow.plans.scratch import stage
 
 #: Rows that centroids and codebooks are fitted on.
 SAMPLE_ROWS = 16_384
-SUBSPACES = 16
+SUBSPACES = 32
 CODEWORDS = 64
 #: Lists: the root of the number of rows over 4, within these bounds.
 LISTS = (4, 1024)
 BLOCK_ROWS = 4_096
 #: Exact reranking of so many best estimates of a query in each block.
-RERANK = 120
+RERANK = 320
 #: Share of the sample's true neighbours that the probed lists must hold.
-COVER = 0.97
+COVER = 0.98
 SAMPLE_QUERIES = 256
 TURNS = 10
 SEED = 11
@@ -54,9 +55,11 @@ class Index:
     def assign(self, x: np.ndarray) -> np.ndarray:
         return nearest(x, self.centroids)
 
-    def encode(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rest = self.split(x - self.centroids[at])
-        return np.stack([nearest(rest[:, m], self.codebooks[m]) for m in range(len(self.codebooks))], axis=1).astype(np.uint8)
+    def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the residuals and codes of their directions."""
+        length, rest = polar(x - self.centroids[at])
+        rest = self.split(rest)
+        return length, np.stack([nearest(rest[:, m], self.codebooks[m]) for m in range(len(self.codebooks))], axis=1).astype(np.uint8)
 
     def split(self, x: np.ndarray) -> np.ndarray:
         m, _, width = self.codebooks.shape
@@ -69,6 +72,11 @@ class Index:
         return np.einsum("qmw,mcw->qmc", self.split(queries), self.codebooks, optimize=True)
 
 
+def polar(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.sqrt((x**2).sum(axis=1))
+    return length.astype(np.float32), x / np.where(length > 0, length, 1)[:, None]
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Nearest centre by Euclidean distance, in slices."""
     half = (centres**2).sum(axis=1) / 2
@@ -97,7 +105,7 @@ def fit(sample: np.ndarray, total: int, k: int) -> Index:
     m = min(SUBSPACES, dim)
     width = -(-dim // m)
     index = Index(centroids, np.zeros((m, 1, width), np.float32), 1)
-    rest = index.split(sample - centroids[index.assign(sample)])
+    rest = index.split(polar(sample - centroids[index.assign(sample)])[1])
     books = np.stack([kmeans(np.ascontiguousarray(rest[:, j]), CODEWORDS, rng) for j in range(m)])
     # lists that hold the true neighbours of sample queries, in the order a query probes
     asked = rng.choice(len(sample), min(SAMPLE_QUERIES, len(sample)), replace=False)
@@ -136,8 +144,8 @@ def _index_rows(index: Index):
         for batch in batches:
             x = _vectors(batch.column("v"), index.dim)
             at = index.assign(x)
-            codes = index.encode(x, at)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "code"])
+            length, codes = index.encode(x, at)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at.astype(np.int32)), pa.array(length), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "length", "code"])
 
     return add
 
@@ -170,16 +178,17 @@ def _search(index: Index, k: int, rerank: int):
         rows = rows.sort_values("vec_id", kind="stable")
         x = np.frombuffer(b"".join(rows["v"]), np.float32).reshape(len(rows), -1)
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        ids = rows["vec_id"].to_numpy()
+        ids, length = rows["vec_id"].to_numpy(), rows["length"].to_numpy()
         base = index.centroids[int(rows["list"].iloc[0])]
         found = []
-        for lo in range(0, len(probes), 256):
-            part = probes.iloc[lo : lo + 256]
+        for lo in range(0, len(probes), 64):
+            part = probes.iloc[lo : lo + 64]
             q = np.frombuffer(b"".join(part["q"]), np.float32).reshape(len(part), -1)
             tables = index.tables(q)
-            estimate = np.repeat((q @ base)[:, None], len(rows), axis=1)
+            estimate = np.zeros((len(part), len(rows)), np.float32)
             for m in range(codes.shape[1]):
                 estimate += tables[:, m, codes[:, m]]
+            estimate = estimate * length + (q @ base)[:, None]
             asker = part["query_id"].to_numpy()
             estimate[asker[:, None] == ids[None, :]] = -np.inf
             best = np.argsort(-estimate, axis=1, kind="stable")[:, :rerank]
@@ -226,7 +235,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str =
     index = build(packed, k)
     if index is None:
         return spark.createDataFrame([], schema)
-    rows = stage(packed.mapInArrow(_index_rows(index), "vec_id long, v binary, list int, code binary"), "index")
+    rows = stage(packed.mapInArrow(_index_rows(index), "vec_id long, v binary, list int, length float, code binary"), "index")
     # one row for each list, of which there are at most LISTS[1]
     blocks = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     dealt = rows.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
