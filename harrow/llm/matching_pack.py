@@ -182,5 +182,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     counts = stage(counts.withColumn("before", before), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table, _ = deals(solve(histogram, capacity))
-    dealt = pieces.join(counts.drop("n"), ["block", "length"]).withColumn("ordinal", F.col("before") + F.col("nth"))
+    dealt = pieces.join(counts.drop("n").hint("merge"), ["block", "length"]).withColumn("ordinal", F.col("before") + F.col("nth"))
     return dealt.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

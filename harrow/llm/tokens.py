@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept with their ids in a worker; beyond it the memory starts afresh.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: Letters up to here have the same classes in every version of Unicode.
 _SETTLED = "\u024f"
 
@@ -40,9 +40,7 @@ class _Words(dict):
         core = word.rstrip(".,")
         if core.isalpha() and (core.isascii() or max(core) <= _SETTLED):
             # letters, and what follows them, are parts of their own
-            value = self.owner.part(self.blank + core)
-            if len(core) < len(word):
-                value += self.owner.part(word[len(core) :])
+            value = self.owner.ids(self.blank + core) if core == word else self[core] + self.owner.part(word[len(core) :])
         elif not word or word[0].isspace() or word[-1].isspace():
             value = None
         else:
@@ -79,25 +77,26 @@ class Encoder:
     def forget(self) -> None:
         self.first, self.later, self.kept = _Words(self, ""), _Words(self, " "), {}
 
+    def ids(self, part: str) -> bytes:
+        tokens = self.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def part(self, part: str) -> bytes:
-        try:
-            return self.kept[part]
-        except KeyError:
-            tokens = self.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            ids = self.kept[part] = array("I", [t.id for t in tokens]).tobytes()
-            return ids
+        found = self.kept.get(part)
+        if found is None:
+            found = self.kept[part] = self.ids(part)
+        return found
 
     def word(self, word: str) -> bytes:
         if max(word) > _SETTLED:
             return self.whole(word)
-        parts = self.parts(word)
-        return self.part(word) if len(parts) == 1 else b"".join(map(self.part, parts))
+        return b"".join(map(self.part, self.parts(word)))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self.later) > KEPT_WORDS:
+        if len(self.later) + len(self.kept) > KEPT_WORDS:
             self.forget()
         words = text.split(" ")
         first = self.first[words[0]]
