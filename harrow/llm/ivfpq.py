@@ -166,7 +166,17 @@ def _probe(index: Index):
 
 def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of matching rows, in double precision and one order of addition."""
-    return (queries.astype(np.float64) * rows.astype(np.float64)).sum(axis=-1)
+    return (queries.astype(np.float64, copy=False) * rows.astype(np.float64, copy=False)).sum(axis=-1)
+
+
+def leading(estimate: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of each row, in no order; of equals, the first places."""
+    n = estimate.shape[1]
+    if n <= k:
+        return np.broadcast_to(np.arange(n), estimate.shape)
+    bits = np.ascontiguousarray(estimate, np.float32).view(np.int32)
+    ordered = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64)  # integers in the order of the floats
+    return np.argpartition(ordered * -n + np.arange(n), k - 1, axis=1)[:, :k]
 
 
 def _search(index: Index, k: int, rerank: int):
@@ -176,7 +186,7 @@ def _search(index: Index, k: int, rerank: int):
         if not len(rows) or not len(probes):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         rows = rows.sort_values("vec_id", kind="stable")
-        x = np.frombuffer(b"".join(rows["v"]), np.float32).reshape(len(rows), -1)
+        x = np.frombuffer(b"".join(rows["v"]), np.float32).reshape(len(rows), -1).astype(np.float64)
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         ids, length = rows["vec_id"].to_numpy(), rows["length"].to_numpy()
         base = index.centroids[int(rows["list"].iloc[0])]
@@ -187,11 +197,11 @@ def _search(index: Index, k: int, rerank: int):
             tables = index.tables(q)
             estimate = np.zeros((len(part), len(rows)), np.float32)
             for m in range(codes.shape[1]):
-                estimate += tables[:, m, codes[:, m]]
+                estimate += np.take(tables[:, m], codes[:, m], axis=1)
             estimate = estimate * length + (q @ base)[:, None]
             asker = part["query_id"].to_numpy()
             estimate[asker[:, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-estimate, axis=1, kind="stable")[:, :rerank]
+            best = leading(estimate, rerank)
             score = exact(q[:, None, :], x[best])
             score[asker[:, None] == ids[best]] = -np.inf
             order = np.lexsort((best, -score), axis=1)[:, :k]

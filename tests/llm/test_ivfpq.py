@@ -1,6 +1,6 @@
 import numpy as np
 
-from harrow.llm.ivfpq import brute_force, exact, search
+from harrow.llm.ivfpq import brute_force, exact, leading, search
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank int"
 
@@ -33,3 +33,11 @@ def test_few_and_none(spark):
     got = search(spark.createDataFrame(few, SCHEMA)).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_leading_prefers_first_places():
+    rng = np.random.default_rng(0)
+    x = rng.integers(-3, 4, (50, 40)).astype(np.float32) / 3
+    x[:, 5] = -np.inf
+    want = np.sort(np.argsort(-x, axis=1, kind="stable")[:, :11], axis=1)
+    assert (np.sort(leading(x, 11), axis=1) == want).all()
