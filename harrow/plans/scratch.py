@@ -6,6 +6,7 @@ any executor.  The folder is removed when the JVM that made it ends.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,8 +25,9 @@ def shared_root(spark: SparkSession) -> str:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="harrow-")
+                base = spark.conf.get("spark.sql.warehouse.dir")  # shared, unlike a temporary folder
+            else:
+                base = tempfile.mkdtemp(prefix="harrow-")
         root = f"{base.rstrip('/')}/harrow-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(root)
@@ -44,10 +46,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def drop(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = table.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._staged_at)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is staged by now.
+
+    It does so when the driver's JVM collects its garbage, which may take long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
