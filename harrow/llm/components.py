@@ -36,6 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stage(edges.filter("a != b").select("a", "b").distinct(), "links")
     before = None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     while True:
         now = stage(_small(_large(now)), "stars")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -2,10 +2,10 @@
 
 The n-grams of all documents have one global order, that of their hashes, which is
 cut into fragments.  For sizes that can meet, a threshold allows a pair at most D
-n-grams of difference; cut into D + 1 fragments, one fragment at least is the same
-on both sides, so pairs that share no whole fragment are never looked at.  For the
+n-grams of difference; cut into more than D fragments, some are the same on both
+sides, so pairs that share no whole fragment are never looked at.  For the
 candidates, the overlap inside each of ``COUNTED`` coarser fragments is counted
-separately and summed per pair.
+separately and summed per pair; what differs in the first ones rules most out.
 
 Documents with equal sets are one class from the start.  Inside a group that shares
 a fragment, classes are not paired each with each: one centre at a time is compared
@@ -17,6 +17,7 @@ is not needed and not counted; every pair that could connect two components is.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,29 +27,43 @@ from pyspark.sql import functions as F
 
 from harrow.llm import kernels
 from harrow.llm.components import components
-from harrow.plans.scratch import stage
+from harrow.plans.scratch import drop, stage, tidy
 
 #: Fragments in which overlaps are counted.
 COUNTED = 8
-#: Unconnected pairs are compared outright when there are at most so many for each row.
-PAIRS_PER_ROW = 1.0
-MOST_ROUNDS = 8
+#: A set's outline is drawn from so many of them.
+FIRST = 2
+#: Unconnected pairs are compared outright when at most so many are left for each row at first, or after so many rounds.
+PAIRS_PER_ROW = 0.25
+MOST_ROUNDS = 6
+#: Centres of a group that are compared with the rest in one round.
+CENTRES = 6
 _U = np.uint64
 
 
 class Levels:
-    """Ranges of set sizes; a pair's sizes lie in one range or in two that follow."""
+    """Ranges of set sizes; a pair's sizes lie in one range or in two that follow.
+
+    A pair at a level differs by ``differ`` grams at most, counting both sides.  Cut
+    into more fragments than that, it has equal ones.  ``spare`` more fragments make
+    up for light ones, of one gram or none, which too many documents have alike: a set
+    with at most ``spare`` light fragments need not show them, since a pair has
+    more than that many equal fragments if one of the two has no more light ones.
+    """
 
     def __init__(self, parts: int, whole: int):
         self.parts, self.whole = parts, whole
-        self.ends, self.fragments = [0], [0]
+        self.ends, self.differ, self.spare = [0], [0], [0]
+        grams = (whole + parts) / (2 * (whole - parts))  # in a fragment, on average
+        self.light = 1.5 * (1 + grams) * math.exp(-grams)
 
     def _grow(self) -> None:
         low = self.ends[-1] + 1
         high = low * self.whole // self.parts
         differ = (high + high * self.whole // self.parts) * (self.whole - self.parts) // (self.whole + self.parts)
         self.ends.append(high)
-        self.fragments.append(differ + 1)
+        self.differ.append(differ)
+        self.spare.append(math.ceil(self.light * (differ + 1)))
 
     def of(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -62,20 +77,38 @@ def fragment_edges(grams: np.ndarray, fragments: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(grams, cut), [len(grams)]])
 
 
+#: Sets that differ by no more grams than this are found by leaving grams out.
+FEW = 2
+
+
+def without_few(mixed: np.ndarray) -> np.ndarray:
+    """Hashes of a set, and of it without any one gram and any two.
+
+    Two sets that differ by two grams at most have one of these in common.
+    """
+    one = mixed.sum(dtype=_U) - mixed
+    i, j = np.triu_indices(len(mixed), 1)
+    return np.concatenate([[mixed.sum(dtype=_U)], one, one[i] - mixed[j]])
+
+
 def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
-    """A hash of each whole fragment, at the level of the set's size and the one below."""
+    """Hashes of which a pair near enough shares one, for the level of the set's size and the one below."""
     if not len(grams):
         return grams
+    mixed = kernels.mix(grams)
     sums = np.zeros(len(grams) + 1, _U)
-    np.cumsum(kernels.mix(grams), out=sums[1:])
+    np.cumsum(mixed, out=sums[1:])
     level, out = levels.of(len(grams)), []
+    if any(0 < levels.differ[j] <= FEW for j in (level, level - 1)):
+        out.append(kernels.mix(without_few(mixed) + _U(1)))
     for j in (level, level - 1):
-        k = levels.fragments[j]
-        if k > 1:  # else only equal sets are near enough
+        if levels.differ[j] > FEW:
+            k = levels.differ[j] + 1 + levels.spare[j]
             edges = fragment_edges(grams, k)
-            own = sums[edges[1:]] - sums[edges[:-1]]
-            out.append(kernels.mix(own + kernels.mix(np.arange(k, dtype=_U) + _U(j << 32))))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+            marks = kernels.mix(sums[edges[1:]] - sums[edges[:-1]] + kernels.mix(np.arange(k, dtype=_U) + _U(j << 32)))
+            full = np.diff(edges) > 1
+            out.append(marks[full] if k - full.sum() <= levels.spare[j] else marks)
+    return np.concatenate(out) if out else grams[:0]
 
 
 def gram_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -118,19 +151,24 @@ def _scan(width: int, parts: int, whole: int):
 
 
 def _fragments(width: int):
+    """Grams of each set by fragment; and, as fragment -1, its outline.
+
+    The outline is the 16-bit prints of the grams in the first ``FIRST`` fragments, each
+    once; ``m`` is how many grams those are.  For other rows ``m`` is the size of the set.
+    """
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in kernels.pieces(batch.column("text")):
-                nodes, numbers, grams = [], [], []
+                rows: list[tuple] = []
                 for node, g in zip(batch.column("node").slice(lo, hi - lo).to_pylist(), gram_sets(raw, offsets, width), strict=True):
                     edges = fragment_edges(g, COUNTED)
-                    for f in range(COUNTED):
-                        if edges[f] < edges[f + 1]:
-                            nodes.append(node)
-                            numbers.append(f)
-                            grams.append(g[edges[f] : edges[f + 1]].view(np.int64))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "fragment", "grams"])
+                    head = g[: edges[FIRST]]
+                    rows.append((node, -1, len(head), None, np.unique(head.astype(np.uint16)).view(np.int16)))
+                    rows += [(node, f, len(g), g[edges[f] : edges[f + 1]].view(np.int64), None) for f in range(COUNTED) if edges[f] < edges[f + 1]]
+                if rows:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int16())), strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["node", "fragment", "m", "grams", "prints"])
 
     return cut
 
@@ -139,39 +177,83 @@ def _linked(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, parts: int
     """The pairs (a, b) that reach the threshold: overlaps by fragment, summed per pair."""
     na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
     pairs = pairs.join(na, "a").join(nb, "b").filter((F.least("na", "nb") * whole) >= F.greatest("na", "nb") * parts)
-    left = fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
-    both = counted.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # Prints of different grams may be equal, so an outline overlaps by at most the prints
+    # in common and the fewer of both sides' grams without a print of their own.  If the
+    # outlines alone differ by more than the whole pair may, that is the end of it.
+    outline = fragments.filter("fragment = -1")
+    oa = outline.select(F.col("node").alias("a"), F.col("m").alias("ma"), F.col("prints").alias("pa"))
+    ob = outline.select(F.col("node").alias("b"), F.col("m").alias("mb"), F.col("prints").alias("pb"))
+    most = F.size(F.array_intersect("pa", "pb")) + F.least(F.col("ma") - F.size("pa"), F.col("mb") - F.size("pb"))
+    room = (F.col("na") + F.col("nb")) * (whole - parts)
+    near = pairs.join(oa, "a").join(ob, "b").filter((F.col("ma") + F.col("mb") - 2 * most) * (whole + parts) <= room)
+    near = stage(near.select("a", "b", "na", "nb"), "near")
+    left = fragments.filter("fragment >= 0").select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
+    right = fragments.filter("fragment >= 0").select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
+    counted = near.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
+    both = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     return both.filter(F.col("k") * whole >= (F.col("na") + F.col("nb") - F.col("k")) * parts).select("a", "b")
 
 
 def _connect(marked: DataFrame, fragments: DataFrame, sizes: DataFrame, parts: int, whole: int) -> DataFrame | None:
-    """(node, label) of nodes that are linked with others; marked: (mark, node)."""
-    links = labels = None
+    """(node, label) of all marked nodes; marked: (mark, node).
+
+    Labels only join what is known to be connected, so they may be finer than the
+    components until the end; that costs comparisons and loses none.
+    """
+    # A node in large groups is like what the group has in common: the text that others are copies of.
+    sizes_ = marked.groupBy("mark").agg(F.count("*").alias("k"))
+    liked = marked.join(sizes_, "mark").groupBy("node").agg(F.sum("k").alias("like"))
+    labels, links = stage(liked.withColumn("label", F.col("node")), "labels"), []
+    first, opened = 0, None
     for turn in range(MOST_ROUNDS + 1):
-        rows = marked.withColumn("label", F.col("node"))
-        if labels is not None:
-            rows = marked.join(labels, "node", "left").select("mark", "node", F.coalesce("label", "node").alias("label"))
-        own = rows.groupBy("mark", "label").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("centre"))
-        groups = own.groupBy("mark").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"), F.min("centre").alias("centre"))
-        groups = groups.filter("labels > 1").select("mark", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("cross"), "centre")
-        marked = stage(rows.join(groups, "mark").select("mark", "node", "label", "centre", "cross", "all"), "open")
-        seen = marked.agg(F.count("*"), F.sum(F.col("cross") / F.col("all"))).first()
+        # the most alike is the one centre at first, when most groups are near copies; then others as well
+        seeds = range(CENTRES if turn else 1)
+        rows = marked.join(labels, "node")
+        own = rows.groupBy("mark", "label").agg(F.count("*").alias("k"), F.max(F.struct("like", "node")).alias("best")).select("mark", "label", "k", "best.*")
+        by = lambda i: F.xxhash64("label", F.lit(turn), F.lit(i)) if i else -F.col("like")  # noqa: B023, E731
+        centres = [F.min(F.struct(by(i).alias("h"), "node", "label")).alias(f"c{i}") for i in seeds]
+        groups = own.groupBy("mark").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"), *centres)
+        groups = groups.filter("labels > 1").select("mark", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("cross"), F.array(*[F.struct(f"c{i}.node", f"c{i}.label") for i in seeds]).alias("centres"))
+        before, opened = opened, stage(rows.join(groups, "mark").select("mark", "node", "label", "centres", "cross", "all"), "open")
+        if before is not None:
+            drop(before)
+        seen = opened.agg(F.count("*"), F.sum(F.col("cross") / F.col("all"))).first()
         if not seen[0]:
-            return labels
-        last = turn == MOST_ROUNDS or seen[1] <= PAIRS_PER_ROW * seen[0]
+            break
+        first = first or seen[0]
+        last = turn == MOST_ROUNDS or seen[1] <= PAIRS_PER_ROW * first
         if last:
-            other = marked.select("mark", F.col("node").alias("b"), F.col("label").alias("other"))
-            met = marked.join(other, "mark").filter("node < b and label != other").select(F.col("node").alias("a"), "b")
+            other = opened.select("mark", F.col("node").alias("b"), F.col("label").alias("to"))
+            met = opened.join(other, "mark").filter("node < b and label != to").select(F.col("node").alias("a"), "b", "label", "to")
         else:
-            met = marked.filter("label != centre.label").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
-        found = _linked(met.distinct(), fragments, sizes, parts, whole)
-        links = stage(found if links is None else links.unionByName(found).distinct(), "links")
-        labels = components(links)
+            met = opened.select(F.col("node").alias("a"), "label", F.explode("centres").alias("c")).select("a", F.col("c.node").alias("b"), "label", F.col("c.label").alias("to")).filter("label != to")
+        pairs = met.distinct()
+        found = stage(pairs.join(_linked(pairs.select("a", "b"), fragments, sizes, parts, whole), ["a", "b"]).select("label", "to").distinct(), "links")
+        links.append(found)
+        tidy(found.sparkSession)
         if last:
-            return labels
-        marked = marked.select("mark", "node")
+            break
+        # each label joins, of those it linked with and that rank before it, the first; ranks fall along the way
+        rank = lambda c: F.xxhash64(c, F.lit(turn), F.lit(-1))  # noqa: B023, E731
+        falls = rank("to") < rank("label")
+        down = found.select(F.when(falls, F.col("label")).otherwise(F.col("to")).alias("label"), F.when(falls, F.col("to")).otherwise(F.col("label")).alias("to"))
+        up = down.groupBy("label").agg(F.min_by("to", rank("to")).alias("up"))
+        for _ in range(2):
+            over = up.select(F.col("label").alias("up"), F.col("up").alias("over"))
+            up = up.join(over, "up", "left").select("label", F.coalesce("over", "up").alias("up"))
+        labels = stage(labels.join(up, "label", "left").select("node", "like", F.coalesce("up", "label").alias("label")), "labels")
+        # a centre has met every other label of its group, so its turn there is over
+        marked = opened.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).select("mark", "node")
+    if not links:
+        return None
+    # a label is the name of a node its group is connected to, and stays so; what the turns
+    # linked is therefore one graph over names
+    edges = links[0]
+    for found in links[1:]:
+        edges = edges.unionByName(found)
+    joined = components(edges.select(F.col("label").alias("a"), F.col("to").alias("b")))
+    joined = joined.select(F.col("label").alias("root"), F.col("node").alias("label"))
+    return labels.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, parts: int = 90, whole: int = 100) -> DataFrame:
@@ -185,18 +267,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     sets = rows.mapInArrow(_scan(width, parts, whole), "doc_id long, th int, n long, digest binary, marks array<long>").withColumn("uid", F.monotonically_increasing_id())
-    sets = stage(sets, "sets")
+    wide = stage(sets, "signed-sets")
+    sets = stage(wide.drop("marks"), "sets")
+    spark = docs.sparkSession
+    tidy(spark)
     some = sets.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    marks = some.select("uid", F.explode("marks").alias("mark"))
+    marks = wide.filter("n > 0").select("uid", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min(F.hash("uid")).alias("x"), F.max(F.hash("uid")).alias("y")).filter("x != y").select("mark")
     member = some.select("uid", "digest").join(classes.select("digest", "node"), "digest").select("uid", "node")
     marked = marks.join(shared.hint("shuffle_hash"), "mark", "left_semi").join(member, "uid").select("mark", "node").distinct()
     marked = stage(marked, "marked")
+    drop(wide)
+    tidy(spark)
     nodes = marked.select("node").distinct()
     texts = sets.join(nodes, sets["uid"] == nodes["node"]).select("node", "doc_id", "th")
     texts = rows.join(texts, rows["doc_id"].eqNullSafe(texts["doc_id"]) & (rows["th"] == texts["th"])).select("node", "text")
-    fragments = stage(texts.mapInArrow(_fragments(width), "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"]), "fragments")
+    fragments = stage(texts.mapInArrow(_fragments(width), "node long, fragment int, m int, grams array<long>, prints array<smallint>").dropDuplicates(["node", "fragment"]), "fragments")
+    tidy(spark)
     labels = _connect(marked, fragments, classes.select("node", "n"), parts, whole)
     if labels is not None:
         named = classes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))

@@ -5,11 +5,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from harrow.llm.chunk_recipes import dedup, dedup_report
 from harrow.llm.components import components
-from harrow.llm.vertical_join import Levels, jaccard_components, one_of_each
+from harrow.llm.vertical_join import Levels, jaccard_components, one_of_each, signatures
 
 SCHEMA = "doc_id long, text string, kept string, n long, label int"
 
@@ -103,13 +104,19 @@ def test_jaccard_join(spark, seed, budget, monkeypatch):
         assert {str(r.doc_id) for r in kept} == {d for d, _, c in want if d == c}
 
 
-def test_levels_leave_no_pair_out():
-    levels = Levels(90, 100)
-    for a in range(1, 400):
-        for b in range(a, a * 100 // 90 + 1):
-            i, j = levels.of(a), levels.of(b)
-            assert j - i in (0, 1)
-            assert levels.fragments[i] > (a + b) // 19  # the level both emit at
+@pytest.mark.parametrize("parts", [80, 90])
+def test_near_sets_share_a_signature(parts):
+    rng, levels = np.random.default_rng(parts), Levels(parts, 100)
+    for _ in range(4000):
+        n = int(rng.integers(1, 12) if rng.random() < 0.5 else rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        keep = a[rng.permutation(n)[: n - int(rng.integers(0, max(1, n // 6) + 1))]]
+        b = np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 6) + 1)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+        union = n + len(b) - len(keep)
+        if len(b) and 100 * len(keep) >= parts * union and len(keep) < union:
+            x, y = np.unique(a), np.unique(b)
+            assert levels.of(max(len(x), len(y))) - levels.of(min(len(x), len(y))) in (0, 1)
+            assert np.intersect1d(signatures(x, levels), signatures(y, levels)).size
 
 
 def test_components(spark):
