@@ -8,8 +8,12 @@ query's identifiers, any phrase; the first that finds something decides.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,3 +159,117 @@ def search(
     hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     # the k best by rung and rank hold all that the first rung needs
     return hits.withColumn("least", F.min("rung").over(first)).filter("rung = least").select("query_id", "rung", "rank", "chunk_id", "path", "start_line", "bm25", "score")
+
+
+#: Chunks scored at once against all queries of ``search_many``.
+SCORED_ROWS = 2_000
+_MANY = "query_id string, rung int, chunk_id long, path string, start_line int, bm25 double, score double, tier int"
+
+
+@dataclass(frozen=True)
+class _Board:
+    """All rungs of all queries as columns: what each phrase counts for."""
+
+    uses: list[np.ndarray]  # of each phrase, the columns that have it
+    every: np.ndarray
+    wanted: np.ndarray
+    asked: list[tuple[str, list[tuple[int, int]]]]  # query_id, (rung, column) in order
+    named: dict[str, np.ndarray]  # symbol to the places in ``asked`` that name it
+    k: int
+
+    def best(self, ids: np.ndarray, tier: np.ndarray, symbols: list, at: np.ndarray, phrase: np.ndarray, s: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query_id, rung, places, bm25, score) of the ``k`` best chunks by the first rung that finds some here."""
+        total, found = np.zeros((len(ids), len(self.every))), np.zeros((len(ids), len(self.every)), np.int32)
+        order = np.argsort(phrase, kind="stable")
+        edges = np.flatnonzero(np.diff(phrase[order], prepend=-1))
+        # one phrase after the other, so equal chunks have equal sums
+        for lo, hi in zip(edges, [*edges[1:], len(order)]):
+            part = order[lo:hi]
+            place = at[part][:, None], self.uses[phrase[part[0]]]
+            total[place] += s[part][:, None]
+            found[place] += 1
+        hit = np.where(self.every, found == self.wanted, found > 0)
+        boost = np.zeros((len(ids), len(self.asked)))
+        for i, symbol in enumerate(symbols):
+            if symbol in self.named:
+                boost[i, self.named[symbol]] = SYMBOL_BOOST
+        for j, (query_id, columns) in enumerate(self.asked):
+            for rung, c in columns:
+                rows = np.flatnonzero(hit[:, c])
+                if len(rows):
+                    bm25 = -total[rows, c]
+                    score = bm25 - boost[rows, j]
+                    first = np.lexsort((ids[rows], score, tier[rows]))[: self.k]
+                    yield query_id, rung, rows[first], bm25[first], score[first]
+                    break
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SCORED_ROWS):
+                batch = whole.slice(lo, SCORED_ROWS)
+                entries = batch.column("entries")
+                flat = entries.flatten()
+                number = lambda c: np.asarray(c, np.float64)
+                at = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(entries)))
+                tf, room = number(flat.field("tf")), 1 - B + B * number(batch.column("dl")) / number(batch.column("avgdl"))
+                s = number(flat.field("idf")) * (tf * (K1 + 1) / (tf + K1 * room[at]))
+                ids, tier = np.asarray(batch.column("chunk_id")), np.asarray(batch.column("tier"))
+                out = list(self.best(ids, tier, batch.column("symbol").to_pylist(), at, np.asarray(flat.field("phrase")), s))
+                if out:
+                    rows = np.concatenate([o[2] for o in out])
+                    sizes = [len(o[2]) for o in out]
+                    took = batch.select(["chunk_id", "path", "start_line", "tier"]).take(pa.array(rows))
+                    query_id = pa.array([o[0] for o in out]).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
+                    rung = pa.array(np.repeat([o[1] for o in out], sizes), pa.int32())
+                    bm25, score = (pa.array(np.concatenate([o[i] for o in out])) for i in (3, 4))
+                    columns = [query_id, rung, took.column("chunk_id"), took.column("path"), took.column("start_line"), bm25, score, took.column("tier")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "rung", "chunk_id", "path", "start_line", "bm25", "score", "tier"])
+
+
+def search_many(postings_: DataFrame, lengths_: DataFrame, queries: dict[str, str], k: int = 10) -> DataFrame:
+    """What ``search`` finds in the whole corpus, for many or long queries.
+
+    A phrase is counted once, not for each query and rung that has it.  The phrases of
+    a chunk meet in one row, and chunks are scored against all queries in Arrow batches,
+    which return the ``k`` best of each query; so no row stands for a query, a phrase
+    and a chunk.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    from harrow.plans.ship import ship
+
+    spark = postings_.sparkSession
+    ship(spark)
+    numbers: dict[tuple[str, ...], int] = {}
+    uses, every, wanted, asked, named = [], [], [], [], {}
+    for query_id, text in queries.items():
+        columns = []
+        for rung_no, rung in enumerate(rungs(text)):
+            columns.append((rung_no, len(every)))
+            for phrase in rung.phrases:
+                if numbers.setdefault(phrase, len(numbers)) == len(uses):
+                    uses.append([])
+                uses[numbers[phrase]].append(len(every))
+            every.append(rung.every)
+            wanted.append(len(rung.phrases))
+        for symbol in identifiers(text):
+            named.setdefault(symbol, []).append(len(asked))
+        asked.append((query_id, columns))
+    board = _Board([np.array(u) for u in uses], np.array(every, bool), np.array(wanted), asked, {s: np.array(n) for s, n in named.items()}, k)
+    phrases = spark.createDataFrame([(t, n, o, len(p)) for p, n in numbers.items() for o, t in enumerate(p)], "term string, phrase int, offset int, size int")
+    alone = F.col("size") == 1
+    hits = postings_.join(F.broadcast(phrases), "term")
+    # occurrences of one term need no places
+    starts = hits.groupBy("phrase", "size", "chunk_id", F.when(~alone, F.col("col")).alias("col"), F.when(~alone, F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
+    tf = starts.groupBy("phrase", "chunk_id").agg(F.sum(F.when(alone, F.col("n")).when(F.col("n") == F.col("size"), 1).otherwise(0)).alias("tf")).filter("tf > 0")
+    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = tf.groupBy("phrase").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(lengths_)))
+    known = known.select("phrase", F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw).alias("idf"), "avgdl")
+    met = tf.join(F.broadcast(known), "phrase").groupBy("chunk_id").agg(F.collect_list(F.struct("phrase", "tf", "idf")).alias("entries"), F.first("avgdl").alias("avgdl"))
+    rows = met.join(lengths_, "chunk_id").withColumn("tier", test_tier(F.col("path")))
+    rows = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), "path", F.col("start_line").cast("int").alias("start_line"), F.col("tier").cast("int").alias("tier"), "symbol", "dl", "avgdl", "entries")
+    best = rows.mapInArrow(board, _MANY)
+    order = Window.partitionBy("query_id").orderBy("rung", "tier", "score", "chunk_id")
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    least = F.min("rung").over(Window.partitionBy("query_id"))
+    return best.withColumn("least", least).filter("rung = least").select("query_id", "rung", "rank", "chunk_id", "path", "start_line", "bm25", "score")
