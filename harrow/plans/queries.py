@@ -247,6 +247,19 @@ def cosine_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.cosine_batch(x, asked, 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("""
+    WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+         s AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, q),
+         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 5
+""")
+def cosine_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``cosine_batch_topk``, asked by every row whose id divides by 50."""
+    x = _vectors(spark, sf_dir)
+    asked = x.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    return ranking.cosine_batch(x, asked, 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id, 0.0::DOUBLE AS zero_row, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS row_norm FROM embeddings")
 def zero_norm_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.array_repeat(F.lit(0.0), 64)

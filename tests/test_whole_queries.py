@@ -1,13 +1,14 @@
 """Registered queries over their whole input, against brute force."""
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from harrow.functions import text as T
-from harrow.operators import lexical
+from harrow.operators import lexical, ranking
 from harrow.plans.queries import QUERIES
 
 WORDS = "red green blue cyan lime teal navy plum rust sand"
@@ -71,3 +72,44 @@ def test_search_many_is_search(spark):
     table = lambda df: sorted((*r[:6], round(r[6], 9), round(r[7], 9)) for r in df.collect())
     assert table(lexical.search_many(*index, asked, 3)) == table(lexical.search(*index, asked, 3))
     assert lexical.search_many(*index, {"c": "!!!"}, 3).count() == lexical.search_many(*index, {}, 3).count() == 0
+
+
+def nearest(rows, asked, k):
+    out = set()
+    for query_id, q in asked:
+        size = math.hypot(*q)
+        if not size:
+            continue
+        score = {i: sum(a * b for a, b in zip(v, q)) / (math.hypot(*v) * size) if any(v) else 0.0 for i, v in rows}
+        first = sorted(score, key=lambda i: (-round(score[i], 12), i))[:k]
+        out |= {(query_id, r, i, round(score[i], 6)) for r, i in enumerate(first, 1)}
+    return out
+
+
+def test_every_fiftieth_vector_asks(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(230)]
+    rows[7] = rows[13] = (7, rows[100][1])
+    rows[13] = (13, rows[100][1])
+    rows[150] = (150, [0.0] * 8)
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(x) for x in QUERIES["cosine_batch_whole"](spark, str(tmp_path)).collect()}
+    want = nearest(rows, [x for x in rows if x[0] % 50 == 0], 5)
+    assert {x[:3]: pytest.approx(x[3], abs=2e-6) for x in want} == {x[:3]: x[3] for x in got}
+    assert {x[0] for x in got} == {0, 50, 100, 200} and {x[2] for x in got if x[0] == 100 and x[1] <= 3} == {7, 13, 100}
+
+
+def test_cosine_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROW_BLOCK", 16)
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 8)
+    r = random.Random(4)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(150)]
+    odd = [(500, None), (501, [1.0, 2.0]), (502, [None, 1.0, 2.0])]
+    frame = lambda x, names: spark.createDataFrame(x, f"{names[0]} long, {names[1]} array<double>")
+    got = ranking.cosine_batch(frame(rows + odd, ("chunk_id", "embedding")), frame(rows[:40], ("query_id", "q")), 7)
+    got = {(q, n, i): s for q, n, i, s in got.collect()}
+    assert {x[:3]: pytest.approx(x[3], abs=2e-6) for x in nearest(rows, rows[:40], 7)} == got
+    few = ranking.cosine_batch(frame(odd + rows[:1], ("chunk_id", "embedding")), frame([(9, [1.0, 1.0, 1.0])], ("query_id", "q")), 3)
+    assert [(x.chunk_id, x.score is None) for x in few.orderBy("rank").collect()] == [(0, False), (500, True), (501, True)]
+    with pytest.raises(Exception, match="not finite"):
+        ranking.cosine_batch(frame([(1, [math.nan, 1.0])], ("chunk_id", "embedding")), frame([(9, [1.0, 1.0])], ("query_id", "q")), 3).collect()
