@@ -9,6 +9,12 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions.text import edge_tokens, py_tokens, suffix
+from harrow.operators import lexical
+from harrow.operators.paths import extensions
+
+#: Hits of the wider search that tells a low rank from a miss.
+PROBE_K = 50
 CLASSES = ("exact", "crossfile", "natural")
 CHANGES = ("regression", "improvement", "rank_improved", "rank_regressed", "unchanged")
 
@@ -110,6 +116,45 @@ def gate_diff(diff: DataFrame, waivers: Iterable[str] = (), max_regressions: int
     return {"regressions": len(regressed), "active": active, "waived": [i for i in regressed if i in waived], "unused_waivers": sorted(waived - set(regressed)), "version_match": match, "reasons": reasons, "passed": not reasons}
 
 
+def collect_evidence(results: DataFrame, tasks: DataFrame, on_disk: DataFrame, files: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 5, probe_k: int = PROBE_K, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What ``attribution_code`` needs of each result that is no hit at ``k``: its columns, by id and class.
+
+    Results are those of a run (id, class, rank, symbol_hit, must_not_hit,
+    returned_paths), tasks a golden set (id, query, expect_paths); results without a
+    task are passed over.  ``on_disk`` (path) are the files of the workspace, ``files``
+    (path), postings and lengths those of the snapshot.
+    """
+    spark = results.sparkSession
+    symbol = F.coalesce(~F.col("symbol_hit"), F.lit(False)).alias("symbol_missing")
+    failed = results.filter(~is_hit_at(k)).select("id", "class", symbol, F.col("must_not_hit").alias("must_not_hits")).join(tasks.select("id", "query", "expect_paths"), "id")
+    marked = lambda df, name: df.select("path").distinct().withColumn(name, F.lit(True))
+    state = failed.select("id", F.explode("expect_paths").alias("path")).distinct().join(marked(on_disk, "there"), "path", "left").join(marked(files, "held"), "path", "left")
+    state = state.withColumn("state", F.when(F.col("there").isNull(), "missing").when(~suffix(F.col("path")).isin(extensions(extra)), "non_code").when(F.col("held"), "indexed").otherwise("unindexed"))
+    listed = lambda n: F.array_sort(F.collect_list(F.when(F.col("state") == n, F.col("path")))).alias(f"{n}_paths")
+    by_path = state.groupBy("id").agg(*[listed(n) for n in ("missing", "non_code", "indexed", "unindexed")])
+    # a golden set: its failed queries and their tokens
+    resolvable = state.filter("state IN ('indexed', 'unindexed')").select("id").distinct()
+    asked = {r["id"]: r["query"] for r in failed.join(resolvable, "id").select("id", "query").collect()}
+    probe = lexical.search_many(postings, lengths, asked, probe_k).withColumnRenamed("query_id", "id")
+    probe = probe.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("path", "start_line", "chunk_id")))
+    probe = probe.join(state.select("id", "path"), ["id", "path"], "left_semi").groupBy("id").agg(F.min("at").alias("probe_rank"))
+    said = failed.select("id", F.explode(edge_tokens(F.col("query"))).alias("token"))
+    phrases = [(r["token"], 0, lexical.Rung((tuple(py_tokens(r["token"])),), False)) for r in said.select("token").distinct().collect()]
+    where = lexical.phrase_counts(postings, lexical.phrase_table(spark, phrases)).select(F.col("query_id").alias("token"), "chunk_id")
+    where = where.join(lengths.select("chunk_id", "path"), "chunk_id").select("token", "path").distinct()
+    seen = said.join(state.filter("state = 'indexed'").select("id", "path"), "id").join(where, ["token", "path"], "left_semi").select("id", "token").distinct().withColumn("seen", F.lit(True))
+    met = F.col("seen").isNotNull()
+    by_token = said.join(seen, ["id", "token"], "left").groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(c, F.col("token")))).alias(f"tokens_{n}") for n, c in (("present", met), ("missing", ~met))])
+    total = files.agg(F.count("*").alias("index_file_count"))
+    out = failed.drop("query", "expect_paths").join(by_path, "id", "left").join(probe, "id", "left").join(by_token, "id", "left")
+    return out.crossJoin(F.broadcast(total))
+
+
+def attribute_run(results: DataFrame, tasks: DataFrame, on_disk: DataFrame, files: DataFrame, postings: DataFrame, lengths: DataFrame, k: int = 5, probe_k: int = PROBE_K, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The evidence of each failed result, and its ``code``."""
+    return collect_evidence(results, tasks, on_disk, files, postings, lengths, k, probe_k, extra).withColumn("code", attribution_code())
+
+
 def attribution_code() -> Column:
     """Why a task failed, by fixed precedence.
 

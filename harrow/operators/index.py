@@ -20,6 +20,8 @@ from harrow.operators.paths import IgnoreRules, secret_shape, skip_counts, skip_
 
 SCHEMA_VERSION = 1
 MARKER = "_READY.json"
+#: Texts embedded between two commits to the cache.
+CACHE_TEXTS = 256
 
 
 def _path(spark: SparkSession, name: str):
@@ -131,6 +133,17 @@ def vector_status(found: DataFrame, vectors: DataFrame) -> DataFrame:
     return have.agg(n(F.col("c") == 1).alias("chunks"), n((F.col("c") == 1) & (F.col("v") == 1)).alias("reusable"), n((F.col("c") == 1) & F.col("v").isNull()).alias("pending"), n(F.col("c").isNull()).alias("stale"))
 
 
+def _embedded(texts: DataFrame, embedder) -> DataFrame:
+    """(sha, embedding) of texts (sha, text)."""
+
+    def run(batches):
+        for b in batches:
+            b["embedding"] = [[float(x) for x in v] for v in embedder(b["text"].tolist())]
+            yield b[["sha", "embedding"]]
+
+    return texts.mapInPandas(run, "sha string, embedding array<float>")
+
+
 def embed(pending: DataFrame, embedder, model: str, cache: DataFrame | None = None) -> DataFrame:
     """(chunk_id, content_hash, embedding): each distinct text is embedded once, if no cache has it."""
     keyed = pending.withColumn("sha", F.sha2("text", 256))
@@ -138,13 +151,40 @@ def embed(pending: DataFrame, embedder, model: str, cache: DataFrame | None = No
     if cache is not None:
         known = cache.filter(F.col("model") == model).select("sha", "embedding").dropDuplicates(["sha"])
         texts = texts.join(known, "sha", "left_anti")
-
-    def run(batches):
-        for b in batches:
-            b["embedding"] = [[float(x) for x in v] for v in embedder(b["text"].tolist())]
-            yield b[["sha", "embedding"]]
-
-    made = texts.mapInPandas(run, "sha string, embedding array<float>")
+    made = _embedded(texts, embedder)
     if cache is not None:
         made = made.unionByName(known)
     return keyed.join(made, "sha").select("chunk_id", "content_hash", "embedding")
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """(model, sha, embedding) of what was embedded before, each once; None if nothing was."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p) or not any(f.getPath().getName().startswith("part-") for f in fs.listStatus(p)):
+        return None
+    return spark.read.schema("model string, sha string, embedding array<float>").parquet(path).dropDuplicates(["model", "sha"])
+
+
+def cache_records(spark: SparkSession, path: str) -> int:
+    """How many records the cache holds, from the footers of its files."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p) or not any(f.getPath().getName().startswith("part-") for f in fs.listStatus(p)):
+        return 0
+    return spark.read.schema("model string, sha string, embedding array<float>").parquet(path).count()
+
+
+def fill_cache(spark: SparkSession, pending: DataFrame, embedder, model: str, path: str) -> None:
+    """Embed the texts of which the cache has no vector, and append them.
+
+    Tasks of about ``CACHE_TEXTS`` texts commit on their own (the committer's second
+    algorithm), so what was embedded before an interruption stays.
+    """
+    cache = load_cache(spark, path)
+    texts = pending.select("text", F.sha2("text", 256).alias("sha")).dropDuplicates(["sha"])
+    if cache is not None:
+        texts = texts.join(cache.filter(F.col("model") == model).select("sha"), "sha", "left_anti")
+    n = texts.count()
+    if not n:
+        return
+    made = _embedded(texts.repartition(-(-n // CACHE_TEXTS), "sha"), embedder)
+    made.select(F.lit(model).alias("model"), "sha", "embedding").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)

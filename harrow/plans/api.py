@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.operators import index, lexical, ranking
+from harrow.operators import evaluation, index, lexical, ranking
 from harrow.operators.chunking import outline_text
 from harrow.operators.paths import IgnoreRules, in_scope, resolve_scope, test_tier
 from harrow.operators.traces import TRANSITIONS
-from harrow.sources.workspace import OWN_FOLDER, scan
+from harrow.sources.workspace import OWN_FOLDER, READ_BYTES, scan
 
 MOST_HITS = 50
 DEFAULT_BUDGET = 4000
@@ -63,7 +63,7 @@ class Workspace:
         return IgnoreRules("\n".join(text))
 
     def index(self, force: bool = False, vectors: bool = False, **options) -> dict:
-        facts = index.build(self.spark, scan(self.spark, self.root), self.store, self._rules(), force=force, **options)
+        facts = index.build(self.spark, scan(self.spark, self.root, options.get("max_bytes", READ_BYTES)), self.store, self._rules(), force=force, **options)
         if vectors:
             self.vectorize()
         return facts
@@ -72,13 +72,17 @@ class Workspace:
         return self.spark.read.parquet(f"{index.read_marker(self.spark, self.store)['snapshot']}/{name}")
 
     def vectorize(self) -> dict:
-        """Embed what has no vector yet; vectors of unchanged chunks are taken over."""
+        """Embed what has no vector yet; vectors of unchanged chunks are taken over.
+
+        Texts go through a cache on disk, so an interrupted run goes on where it was.
+        """
         if self.embedder is None:
             raise ValueError("no embedder")
         found, target = self._table("chunks"), f"{self.store}/vectors"
         old = self.vectors()
         reused, pending = index.reuse_vectors(found, old) if old is not None else (None, found)
-        made = index.embed(pending, self.embedder, self.model).withColumn("model", F.lit(self.model))
+        index.fill_cache(self.spark, pending, self.embedder, self.model, f"{target}/cache")
+        made = index.embed(pending, self.embedder, self.model, index.load_cache(self.spark, f"{target}/cache")).withColumn("model", F.lit(self.model))
         out = made if reused is None else made.unionByName(reused.withColumn("model", F.lit(self.model)))
         path = f"{target}/{uuid.uuid4().hex}"
         out.write.parquet(path)
@@ -150,7 +154,18 @@ class Workspace:
         stored = self.vectors()
         if stored is not None:
             out |= index.vector_status(self._table("chunks"), stored).first().asDict()
-        return out
+        return out | {"cached": index.cache_records(self.spark, f"{self.store}/vectors/cache")}
+
+    def attribute(self, results: DataFrame, tasks: DataFrame, k: int = 5, probe_k: int = evaluation.PROBE_K, extra: tuple[str, ...] = ()) -> DataFrame:
+        """Why the results of a run (see ``batch_eval``) that are no hits at ``k`` failed, with the evidence."""
+        on_disk = scan(self.spark, self.root, 0).select("path")
+        if index.read_marker(self.spark, self.store) is None:
+            files = on_disk.limit(0)
+            lengths = self.spark.createDataFrame([], "chunk_id long, path string, symbol string, start_line int, dl int")
+            postings = self.spark.createDataFrame([], "chunk_id long, col string, pos int, term string")
+        else:
+            files, postings, lengths = (self._table(n) for n in ("files", "postings", "lengths"))
+        return evaluation.attribute_run(results, tasks, on_disk, files, postings, lengths, k, probe_k, extra)
 
 
 class Tasks:

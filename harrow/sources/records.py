@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 TASK_FIELDS = {"id": str, "class": str, "query": str, "expect_paths": list, "added": str}
 TASK_OPTIONAL = {"expect_symbols": list, "must_not_paths": list, "notes": str}
 TASKS = "id string, class string, query string, expect_paths array<string>, added string, expect_symbols array<string>, must_not_paths array<string>, notes string"
+REPORT_SCHEMA = "dsh-coderag/eval-run/v1"
+REPORT = "id string, class string, query string, hit boolean, rank int, matched_path string, symbol_hit boolean, returned_paths array<string>, must_not_hit array<string>, token_estimate long"
 CASE_ASSERTS = {"turn_end": str, "tools_called": list, "tools_not_called": list, "tool_args_contains": dict, "tool_result_contains": list, "output_contains": list, "output_matches": list, "max_steps": int, "max_tokens": int, "no_tool_errors": bool}
 CASE_FIELDS = {"name": str, "prompt": str, "assert": dict}
 CASE_OPTIONAL = {"tags": list, "answer_paths": list, "notes": str, "accept": list, "reject": list}
@@ -70,6 +72,27 @@ def load_meta(path: str) -> str:
     return version
 
 
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """The results of a run report: its schema tag is right and every result has an id; absent fields are null."""
+    report = _json(pathlib.Path(path).read_text("utf-8"), path)
+    if not isinstance(report, dict):
+        raise RecordError(f"{path}: not an object")
+    if report.get("schema") != REPORT_SCHEMA:
+        raise RecordError(f"{path}: schema is {report.get('schema')!r}, not {REPORT_SCHEMA!r}")
+    if not isinstance(report.get("results"), list):
+        raise RecordError(f"{path}: no list of results")
+    names = [f.split()[0] for f in REPORT.split(", ")]
+    rows = []
+    for i, r in enumerate(report["results"]):
+        if not isinstance(r, dict) or not isinstance(r.get("id"), str):
+            raise RecordError(f"{path}: result {i} is not an object with an id")
+        rows.append(tuple(r.get(n) for n in names))
+    try:
+        return spark.createDataFrame(rows, REPORT)
+    except (TypeError, ValueError) as e:
+        raise RecordError(f"{path}: {e}") from e
+
+
 def load_cases(folder: str) -> list[dict]:
     cases, seen = [], set()
     for path in sorted(pathlib.Path(folder).glob("*.json")):
