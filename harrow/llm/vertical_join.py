@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = sets.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
     marks = wide.filter("n > 0").select("uid", F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min(F.hash("uid")).alias("x"), F.max(F.hash("uid")).alias("y")).filter("x != y").select("mark")
+    shared = marks.groupBy("mark").agg(F.min("uid").alias("x"), F.max("uid").alias("y")).filter("x != y").select("mark")
     member = some.select("uid", "digest").join(classes.select("digest", "node"), "digest").select("uid", "node")
     marked = marks.join(shared.hint("shuffle_hash"), "mark", "left_semi").join(member, "uid").select("mark", "node").distinct()
     marked = stage(marked, "marked")
