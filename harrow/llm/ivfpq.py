@@ -9,7 +9,7 @@ and the best estimates are reranked by exact inner products in double precision.
 
 Centroids and codebooks are fitted on a bounded sample; every row is indexed.  How
 many lists a query must probe depends on the data: it is read off the sample, whose
-exact neighbours are known.  Lists are dealt out in blocks, so a crowded one (many
+exact neighbours are known; a query whose lists hold too few rows probes more.  Lists are dealt out in blocks, so a crowded one (many
 copies of one vector) does not meet in one task.
 """
 
@@ -150,16 +150,20 @@ def _index_rows(index: Index):
     return add
 
 
-def _probe(index: Index):
+def _probe(index: Index, sizes: np.ndarray, k: int):
+    """The index's number of lists, and further ones until they hold ``k`` rows besides the query's own."""
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = _vectors(batch.column("v"), index.dim)
-            best = np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")[:, : index.probes]
-            rows = np.repeat(np.arange(len(x)), best.shape[1])
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(best.ravel().astype(np.int32))], names=["query_id", "q", "list"])
+            order = np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")
+            short = np.cumsum(sizes[order], axis=1) < k + np.asarray(batch.column("own"))[:, None]
+            taken = np.arange(order.shape[1]) < np.maximum(index.probes, short.sum(axis=1) + 1)[:, None]
+            best = order[taken]
+            take = pa.array(np.repeat(np.arange(len(x)), taken.sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(best.astype(np.int32))], names=["query_id", "q", "list"])
 
     return probe
 
@@ -249,8 +253,11 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str =
     # one row for each list, of which there are at most LISTS[1]
     blocks = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     dealt = rows.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = packed.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    probes = asked.mapInArrow(_probe(index), "query_id long, q binary, list int").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = packed.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in rows.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    probes = asked.mapInArrow(_probe(index, sizes, k), "query_id long, q binary, list int").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = dealt.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInPandas(_search(index, k, rerank), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
