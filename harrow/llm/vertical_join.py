@@ -1,74 +1,54 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The n-grams of all documents have one global order, that of their hashes, which is
-cut into fragments.  For sizes that can meet, a threshold allows a pair at most D
-n-grams of difference; cut into more than D fragments, some are the same on both
-sides, so pairs that share no whole fragment are never looked at.  For the
-candidates, the overlap inside each of ``COUNTED`` coarser fragments is counted
-separately and summed per pair; what differs in the first ones rules most out.
-
-Documents with equal sets are one class from the start.  Inside a group that shares
-a fragment, classes are not paired each with each: one centre at a time is compared
-with the members not yet connected to it, and once few unconnected pairs are left
-those are compared outright.  A link between two classes that are connected already
-is not needed and not counted; every pair that could connect two components is.
+The global order of n-grams, that of their hashes, is cut into fragments.  A document
+sends each fragment the grams it has there, and every fragment is counted apart:
+
+1. a fragment tells which of its grams stand in one text only.  Two sets that reach the
+   threshold share a gram among the few first ones of each, by any order of grams that
+   both follow; with private grams first, a document whose first ones are all private
+   links with nothing.  That settles most documents, and the private grams of the others
+   need never be looked at again: they are in no overlap;
+2. the grams left are ordered by how many documents have them, and each document enters
+   the list of each of its first grams, with its size and the gram's place.  Sizes and
+   places decide which pairs of a list can reach the threshold at all;
+3. the overlap of a candidate pair is counted fragment by fragment and summed per pair;
+   a pair goes as soon as what is left cannot make up for what is missing.
+
+Documents with equal sets are one class from the start.  At first the members of a list
+only meet its centre; what that links needs no further comparison, and every other pair
+of a list that could connect two components is compared after that.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import kernels
 from harrow.llm.components import components
 from harrow.plans.scratch import drop, stage, tidy
-
-#: Fragments in which overlaps are counted.
-COUNTED = 8
-#: A set's outline is drawn from so many of them.
-FIRST = 2
-#: Unconnected pairs are compared outright when at most so many are left for each row at first, or after so many rounds.
-PAIRS_PER_ROW = 0.25
-MOST_ROUNDS = 6
-#: Centres of a group that are compared with the rest in one round.
-CENTRES = 6
+from harrow.plans.ship import ship
+
+#: Bytes of text in a piece of documents, which sends its grams together; documents in one at most.
+PIECE_TEXT, PIECE_DOCS = 8 << 20, 1 << 16
+#: Bytes of text for each fragment in which grams are told apart.
+FRAGMENT_TEXT = 8 << 20
+#: Fragments in which the overlaps of pairs are counted, one after the other.
+COUNTED = 4
+#: Bytes of a gram's hash that travel; the fragment adds the rest of its name.
+GRAM_BYTES = 6
 _U = np.uint64
 
-
-class Levels:
-    """Ranges of set sizes; a pair's sizes lie in one range or in two that follow.
-
-    A pair at a level differs by ``differ`` grams at most, counting both sides.  Cut
-    into more fragments than that, it has equal ones.  ``spare`` more fragments make
-    up for light ones, of one gram or none, which too many documents have alike: a set
-    with at most ``spare`` light fragments need not show them, since a pair has
-    more than that many equal fragments if one of the two has no more light ones.
-    """
-
-    def __init__(self, parts: int, whole: int):
-        self.parts, self.whole = parts, whole
-        self.ends, self.differ, self.spare = [0], [0], [0]
-        grams = (whole + parts) / (2 * (whole - parts))  # in a fragment, on average
-        self.light = 1.5 * (1 + grams) * math.exp(-grams)
-
-    def _grow(self) -> None:
-        low = self.ends[-1] + 1
-        high = low * self.whole // self.parts
-        differ = (high + high * self.whole // self.parts) * (self.whole - self.parts) // (self.whole + self.parts)
-        self.ends.append(high)
-        self.differ.append(differ)
-        self.spare.append(math.ceil(self.light * (differ + 1)))
-
-    def of(self, size: int) -> int:
-        while self.ends[-1] < size:
-            self._grow()
-        return int(np.searchsorted(self.ends, size))
+_SENT = "piece long, fragment int, keys binary, who binary, known binary, docs binary"
+_SAID = "piece long, fragment int, keys binary, who binary, docs binary"
+_SETS = "doc_id long, th long, n long, digest binary, keys array<long>"
+_DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("th", "<i8"), ("n", "<i8"), ("who", "<i4"), ("digest", "V16")])
 
 
 def fragment_edges(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -77,40 +57,6 @@ def fragment_edges(grams: np.ndarray, fragments: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(grams, cut), [len(grams)]])
 
 
-#: Sets that differ by no more grams than this are found by leaving grams out.
-FEW = 2
-
-
-def without_few(mixed: np.ndarray) -> np.ndarray:
-    """Hashes of a set, and of it without any one gram and any two.
-
-    Two sets that differ by two grams at most have one of these in common.
-    """
-    one = mixed.sum(dtype=_U) - mixed
-    i, j = np.triu_indices(len(mixed), 1)
-    return np.concatenate([[mixed.sum(dtype=_U)], one, one[i] - mixed[j]])
-
-
-def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
-    """Hashes of which a pair near enough shares one, for the level of the set's size and the one below."""
-    if not len(grams):
-        return grams
-    mixed = kernels.mix(grams)
-    sums = np.zeros(len(grams) + 1, _U)
-    np.cumsum(mixed, out=sums[1:])
-    level, out = levels.of(len(grams)), []
-    if any(0 < levels.differ[j] <= FEW for j in (level, level - 1)):
-        out.append(kernels.mix(without_few(mixed) + _U(1)))
-    for j in (level, level - 1):
-        if levels.differ[j] > FEW:
-            k = levels.differ[j] + 1 + levels.spare[j]
-            edges = fragment_edges(grams, k)
-            marks = kernels.mix(sums[edges[1:]] - sums[edges[:-1]] + kernels.mix(np.arange(k, dtype=_U) + _U(j << 32)))
-            full = np.diff(edges) > 1
-            out.append(marks[full] if k - full.sum() <= levels.spare[j] else marks)
-    return np.concatenate(out) if out else grams[:0]
-
-
 def gram_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct word n-grams of each document (A-Z in lower case)."""
     raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8)
@@ -128,134 +74,242 @@ def gram_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def _scan(width: int, parts: int, whole: int):
+def first_grams(n, parts: int, whole: int):
+    """How many first grams of a set of size n must hold one that a near enough set has too."""
+    return n + (-parts * n) // whole + 1
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
+
+
+def _unpacked(data: bytes, fragment: int) -> np.ndarray:
+    """Names of grams: fragment and hash."""
+    short = np.frombuffer(data, np.uint8).reshape(-1, GRAM_BYTES)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :GRAM_BYTES] = short
+    return wide.view("<u8").ravel() + _U((fragment << 8 * GRAM_BYTES) % (1 << 64))
+
+
+def _send(piece: int, held: list[tuple], fragments: int) -> pa.RecordBatch:
+    """What a piece tells each fragment, and what it keeps for itself (fragment -1).
+
+    A gram that several texts of the piece have is known to be shared and goes to its
+    fragment once, so that no gram sends a fragment more than one entry for each piece.
+    """
+    docs = np.zeros(len(held), _DOCS)
+    texts: dict[bytes, int] = {}
+    sets = []
+    for row, (doc_id, th, grams) in zip(docs, held, strict=True):
+        digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+        if digest not in texts and len(grams):
+            texts[digest] = len(sets)
+            sets.append(grams)
+        row["id"], row["null"], row["th"], row["n"], row["who"], row["digest"] = doc_id or 0, doc_id is None, th, len(grams), texts.get(digest, -1), np.void(digest)
+    grams = np.concatenate(sets) if sets else np.zeros(0, _U)
+    who = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(g) for g in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, who = grams[order], who[order]
+    first = np.ones(len(grams), bool)
+    first[1:] = grams[1:] != grams[:-1]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.append(starts, len(grams)))
+    again = np.repeat(counts > 1, counts)
+    edges = fragment_edges(grams, fragments)
+    rows, local, local_who = [], [], []
+    for f in np.flatnonzero(np.diff(edges)).tolist():
+        at = slice(edges[f], edges[f + 1])
+        g, w, many = grams[at], who[at], again[at]
+        by = np.argsort(w[~many], kind="stable")
+        rows.append((piece, f, _packed(g[~many][by]), w[~many][by].tobytes(), _packed(g[many & first[at]]), None))
+        local.append(_unpacked(_packed(g[many]), f))
+        local_who.append(w[many])
+    known = np.concatenate(local) if local else grams
+    rows.append((piece, -1, known.tobytes(), np.concatenate(local_who).tobytes() if local else b"", str(len(rows)).encode(), docs.tobytes()))
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["piece", "fragment", "keys", "who", "known", "docs"])
+
+
+def _scan(width: int, fragments: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(parts, whole)
+        piece, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for lo, hi, raw, offsets in kernels.pieces(batch.column("text")):
-                sets = gram_sets(raw, offsets, width)
-                marks = [signatures(g, levels) for g in sets]
-                places = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo),
-                        batch.column("th").slice(lo, hi - lo),
-                        pa.array([len(g) for g in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(marks).view(np.int64))),
-                    ],
-                    names=["doc_id", "th", "n", "digest", "marks"],
-                )
+                if held and (size + len(raw) > PIECE_TEXT or len(held) + hi - lo > PIECE_DOCS):
+                    yield _send(piece, held, fragments)
+                    piece, held, size = piece + 1, [], 0
+                ids, ths = batch.column("doc_id").slice(lo, hi - lo).to_pylist(), batch.column("th").slice(lo, hi - lo).to_pylist()
+                held += zip(ids, ths, gram_sets(raw, offsets, width), strict=True)
+                size += len(raw)
+        if held:
+            yield _send(piece, held, fragments)
 
     return scan
 
 
-def _fragments(width: int):
-    """Grams of each set by fragment; and, as fragment -1, its outline.
-
-    The outline is the 16-bit prints of the grams in the first ``FIRST`` fragments, each
-    once; ``m`` is how many grams those are.  For other rows ``m`` is the size of the set.
+def _tell(table: pa.Table) -> pa.Table:
+    """For one fragment: each piece's grams that other texts have too.  Rows of fragment -1 pass."""
+    rows = table.to_pylist()
+    asked = [r for r in rows if r["docs"] is None]
+    out = [(r["piece"], -1, r["keys"], r["who"], r["known"] + b" " + r["docs"]) for r in rows if r["docs"] is not None]
+    if asked:
+        short = np.frombuffer(b"".join(r["keys"] for r in asked), np.uint8).reshape(-1, GRAM_BYTES)
+        keys = _unpacked(short.tobytes(), 0)
+        known = _unpacked(b"".join(r["known"] for r in asked), 0)
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        same = ranked[1:] == ranked[:-1]
+        hit = np.zeros(len(keys), bool)
+        hit[order[1:]] = same
+        hit[order[:-1]] |= same
+        hit |= np.isin(keys, np.unique(known))
+        at = 0
+        for r in asked:
+            m = len(r["keys"]) // GRAM_BYTES
+            own = hit[at : at + m]
+            out.append((r["piece"], r["fragment"], short[at : at + m][own].tobytes(), np.frombuffer(r["who"], np.uint16)[own].tobytes(), None))
+            at += m
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["piece", "fragment", "keys", "who", "docs"])
+
+
+def _gather(parts: int, whole: int):
+    """One row for each document of a piece; with its shared grams, if it can link and is the first of its class here."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        (own,) = (r for r in rows if r["docs"] is not None)
+        sent, _, data = own["docs"].partition(b" ")
+        if int(sent) != len(rows) - 1:
+            raise RuntimeError("a piece of documents was cut differently when it was read again")
+        docs = np.frombuffer(data, _DOCS)
+        keys = np.concatenate([np.frombuffer(own["keys"], "<u8"), *(_unpacked(r["keys"], r["fragment"]) for r in rows if r is not own)])
+        who = np.concatenate([np.frombuffer(r["who"], np.uint16) for r in [own, *(r for r in rows if r is not own)]])
+        order = np.argsort(who, kind="stable")
+        keys = keys[order].astype("<u8").view(np.int64)
+        ends = np.searchsorted(who[order], np.arange(int(docs["who"].max()) + 2))
+        lists, seen = [], set()
+        for w, n in zip(docs["who"].tolist(), docs["n"].tolist(), strict=True):
+            shared = int(ends[w + 1] - ends[w]) if w >= 0 else 0
+            can = shared and n - shared < first_grams(n, parts, whole) and w not in seen
+            seen.add(w)
+            lists.append(keys[ends[w] : ends[w + 1]] if can else None)
+        return pa.Table.from_arrays(
+            [
+                pa.array(docs["id"], mask=docs["null"]),
+                pa.array(docs["th"]),
+                pa.array(docs["n"]),
+                pa.array([d.tobytes() for d in docs["digest"]], pa.binary()),
+                pa.array(lists, pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "th", "n", "digest", "keys"],
+        )
+
+    return gather
+
+
+def _lists(sets: DataFrame, classes: DataFrame, parts: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n, grams) of nodes that can link, and (mark, node, n, place): their first grams, rarest first."""
+    live = sets.filter("keys is not null").groupBy("digest").agg(F.first("keys").alias("keys"))
+    live = stage(live.join(classes.select("digest", "node", "n"), "digest").select("node", "n", "keys"), "live")
+    entries = live.select("node", "n", F.explode("keys").alias("key"))
+    often = entries.groupBy("key").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    ranked = entries.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("grams"))
+    private = F.col("n") - F.size("grams")
+    ranked = ranked.withColumn("private", private).withColumn("first", F.expr(f"cast(n + floor(-({parts} * n) / {whole}) + 1 - private as int)")).filter("first > 0")
+    ranked = stage(ranked.select("node", "n", "private", "first", F.col("grams.key").alias("grams")), "ranked")
+    drop(live)
+    marks = ranked.select("node", "n", "private", F.posexplode(F.slice("grams", F.lit(1), F.col("first"))).alias("i", "mark")).select("mark", "node", "n", (F.col("private") + F.col("i")).alias("place"))
+    twice = marks.groupBy("mark").agg(F.count("*").alias("k")).filter("k > 1")
+    return ranked, stage(marks.join(twice, "mark").select("mark", "node", "n", "place", "k"), "marks")
+
+
+def _reach(a: str, b: str, parts: int, whole: int) -> Column:
+    """Can a pair that has a gram at these places of these sizes reach the threshold?
+
+    It needs an overlap of need = ceil(t / (1 + t) * (n + m)); the first gram it shares
+    then stands before the last need - 1 grams of both.
     """
+    need = F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * parts / (whole + parts))
+    return (F.col(f"{a}.n") - F.col(f"{a}.place") >= need) & (F.col(f"{b}.n") - F.col(f"{b}.place") >= need)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, raw, offsets in kernels.pieces(batch.column("text")):
-                rows: list[tuple] = []
-                for node, g in zip(batch.column("node").slice(lo, hi - lo).to_pylist(), gram_sets(raw, offsets, width), strict=True):
-                    edges = fragment_edges(g, COUNTED)
-                    head = g[: edges[FIRST]]
-                    rows.append((node, -1, len(head), None, np.unique(head.astype(np.uint16)).view(np.int16)))
-                    rows += [(node, f, len(g), g[edges[f] : edges[f + 1]].view(np.int64), None) for f in range(COUNTED) if edges[f] < edges[f + 1]]
-                if rows:
-                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int16())), strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["node", "fragment", "m", "grams", "prints"])
-
-    return cut
-
-
-def _linked(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, parts: int, whole: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: overlaps by fragment, summed per pair."""
-    na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = pairs.join(na, "a").join(nb, "b").filter((F.least("na", "nb") * whole) >= F.greatest("na", "nb") * parts)
-    # Prints of different grams may be equal, so an outline overlaps by at most the prints
-    # in common and the fewer of both sides' grams without a print of their own.  If the
-    # outlines alone differ by more than the whole pair may, that is the end of it.
-    outline = fragments.filter("fragment = -1")
-    oa = outline.select(F.col("node").alias("a"), F.col("m").alias("ma"), F.col("prints").alias("pa"))
-    ob = outline.select(F.col("node").alias("b"), F.col("m").alias("mb"), F.col("prints").alias("pb"))
-    most = F.size(F.array_intersect("pa", "pb")) + F.least(F.col("ma") - F.size("pa"), F.col("mb") - F.size("pb"))
-    room = (F.col("na") + F.col("nb")) * (whole - parts)
-    near = pairs.join(oa, "a").join(ob, "b").filter((F.col("ma") + F.col("mb") - 2 * most) * (whole + parts) <= room)
-    near = stage(near.select("a", "b", "na", "nb"), "near")
-    left = fragments.filter("fragment >= 0").select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = fragments.filter("fragment >= 0").select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    counted = near.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
-    both = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    return both.filter(F.col("k") * whole >= (F.col("na") + F.col("nb") - F.col("k")) * parts).select("a", "b")
-
-
-def _connect(marked: DataFrame, fragments: DataFrame, sizes: DataFrame, parts: int, whole: int) -> DataFrame | None:
-    """(node, label) of all marked nodes; marked: (mark, node).
-
-    Labels only join what is known to be connected, so they may be finer than the
-    components until the end; that costs comparisons and loses none.
+
+def _linked(pairs: DataFrame, ranked: DataFrame, parts: int, whole: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: overlaps by fragment, summed per pair.
+
+    ``k`` is the overlap so far; ``la`` and ``lb`` grams are not counted yet.
     """
-    # A node in large groups is like what the group has in common: the text that others are copies of.
-    sizes_ = marked.groupBy("mark").agg(F.count("*").alias("k"))
-    liked = marked.join(sizes_, "mark").groupBy("node").agg(F.sum("k").alias("like"))
-    labels, links = stage(liked.withColumn("label", F.col("node")), "labels"), []
-    first, opened = 0, None
-    for turn in range(MOST_ROUNDS + 1):
-        # the most alike is the one centre at first, when most groups are near copies; then others as well
-        seeds = range(CENTRES if turn else 1)
-        rows = marked.join(labels, "node")
-        own = rows.groupBy("mark", "label").agg(F.count("*").alias("k"), F.max(F.struct("like", "node")).alias("best")).select("mark", "label", "k", "best.*")
-        by = lambda i: F.xxhash64("label", F.lit(turn), F.lit(i)) if i else -F.col("like")  # noqa: B023, E731
-        centres = [F.min(F.struct(by(i).alias("h"), "node", "label")).alias(f"c{i}") for i in seeds]
-        groups = own.groupBy("mark").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"), *centres)
-        groups = groups.filter("labels > 1").select("mark", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("cross"), F.array(*[F.struct(f"c{i}.node", f"c{i}.label") for i in seeds]).alias("centres"))
-        before, opened = opened, stage(rows.join(groups, "mark").select("mark", "node", "label", "centres", "cross", "all"), "open")
-        if before is not None:
-            drop(before)
-        seen = opened.agg(F.count("*"), F.sum(F.col("cross") / F.col("all"))).first()
-        if not seen[0]:
-            break
-        first = first or seen[0]
-        last = turn == MOST_ROUNDS or seen[1] <= PAIRS_PER_ROW * first
-        if last:
-            other = opened.select("mark", F.col("node").alias("b"), F.col("label").alias("to"))
-            met = opened.join(other, "mark").filter("node < b and label != to").select(F.col("node").alias("a"), "b", "label", "to")
-        else:
-            met = opened.select(F.col("node").alias("a"), "label", F.explode("centres").alias("c")).select("a", F.col("c.node").alias("b"), "label", F.col("c.label").alias("to")).filter("label != to")
-        pairs = met.distinct()
-        found = stage(pairs.join(_linked(pairs.select("a", "b"), fragments, sizes, parts, whole), ["a", "b"]).select("label", "to").distinct(), "links")
-        links.append(found)
-        tidy(found.sparkSession)
-        if last:
-            break
-        # each label joins, of those it linked with and that rank before it, the first; ranks fall along the way
-        rank = lambda c: F.xxhash64(c, F.lit(turn), F.lit(-1))  # noqa: B023, E731
-        falls = rank("to") < rank("label")
-        down = found.select(F.when(falls, F.col("label")).otherwise(F.col("to")).alias("label"), F.when(falls, F.col("to")).otherwise(F.col("label")).alias("to"))
-        up = down.groupBy("label").agg(F.min_by("to", rank("to")).alias("up"))
-        for _ in range(2):
-            over = up.select(F.col("label").alias("up"), F.col("up").alias("over"))
-            up = up.join(over, "up", "left").select("label", F.coalesce("over", "up").alias("up"))
-        labels = stage(labels.join(up, "label", "left").select("node", "like", F.coalesce("up", "label").alias("label")), "labels")
-        # a centre has met every other label of its group, so its turn there is over
-        marked = opened.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).select("mark", "node")
-    if not links:
-        return None
-    # a label is the name of a node its group is connected to, and stays so; what the turns
-    # linked is therefore one graph over names
-    edges = links[0]
-    for found in links[1:]:
-        edges = edges.unionByName(found)
-    joined = components(edges.select(F.col("label").alias("a"), F.col("to").alias("b")))
-    joined = joined.select(F.col("label").alias("root"), F.col("node").alias("label"))
+    sizes = ranked.select("node", "n", F.size("grams").alias("left"))
+    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
+    other = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    pairs = pairs.select("a", "b").join(one, "a").join(other, "b").withColumn("k", F.lit(0))
+    for f in range(COUNTED):
+        here = lambda gram: F.shiftright(gram, 8 * GRAM_BYTES - 2).bitwiseAND(F.lit(COUNTED - 1)) == f  # noqa: B023, E731
+        part = ranked.select("node", F.filter("grams", here).alias("part"))
+        x = pairs.join(part.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(part.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+        x = x.select("a", "b", "na", "nb", (F.col("k") + F.size(F.array_intersect("pa", "pb"))).alias("k"), (F.col("la") - F.size("pa")).alias("la"), (F.col("lb") - F.size("pb")).alias("lb"))
+        pairs = x.filter((F.col("k") + F.least("la", "lb")) * (whole + parts) >= (F.col("na") + F.col("nb")) * parts)
+    return pairs.select("a", "b")
+
+
+def _connect(marks: DataFrame, ranked: DataFrame, parts: int, whole: int) -> DataFrame:
+    """(node, label) of the nodes in lists.
+
+    A label is the name of a node that its members are connected to.  First the members
+    of each list meet its centre, then those meet that are not connected by that.
+    """
+    reach = _reach("x", "y", parts, whole)
+    # a node in large lists is like what its group has in common, the text that others are copies of
+    like = stage(marks.groupBy("node").agg(F.sum("k").alias("like")), "like")
+    rows = marks.join(like, "node").select("mark", F.struct("node", "n", "place").alias("x"), "like")
+    centres = rows.groupBy("mark").agg(F.max_by("x", F.struct("like", "x.node")).alias("y"))
+    met = rows.join(centres, "mark").filter("x.node != y.node").filter(reach)
+    pairs = stage(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    links = stage(_linked(pairs, ranked, parts, whole), "links")
+    labels = stage(like.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    rows = stage(marks.join(labels, "node").select("mark", F.struct("node", "n", "place", "label").alias("x")), "open")
+    # within a list, those of the most frequent label need not meet each other
+    own = rows.groupBy("mark", "x.label").agg(F.count("*").alias("k"))
+    main = own.groupBy("mark").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).filter("labels > 1").drop("labels")
+    every = stage(rows.join(main, "mark"), "several")
+    few = every.filter(F.col("x.label") != F.col("main")).select("mark", "x")
+    met = few.join(every.withColumnRenamed("x", "y"), "mark").filter((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))) & reach)
+    pairs = stage(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    found = _linked(pairs, ranked, parts, whole)
+    for side in ("a", "b"):
+        found = found.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
+    joined = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("label").alias("root"), F.col("node").alias("label"))
     return labels.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
+
+
+def _labelled(rows: DataFrame, width: int, parts: int, whole: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, label of each keyed row; label is null without words."""
+    spark = rows.sparkSession
+    ship(spark)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(1, -(-size // FRAGMENT_TEXT))
+    sent = rows.mapInArrow(_scan(width, fragments), _SENT)
+    # what passes through goes to any task
+    said = sent.groupBy(F.when(F.col("fragment") < 0, -F.col("piece") - 1).otherwise(F.col("fragment").cast("long")).alias("task")).applyInArrow(_tell, _SAID)
+    sets = said.groupBy("piece").applyInArrow(_gather(parts, whole), _SETS).withColumn("uid", F.monotonically_increasing_id())
+    sets = stage(sets, "sets")
+    tidy(spark)
+    some = sets.filter("n > 0").drop("keys")
+    classes = stage(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
+    ranked, marks = _lists(sets, classes, parts, whole)
+    tidy(spark)
+    labels = _connect(marks, ranked, parts, whole)
+    named = stage(classes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label")), "named")
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "label").select("digest", "label", "component_id")
+    empty = sets.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    return some.join(named, "digest").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "label").unionByName(empty)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, parts: int = 90, whole: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
@@ -263,42 +317,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``width``-grams is shared.  Fewer words than ``width`` are one gram; null texts
     and texts without words have no set and link with nothing (component_id is their
     own id).  component_id is the smallest id reachable by links; null ids are
-    passed over.  Rows that are there twice have equal sets.
+    passed over.  Rows that are there twice have equal sets.  An empty table gives no
+    rows; other columns are not read.  A document is worked on whole: a task needs some
+    hundred bytes of memory for each word of its longest one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    sets = rows.mapInArrow(_scan(width, parts, whole), "doc_id long, th int, n long, digest binary, marks array<long>").withColumn("uid", F.monotonically_increasing_id())
-    wide = stage(sets, "signed-sets")
-    sets = stage(wide.drop("marks"), "sets")
-    spark = docs.sparkSession
-    tidy(spark)
-    some = sets.filter("n > 0")
-    classes = stage(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    marks = wide.filter("n > 0").select("uid", F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min("uid").alias("x"), F.max("uid").alias("y")).filter("x != y").select("mark")
-    member = some.select("uid", "digest").join(classes.select("digest", "node"), "digest").select("uid", "node")
-    marked = marks.join(shared.hint("shuffle_hash"), "mark", "left_semi").join(member, "uid").select("mark", "node").distinct()
-    marked = stage(marked, "marked")
-    drop(wide)
-    tidy(spark)
-    nodes = marked.select("node").distinct()
-    texts = sets.join(nodes, sets["uid"] == nodes["node"]).select("node", "doc_id", "th")
-    texts = rows.join(texts, rows["doc_id"].eqNullSafe(texts["doc_id"]) & (rows["th"] == texts["th"])).select("node", "text")
-    fragments = stage(texts.mapInArrow(_fragments(width), "node long, fragment int, m int, grams array<long>, prints array<smallint>").dropDuplicates(["node", "fragment"]), "fragments")
-    tidy(spark)
-    labels = _connect(marked, fragments, classes.select("node", "n"), parts, whole)
-    if labels is not None:
-        named = classes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
-        least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-        named = named.join(least, "label").select("digest", "component_id")
-    else:
-        named = classes.select("digest", F.col("least").alias("component_id"))
-    empty = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th")
-    return some.join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th").unionByName(empty)
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All columns of the rows that stay: of each component, the row with the smallest id."""
-    found = jaccard_components(docs, id_col, text_col, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "th").distinct()
-    key, th = docs[id_col].cast("long"), F.hash(docs[text_col])
-    return docs.join(kept.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), key.eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_semi")
+    return _labelled(_keyed(docs, id_col, text_col), width, parts, whole).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, parts: int = 90, whole: int = 100) -> DataFrame:
+    """All columns of the rows that stay: one of each component, with the smallest id.
+
+    A component of null ids keeps one of them.  Of rows that share the id and are linked, or
+    are there twice, one stays.  Rows without words link with nothing, so all of them stay.
+    """
+    found = stage(_labelled(_keyed(docs, id_col, text_col), width, parts, whole).select("doc_id", "th", "label"), "labelled")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("first")
+    kept = found.filter("label is not null").groupBy("label").agg(first).select("first.doc_id", "first.th").distinct()
+    rows = found.filter("label is not null").groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    # two components can keep rows that look alike here only if those are the same row
+    kept = kept.join(rows, kept["doc_id"].eqNullSafe(rows["doc_id"]) & (kept["th"] == rows["th"])).select(kept["doc_id"], kept["th"], "rows")
+    bare = found.filter("label is null").select("doc_id", "th").distinct().withColumn("rows", F.lit(1).cast("long"))
+    kept = kept.unionByName(bare)
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
+    x = x.join(kept, x["doc_id"].eqNullSafe(kept["doc_id"]) & (x["th"] == kept["th"])).select("row", x["doc_id"], x["th"], "rows")
+    single, twice = x.filter("rows = 1").select("row.*"), x.filter("rows > 1")
+    once = twice.groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(once)

@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from harrow.llm import vertical_join
 from harrow.llm.chunk_recipes import dedup, dedup_report
 from harrow.llm.components import components
-from harrow.llm.vertical_join import Levels, jaccard_components, one_of_each, signatures
+from harrow.llm.vertical_join import first_grams, jaccard_components, one_of_each
 
 SCHEMA = "doc_id long, text string, kept string, n long, label int"
 
@@ -90,11 +93,8 @@ def brute_components(rows):
     return sorted((str(d), len(sets[i]), str(least.get(find(i)))) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,budget", [(1, 0.05), (2, 0.0), (3, 1e9)])
-def test_jaccard_join(spark, seed, budget, monkeypatch):
-    from harrow.llm import vertical_join
-
-    monkeypatch.setattr(vertical_join, "PAIRS_PER_ROW", budget)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_join(spark, seed):
     rows = near_copies(seed)
     want = brute_components(rows)
     got = jaccard_components(frame(spark, rows)).collect()
@@ -104,19 +104,73 @@ def test_jaccard_join(spark, seed, budget, monkeypatch):
         assert {str(r.doc_id) for r in kept} == {d for d, _, c in want if d == c}
 
 
+@pytest.mark.parametrize("pieces", [300, 1 << 20])
+def test_jaccard_join_in_small_pieces_and_many_fragments(spark, pieces, monkeypatch):
+    monkeypatch.setattr(vertical_join, "FRAGMENT_TEXT", 1000)
+    monkeypatch.setattr(vertical_join.kernels, "PIECE_BYTES", 100)
+    r = random.Random(pieces)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for _ in range(25):
+        base = [r.choice(words) for _ in range(r.randint(1, 60))]
+        for _ in range(r.choice([1, 1, 2, 12])):
+            t = list(base)
+            for _ in range(r.randint(0, 2)):
+                t[r.randrange(len(t))] = r.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    batches = pa.record_batch({"doc_id": [d for d, _ in rows], "th": [0] * len(rows), "text": [t for _, t in rows]})
+    monkeypatch.setattr(vertical_join, "PIECE_TEXT", pieces)
+    monkeypatch.setattr(vertical_join.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    sent = [x for b in vertical_join._scan(3, 5)(iter([batches])) for x in b.to_pylist()]
+    assert (len({x["piece"] for x in sent}) > 3) == (pieces == 300)
+    told, schema = [], pa.schema({"piece": pa.int64(), "fragment": pa.int32(), "keys": pa.binary(), "who": pa.binary(), "known": pa.binary(), "docs": pa.binary()})
+    for f in range(-1, 5):
+        told += vertical_join._tell(pa.Table.from_pylist([x for x in sent if x["fragment"] == f], schema)).to_pylist()
+    got = []
+    for p in {x["piece"] for x in told}:
+        got += vertical_join._gather(90, 100)(pa.Table.from_pylist([x for x in told if x["piece"] == p], pa.schema({k: schema.field(k).type for k in ("piece", "fragment", "keys", "who", "docs")}))).to_pylist()
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:])) or {t} for _, t in rows]
+    of = {g: {frozenset(s) for s in sets if g in s} for s in sets for g in s}
+    assert [x["doc_id"] for x in sorted(got, key=lambda x: x["doc_id"])] == list(range(len(rows)))
+    for x in got:
+        s = sets[x["doc_id"]]
+        copies = sum(s == o for o in sets) if pieces == 300 else 1
+        shared = sum(len(of[g]) > 1 for g in s)
+        if x["keys"] is not None:
+            assert len(x["keys"]) in ({shared} if copies == 1 else {shared, len(s)}) and len(s) - len(x["keys"]) < vertical_join.first_grams(len(s), 90, 100)
+        elif copies == 1 and not any(s == sets[e] for e in range(x["doc_id"])):
+            assert not shared or len(s) - shared >= vertical_join.first_grams(len(s), 90, 100)
+    want = brute_components(rows)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(frame(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("parts", [80, 90])
-def test_near_sets_share_a_signature(parts):
-    rng, levels = np.random.default_rng(parts), Levels(parts, 100)
+def test_near_sets_meet_in_a_list(parts):
+    rng = np.random.default_rng(parts)
     for _ in range(4000):
         n = int(rng.integers(1, 12) if rng.random() < 0.5 else rng.integers(1, 400))
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
-        keep = a[rng.permutation(n)[: n - int(rng.integers(0, max(1, n // 6) + 1))]]
-        b = np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 6) + 1)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+        a = rng.permutation(5000)[:n]
+        keep = a[: n - int(rng.integers(0, max(1, n // 6) + 1))]
+        b = np.concatenate([keep, 5000 + np.arange(int(rng.integers(0, max(1, n // 6) + 1)))])
         union = n + len(b) - len(keep)
-        if len(b) and 100 * len(keep) >= parts * union and len(keep) < union:
-            x, y = np.unique(a), np.unique(b)
-            assert levels.of(max(len(x), len(y))) - levels.of(min(len(x), len(y))) in (0, 1)
-            assert np.intersect1d(signatures(x, levels), signatures(y, levels)).size
+        if len(b) and 100 * len(keep) >= parts * union:
+            order = rng.permutation(len(a) + 5000 + len(b))
+            rank = {int(g): k for k, g in enumerate(order)}
+            x, y = sorted(a.tolist(), key=rank.__getitem__), sorted(b.tolist(), key=rank.__getitem__)
+            meet = min(set(x) & set(y), key=rank.__getitem__)
+            need = -(-parts * (len(x) + len(y)) // (100 + parts))
+            for own in (x, y):
+                assert own.index(meet) < first_grams(len(own), parts, 100) and len(own) - own.index(meet) >= need
+
+
+def test_one_of_each_with_repeats_nulls_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(4, text, 1, 1, "a", 0), (4, text, 1, 1, "a", 0), (4, text, 1, 1, "a", 0), (5, text + " x", 1, 2, "b", 0), (4, text + " y", 2, 2, "c", 0)]
+    rows += [(None, "only nulls here", 0, 0, "d", 0), (None, "only nulls here", 0, 0, "d", 0), (7, None, 0, 0, "e", 0), (7, None, 0, 0, "e", 0), (8, " ", 0, 0, "f", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _th int, label string, row int").repartition(3)
+    out = one_of_each(docs, width=5, parts=80)
+    assert out.columns == docs.columns
+    assert sorted((r.label for r in out.collect())) in (["a", "d", "e", "e", "f"], ["c", "d", "e", "e", "f"])
 
 
 def test_components(spark):
