@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,10 @@ def drop(table: DataFrame) -> None:
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of what is staged by now.
 
-    It does so when the driver's JVM collects its garbage, which may take long.
+    It does so when the driver's JVM collects its garbage, which may take long.  The
+    last query is still held by the event that tells its end, hence a second time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
