@@ -117,15 +117,17 @@ def _send(piece: int, held: list[tuple], fragments: int) -> pa.RecordBatch:
     again = np.repeat(counts > 1, counts)
     edges = fragment_edges(grams, fragments)
     rows, local, local_who = [], [], []
+    ends = np.zeros(fragments, "<i4")
     for f in np.flatnonzero(np.diff(edges)).tolist():
         at = slice(edges[f], edges[f + 1])
         g, w, many = grams[at], who[at], again[at]
         by = np.argsort(w[~many], kind="stable")
         rows.append((piece, f, _packed(g[~many][by]), w[~many][by].tobytes(), _packed(g[many & first[at]]), None))
-        local.append(_unpacked(_packed(g[many]), f))
-        local_who.append(w[many])
-    known = np.concatenate(local) if local else grams
-    rows.append((piece, -1, known.tobytes(), np.concatenate(local_who).tobytes() if local else b"", str(len(rows)).encode(), docs.tobytes()))
+        local.append(_packed(g[many]))
+        local_who.append(w[many].tobytes())
+        ends[f] = many.sum()
+    header = np.array([len(rows), fragments], "<i4").tobytes() + ends.tobytes()
+    rows.append((piece, -1, b"".join(local), b"".join(local_who), None, header + docs.tobytes()))
     types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["piece", "fragment", "keys", "who", "known", "docs"])
 
@@ -151,7 +153,7 @@ def _tell(table: pa.Table) -> pa.Table:
     """For one fragment: each piece's grams that other texts have too.  Rows of fragment -1 pass."""
     rows = table.to_pylist()
     asked = [r for r in rows if r["docs"] is None]
-    out = [(r["piece"], -1, r["keys"], r["who"], r["known"] + b" " + r["docs"]) for r in rows if r["docs"] is not None]
+    out = [(r["piece"], -1, r["keys"], r["who"], r["docs"]) for r in rows if r["docs"] is not None]
     if asked:
         short = np.frombuffer(b"".join(r["keys"] for r in asked), np.uint8).reshape(-1, GRAM_BYTES)
         keys = _unpacked(short.tobytes(), 0)
@@ -179,11 +181,13 @@ def _gather(parts: int, whole: int):
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         (own,) = (r for r in rows if r["docs"] is not None)
-        sent, _, data = own["docs"].partition(b" ")
-        if int(sent) != len(rows) - 1:
+        sent, fragments = np.frombuffer(own["docs"], "<i4", 2).tolist()
+        if sent != len(rows) - 1:
             raise RuntimeError("a piece of documents was cut differently when it was read again")
-        docs = np.frombuffer(data, _DOCS)
-        keys = np.concatenate([np.frombuffer(own["keys"], "<u8"), *(_unpacked(r["keys"], r["fragment"]) for r in rows if r is not own)])
+        known = np.frombuffer(own["docs"], "<i4", fragments, 8)
+        docs = np.frombuffer(own["docs"], _DOCS, offset=8 + 4 * fragments)
+        names = np.repeat(np.arange(fragments, dtype=_U), known) << _U(8 * GRAM_BYTES)
+        keys = np.concatenate([_unpacked(own["keys"], 0) + names, *(_unpacked(r["keys"], r["fragment"]) for r in rows if r is not own)])
         who = np.concatenate([np.frombuffer(r["who"], np.uint16) for r in [own, *(r for r in rows if r is not own)]])
         order = np.argsort(who, kind="stable")
         keys = keys[order].astype("<u8").view(np.int64)
@@ -208,17 +212,14 @@ def _gather(parts: int, whole: int):
     return gather
 
 
-def _lists(sets: DataFrame, classes: DataFrame, parts: int, whole: int) -> tuple[DataFrame, DataFrame]:
+def _lists(live: DataFrame, parts: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """(node, n, grams) of nodes that can link, and (mark, node, n, place): their first grams, rarest first."""
-    live = sets.filter("keys is not null").groupBy("digest").agg(F.first("keys").alias("keys"))
-    live = stage(live.join(classes.select("digest", "node", "n"), "digest").select("node", "n", "keys"), "live")
     entries = live.select("node", "n", F.explode("keys").alias("key"))
     often = entries.groupBy("key").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
     ranked = entries.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("grams"))
     private = F.col("n") - F.size("grams")
     ranked = ranked.withColumn("private", private).withColumn("first", F.expr(f"cast(n + floor(-({parts} * n) / {whole}) + 1 - private as int)")).filter("first > 0")
     ranked = stage(ranked.select("node", "n", "private", "first", F.col("grams.key").alias("grams")), "ranked")
-    drop(live)
     marks = ranked.select("node", "n", "private", F.posexplode(F.slice("grams", F.lit(1), F.col("first"))).alias("i", "mark")).select("mark", "node", "n", (F.col("private") + F.col("i")).alias("place"))
     twice = marks.groupBy("mark").agg(F.count("*").alias("k")).filter("k > 1")
     return ranked, stage(marks.join(twice, "mark").select("mark", "node", "n", "place", "k"), "marks")
@@ -296,11 +297,17 @@ def _labelled(rows: DataFrame, width: int, parts: int, whole: int) -> DataFrame:
     # what passes through goes to any task
     said = sent.groupBy(F.when(F.col("fragment") < 0, -F.col("piece") - 1).otherwise(F.col("fragment").cast("long")).alias("task")).applyInArrow(_tell, _SAID)
     sets = said.groupBy("piece").applyInArrow(_gather(parts, whole), _SETS).withColumn("uid", F.monotonically_increasing_id())
-    sets = stage(sets, "sets")
+    wide = stage(sets, "sets")
     tidy(spark)
-    some = sets.filter("n > 0").drop("keys")
+    sets = stage(wide.drop("keys"), "sets")
+    some = sets.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    ranked, marks = _lists(sets, classes, parts, whole)
+    live = wide.filter("keys is not null").groupBy("digest").agg(F.first("keys").alias("keys"))
+    live = stage(live.join(classes.select("digest", "node", "n"), "digest").select("node", "n", "keys"), "live")
+    drop(wide)
+    tidy(spark)
+    ranked, marks = _lists(live, parts, whole)
+    drop(live)
     tidy(spark)
     labels = _connect(marks, ranked, parts, whole)
     named = stage(classes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label")), "named")
