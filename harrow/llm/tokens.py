@@ -55,7 +55,8 @@ class Encoder:
     Byte-level BPE never merges across the boundary before a single blank that
     stands between two characters that are not white space.  A text all of whose
     blanks are such is encoded word by word, each distinct word once; any other
-    text goes to the tokenizer in one piece.
+    text goes to the tokenizer in one piece, and so does one that spells a token added
+    to the vocabulary, which the tokenizer takes for that token.
     """
 
     def __init__(self, path: str):
@@ -64,7 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         model = self.tokenizer.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # the words kept here are never asked for again
@@ -98,6 +99,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if len(self.later) + len(self.kept) > KEPT_WORDS:
             self.forget()
+        if any(token in text for token in self.added):
+            return self.whole(text)
         words = text.split(" ")
         first = self.first[words[0]]
         if first is not None:

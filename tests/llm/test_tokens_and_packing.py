@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from harrow.llm import id_store
 from harrow.llm.matching_pack import deals, pack, solve
+from harrow.llm.tokens import encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, sequence_id string, start int"
@@ -25,12 +26,24 @@ def docs():
     return [(*x, "c", 9) for x in rows]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = TOKENIZER
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_are_read_as_the_library_reads_them():
+    r = random.Random(11)
+    parts = ["<|endoftext|>", "a", " ", "b.", "<|endo", "ftext|>", "  ", "\n", "é", "漢", "|>", "1,"]
+    enc = encoder(PATH)
+    assert np.frombuffer(enc.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
