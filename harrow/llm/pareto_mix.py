@@ -1,15 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A document of source s is wanted e_s = target_s / size_s times.  floor(e_s) whole
-copies are certain; the fraction f_s is its inclusion probability for one more.
-Documents are ranked by  odds(u) / odds(f_s)  with u uniform and fixed by the
+copies are certain; what is left of the target, in words, is a sample of documents
+that come once more.  A sample of words would hit a document as often as it is long,
+so its inclusion probability is p = min(1, c_s * size), with c_s such that the
+expected words are those wanted.  Documents with p = 1 are certain and set apart.
+The others are ranked by  odds(u) / odds(p)  with u uniform and fixed by the
 document's id, and the sample takes the lowest ranks of each source up to a fixed
 size, counted in words.
 
-A source can hold a third of all documents, so no window ever runs over a source:
-u is cut into ``BUCKETS`` ranges, the words of each range are summed before the
-shuffle, and only the range in which the sample ends is ordered document by
-document.  What comes out is one threshold rank for each source.
+A source can hold a third of all documents, so no window ever runs over a source's
+documents: c_s follows from the counts of its distinct sizes; ranks are cut into
+``BUCKETS`` ranges, the words of each range are summed before the shuffle, and only
+the range in which the sample ends is ordered document by document.  What comes out
+is one threshold rank for each source.
 
 Only DataFrame functions run here.
 """
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from harrow.plans.scratch import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of u.  The one range that is ordered holds this share of a source.
+#: Ranges of the rank, r / (1 + r).  Near r = 1, where samples end, one range holds this share of a source at most.
 BUCKETS = 4096
 #: A plan of at most this many sources is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -34,8 +38,13 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _odds(p: Column) -> Column:
-    return p / (1.0 - p)
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _rank(u: Column, p: Column) -> Column:
+    """r / (1 + r) of the Pareto rank r = odds(u) / odds(p): 0 if p is 1, and 1 if p is 0."""
+    return u * (1.0 - p) / (u * (1.0 - p) + (1.0 - u) * p)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -67,24 +76,39 @@ def targets(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, u) of each document, and the plan of each source."""
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), uniform(F.col(id_col), seed).alias("u")), "sizes")
-    sums = stage(rows.groupBy("source", F.floor(F.col("u") * BUCKETS).alias("bucket")).agg(F.sum("size").alias("words")), "bucket-sums")
+    rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), _size(text_col).alias("size"), uniform(F.col(f"`{id_col}`"), seed).alias("u")), "sizes")
+    counts = stage(rows.groupBy("source", "size").agg(F.count("*").alias("k")), "counts")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
-    goal = stage(goal.withColumn("copies", copies).withColumn("certain", F.floor("copies")).withColumn("chance", F.col("copies") - F.col("certain")).withColumn("rest", F.col("chance") * F.col("source_size")), "goals")
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    sums = sums.withColumn("before", before)
-    last = _match(sums, goal).filter("before <= rest").groupBy("source").agg(F.max(F.struct("bucket", "before", "rest", "chance")).alias("x")).select("source", "x.*")
-    edge = _match(rows.withColumn("bucket", F.floor(F.col("u") * BUCKETS)), last, "bucket")
-    rank = (_odds(F.col("u")) / _odds(F.col("chance"))).alias("rank")
-    inside = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "u", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = edge.filter("chance > 0").select("*", rank).withColumn("upto", F.col("before") + inside)
+    goal = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size")), weights)
+    goal = goal.withColumn("certain", F.floor(copies)).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+    goal = stage(_left(goal, _rates(counts, goal)), "goals")
+    ranked = _match(rows.filter("size > 0"), goal.select("source", "rest", "rate", "longest", "above")).filter("rest > 0 and size <= longest")
+    ranked = ranked.withColumn("rank", _rank(F.col("u"), F.least(F.lit(1.0), F.col("rate") * F.col("size")))).withColumn("bucket", F.floor(F.col("rank") * BUCKETS))
+    sums = ranked.groupBy("source", "bucket", "rest", "above").agg(F.sum("size").alias("words"))
+    before = F.col("above") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
+    last = stage(sums.withColumn("before", before).filter("before <= rest").groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("x")).select("source", "x.*"), "last")
+    edge = _match(ranked, last, "bucket")
+    inside = F.sum("size").over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = edge.withColumn("upto", F.col("before") + inside)
     # a document is in if that brings the sum nearer to what is wanted
-    ends = ends.filter(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("u", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("upto"))
-    start = last.select("source", F.struct((F.col("bucket") / BUCKETS).alias("u"), F.lit(-(1 << 63)).alias("id")).alias("from"))
+    ends = ends.filter(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("upto"))
+    start = last.select("source", F.struct((F.col("bucket") / BUCKETS).alias("rank"), F.lit(-(1 << 63)).alias("id")).alias("from"))
     plan = _left(_left(goal, start), ends)
-    return rows, stage(plan.withColumn("edge", F.when(F.col("chance") > 0, F.coalesce("upto", "from"))).drop("upto", "from"), "plan")
+    return rows, stage(plan.withColumn("edge", F.coalesce("upto", "from")).drop("upto", "from"), "plan")
+
+
+def _rates(counts: DataFrame, goal: DataFrame) -> DataFrame:
+    """source, rate, longest, above: c_s, the greatest size that is not certain, and the words of all greater ones.
+
+    With all sizes above s certain, c = (rest - their words) / (sum of squares of the
+    others); the greatest s with c * s <= 1 is the one.  One row for each size of a source.
+    """
+    x = _match(counts.filter("size > 0"), goal.select("source", "rest")).filter("rest > 0")
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    words, squares = F.col("size") * F.col("k"), F.col("size").cast("double") * F.col("size") * F.col("k")
+    x = x.withColumn("above", F.sum(words).over(down) - words).withColumn("squares", F.sum(squares).over(Window.partitionBy("source").orderBy("size")))
+    x = x.withColumn("rate", (F.col("rest") - F.col("above")) / F.col("squares")).filter("rate > 0 and rate * size <= 1 + 1e-9")
+    return x.groupBy("source").agg(F.max_by(F.struct("rate", F.col("size").alias("longest"), "above"), "size").alias("x")).select("source", "x.*")
 
 
 def _match(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
@@ -98,9 +122,11 @@ def _left(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, a["source"].eqNullSafe(b["source"]), "left").select(a["*"], *[b[c] for c in b.columns if c != "source"])
 
 
-def _copies(u: Column, doc_id: Column) -> Column:
-    lower = F.struct(u.alias("u"), F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id")) <= F.col("edge")
-    return (F.col("certain") + F.when(F.coalesce(lower, F.lit(False)), 1).otherwise(0)).cast("long")
+def _copies(size: Column, u: Column, doc_id: Column) -> Column:
+    rank = _rank(u, F.least(F.lit(1.0), F.col("rate") * size))
+    lower = F.struct(rank.alias("rank"), F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id")) <= F.col("edge")
+    once = (F.col("rest") > 0) & ((size > F.col("longest")) | lower)
+    return (F.col("certain") + F.when((size > 0) & F.coalesce(once, F.lit(False)), 1).otherwise(0)).cast("long")
 
 
 def _planned(rows: DataFrame, source: Column, plan: DataFrame) -> DataFrame:
@@ -119,14 +145,18 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     which share one fate.  An empty table gives no rows.
     """
     rows, plan = plan_mix(docs, **options)
-    return _planned(rows, F.col("source"), plan).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("u"), F.col("doc_id"))).alias("taken"))
+    return _planned(rows, F.col("source"), plan).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("size"), F.col("u"), F.col("doc_id"))).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
-    """The mixed rows themselves, all columns, each as often as the mix takes it."""
-    _, plan = plan_mix(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
-    plan = plan.select("source", "certain", "edge")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
+    """The mixed rows themselves, all columns, each as often as the mix takes it.
+
+    Rows without words have no size to mix by; they come as often as their source's
+    certain copies.
+    """
+    _, plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    plan = plan.select("source", "certain", "rest", "rate", "longest", "edge")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    x = docs.select(whole, F.col(source_col).cast("string").alias("_s"), F.col(id_col).alias("_id"), uniform(F.col(id_col), seed).alias("_u"))
-    x = _planned(x, F.col("_s"), plan).withColumn("_n", _copies(F.col("_u"), F.col("_id"))).filter("_n > 0")
+    x = docs.select(whole, F.col(f"`{source_col}`").cast("string").alias("_s"), F.col(f"`{id_col}`").alias("_id"), uniform(F.col(f"`{id_col}`"), seed).alias("_u"), _size(text_col).alias("_n"))
+    x = _planned(x, F.col("_s"), plan).withColumn("_n", _copies(F.col("_n"), F.col("_u"), F.col("_id"))).filter("_n > 0")
     return x.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

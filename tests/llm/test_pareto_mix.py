@@ -1,8 +1,9 @@
+import random
 from collections import defaultdict
 
 import pytest
 
-from harrow.llm.pareto_mix import mix, mix_report
+from harrow.llm.pareto_mix import mix, mix_report, plan_mix
 
 SCHEMA = "doc_id long, text string, source string, size string, target int, u double"
 
@@ -63,3 +64,31 @@ def test_repeats_nulls_and_nothing(spark):
     assert mix_report(spark.createDataFrame(odd, SCHEMA)).count() == 4
     empty = [(1, None, "a", "", 0, 0.0), (2, " ", "b", "", 0, 0.0)]
     assert {r.taken for r in mix_report(spark.createDataFrame(empty, SCHEMA)).collect()} == {0}
+
+
+def test_ranks_decide_with_unequal_chances(spark):
+    """Longer documents are likelier, by the rank's odds; the sample is the lowest ranks."""
+    r = random.Random(4)
+    docs = [(i, " ".join(["w"] * r.choice([1, 5, 20, 400 if i < 3 else 60])), "s" if i % 3 else "t", "", 0, 0.0) for i in range(3000)]
+    rows, plan = plan_mix(spark.createDataFrame(docs, SCHEMA))
+    plan = {p.source: p for p in plan.collect()}
+    rows = rows.collect()
+    taken = {x.doc_id: x.taken for x in mix_report(spark.createDataFrame(docs, SCHEMA)).collect()}
+    plain = 0
+    for source, p in plan.items():
+        own = [x for x in rows if x.source == source]
+        extra = {x.doc_id: taken[x.doc_id] // x["size"] - p.certain for x in own}
+        assert set(extra.values()) <= {0, 1} and p.rest > 0
+        chance = {x.doc_id: min(1.0, p.rate * x["size"]) for x in own}
+        assert sum(chance[x.doc_id] * x["size"] for x in own) == pytest.approx(p.rest)
+        sure = [x for x in own if x["size"] > p.longest]
+        assert all(extra[x.doc_id] == 1 for x in sure)
+        odds = lambda q: q / (1 - q) if q < 1 else float("inf")
+        ranks = sorted((odds(x.u) / odds(chance[x.doc_id]), x.doc_id) for x in own if x["size"] <= p.longest)
+        chosen = [extra[i] for _, i in ranks]
+        assert chosen == sorted(chosen, reverse=True)
+        by_u = [extra[i] for _, i in sorted((x.u, x.doc_id) for x in own if x["size"] <= p.longest)]
+        plain += by_u != sorted(by_u, reverse=True)
+        shares = {n: [extra[x.doc_id] for x in own if x["size"] == n] for n in (5, 60)}
+        assert sum(shares[60]) / len(shares[60]) > 2 * sum(shares[5]) / len(shares[5])
+    assert plain == len(plan)
