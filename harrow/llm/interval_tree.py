@@ -90,12 +90,15 @@ def _resolver(length: int):
         out = []
         for anchor, group in shard.groupby("anchor", sort=False):
             bodies, at, n, regions = group["body"].tolist(), group["at"].tolist(), group["n"].tolist(), group["region"].tolist()
-            spans = [[(0, len(b))] if k > 1 else [] for b, k in zip(bodies, n, strict=True)]
-            if len(bodies) > 1:
-                for depth, members, left in maximal_repeats([b[:a] for b, a in zip(bodies, at, strict=True)], [b[a:] for b, a in zip(bodies, at, strict=True)], length):
+            # a region that stands in several places is there twice: what it repeats is itself
+            own = [i for i, k in enumerate(n) for _ in range(min(k, 2))]
+            spans: list[list[tuple[int, int]]] = [[] for _ in bodies]
+            if len(own) > 1:
+                for depth, members, left in maximal_repeats([bodies[i][: at[i]] for i in own], [bodies[i][at[i] :] for i in own], length):
                     for m, k in zip(members.tolist(), left.tolist(), strict=True):
                         if k + depth >= length:
-                            spans[m].append((at[m] - k, at[m] + depth))
+                            i = own[m]
+                            spans[i].append((at[i] - k, at[i] + depth))
             out += [(anchor, region, [{"s": s, "e": e} for s, e in kernels.merge_spans(np.array(x, np.int64)).tolist()]) for region, x in zip(regions, spans, strict=True) if x]
         return pd.DataFrame(out, columns=["anchor", "region", "spans"])
 

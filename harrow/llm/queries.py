@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join
+from harrow.plans.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,7 @@ def tokenizer_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)  # before any Python function is planned
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -81,7 +83,9 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
-#: Exact dedup, in DuckDB SQL.
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: The queries that SQL can express on whole tables, in DuckDB's.
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
@@ -89,4 +93,26 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)
     """,
+    "op1_substring_dedup": rf"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+             s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM t WHERE len(w) >= 35),
+             k AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS x FROM s),
+             again AS (SELECT x FROM k GROUP BY x HAVING count(*) > 1),
+             gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM k SEMI JOIN again USING (x)),
+             m AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+             p AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+             kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM p ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM t LEFT JOIN m USING (r) LEFT JOIN kept USING (r)
+    """,
+    "op9_jaccard_join": rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+             g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS x FROM t WHERE len(w) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+             l AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+             reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
+    """,
 }

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import kernels
-from harrow.plans.scratch import stage
+from harrow.plans.scratch import drop, stage, tidy
+from harrow.plans.ship import ship
 
 Resolver = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -127,10 +128,16 @@ def _count_windows(bodies: DataFrame, unit: str, length: int) -> DataFrame:
 
 def recurring_spans(rows: DataFrame, unit: str, length: int, gram: int, resolve: Resolver, max_variants: int) -> DataFrame:
     """(doc_id, th, spans) of each document of ``keyed`` rows that has a recurring window."""
+    if not 0 < gram <= length < 1 << 15:
+        raise ValueError("a window has 1 to 32767 units, and at least those of a gram")
+    ship(rows.sparkSession)
     runs = stage(rows.mapInArrow(_runs(unit, length, gram), _RUNS), "runs")
     # staged, so that the join reads two plain exchanges and a crowded anchor can be split
     twice = stage(runs.groupBy("anchor").count().filter("count >= 2").select("anchor"), "twice")
     hits = stage(runs.join(twice, "anchor", "left_semi"), "hits")
+    drop(runs)
+    drop(twice)
+    tidy(rows.sparkSession)
     variants = stage(hits.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first", "geo")).alias("at")), "variants")
     wanted = variants.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("anchor", "region", "n", "at.first", "at.geo")).alias("want"))
     texts = rows.join(wanted, same_row(rows, wanted)).select(rows["text"], wanted["want"], rows["doc_id"], rows["th"])
