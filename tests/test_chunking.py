@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from harrow.operators.chunking import chunk_text, chunks, outline, outline_text, paragraph_windows, paragraphs, render_outline, spans, text_lines
 
-PY = "import os\n\n\ndef add(a, b):\n    return a + b\n\n\n@wraps\ndef deco():\n    pass\n\n\ndef run():\n    x = 1\n    return x\n\n\nclass Pool:\n    def get(self):\n        return 1\n"
-C = "#include <stdio.h>\n\nstruct Point {\n  int x; /* } */\n  int y;\n};\n\nint add(int a, int b) {\n  return a + b;\n}\nstatic int table[] = {1, 2};\n"
-CPP = "#include <vector>\n\nclass Pool : public Base {\n public:\n  int get() { return 1; }\n};\n\ntemplate <typename T>\nstruct Box {\n  T v;\n};\n\nint ns::add(int a) const {\n  return a;\n}\nnamespace deep {\nint inner() { return 0; }\n}\n"
-TS = "import x from 'y';\n\nexport function add(a: number): number {\n  return `${a}}`.length;\n}\n\nexport class Pool {\n  private size = 3;\n  get(): number {\n    if (this.size) { return 1; }\n    return 2;\n  }\n}\n\nexport const z = () => { return 1 };\ninterface Shape { a: number }\n"
+PY = '"""Ledger helpers."""\nfrom decimal import Decimal\n\nRATE = Decimal("0.2")\n\n\nclass Ledger:\n    total = 0\n\n    def post(self, amount):\n        self.total += amount\n\n    async def close(self):\n        return self.total\n\n\nasync def settle(book):\n    await book.close()\n\n\n@cached\n@traced(level=2)\ndef tax(amount):\n    def half(x):\n        return x / 2\n    return half(amount) * RATE\n'
+C = '/* queue of ints */\n#define CAP 16\nenum mode { FIFO, LIFO };\n\nunion cell {\n  long word;\n  char bytes[8]; // {\n};\n\nstatic const char *label(enum mode m)\n{\n  return m == FIFO ? "{" : "}";\n}\nint ready;\n'
+CPP = '#pragma once\n\nnamespace store {\nclass Shelf final {\n public:\n  bool full() const { return used == 9; }\n private:\n  int used = 0;\n};\n}\n\ntemplate <class K, class V>\nstruct Entry {\n  K key;\n  V value;\n};\n\nvoid store::sweep(Shelf& s) {\n  // }\n}\n'
+TS = "type Id = string;\n\ninterface Row {\n  id: Id;\n}\n\nexport default class Table {\n  rows: Row[] = [];\n  insert(row: Row): void {\n    this.rows.push({ ...row });\n  }\n}\n\nasync function load(url: string) {\n  const text = `{${url}`;\n  return text;\n}\n\nenum Mode { Read, Write }\n"
 
 
 def named(path, text):
@@ -16,19 +16,19 @@ def named(path, text):
 
 
 def test_python_boundaries():
-    assert named("a.py", PY) == [("module", None, 1, 1), ("function", "add", 4, 5), ("function", "deco", 8, 10), ("function", "run", 13, 15), ("class", "Pool", 18, 20)]
+    assert named("a.py", PY) == [("module", None, 1, 4), ("class", "Ledger", 7, 14), ("function", "settle", 17, 18), ("function", "tax", 21, 26)]
 
 
 def test_c_boundaries():
-    assert named("a.c", C) == [("module", None, 1, 1), ("struct", "Point", 3, 6), ("function", "add", 8, 10), (None, None, 11, 11)]
+    assert named("a.c", C) == [("module", None, 1, 2), ("enum", "mode", 3, 3), ("union", "cell", 5, 8), ("function", "label", 10, 13), (None, None, 14, 14)]
 
 
 def test_cpp_boundaries():
-    assert named("a.cpp", CPP) == [("module", None, 1, 1), ("class", "Pool", 3, 6), ("struct", "Box", 8, 11), ("function", "ns::add", 13, 15), ("namespace", "deep", 16, 18)]
+    assert named("a.cpp", CPP) == [("module", None, 1, 1), ("namespace", "store", 3, 10), ("struct", "Entry", 12, 16), ("function", "store::sweep", 18, 20)]
 
 
 def test_ts_boundaries():
-    assert named("a.ts", TS) == [("module", None, 1, 1), ("function", "add", 3, 5), ("class", "Pool", 7, 13), (None, None, 15, 15), ("interface", "Shape", 16, 16)]
+    assert named("a.ts", TS) == [("module", None, 1, 1), ("interface", "Row", 3, 5), ("class", "Table", 7, 12), ("function", "load", 14, 17), (None, None, 19, 19)]
 
 
 def test_broken_python_still_has_declarations():
@@ -59,16 +59,17 @@ def test_no_line_is_lost_or_doubled(name):
 def test_spark_forms(spark):
     files = spark.createDataFrame([("a.py", PY), ("notes.txt", "a\nb\n\nc\n" + "z\n" * 250), ("empty.py", "")], "path string, text string")
     got = chunks(files)
-    assert got.filter("path = 'a.py'").count() == 5 and got.filter("path = 'empty.py'").count() == 0
+    assert got.filter("path = 'a.py'").count() == 4 and got.filter("path = 'empty.py'").count() == 0
     low = got.filter("path = 'notes.txt'").orderBy("seq").select("start_line", "end_line", "low_confidence").collect()
     assert [tuple(r) for r in low] == [(1, 2, True), (4, 203, True), (204, 254, True)]
     windows = paragraph_windows(text_lines(files.filter("path = 'notes.txt'"))).orderBy("start_line").collect()
     assert [(r.start_line, r.end_line) for r in windows] == [(1, 2), (4, 203), (204, 254)] == paragraphs(("a\nb\n\nc\n" + "z\n" * 250).splitlines())
-    assert got.filter(F.col("text").startswith("// file: a.py  |  symbol: function add  |  lines 4-5\ndef add")).count() == 1
+    assert got.filter(F.col("text").startswith("// file: a.py  |  symbol: function settle  |  lines 17-18\nasync def settle")).count() == 1
     rows = outline(files).filter("path = 'a.py'").collect()
-    assert "  method get  19-20" in render_outline(rows) and len(rows) == 5
+    assert "  method close  13-14" in render_outline(rows) and len(rows) == 6
 
 
 def test_outline_depth():
-    assert [r[4:6] for r in outline_text("a.cpp", CPP, 1)] == [("class", "Pool"), ("struct", "Box"), ("function", "ns::add"), ("namespace", "deep")]
-    assert ("method", "get") in [r[4:6] for r in outline_text("a.cpp", CPP)] and ("method", "get") in [r[4:6] for r in outline_text("a.ts", TS)]
+    assert [r[4:6] for r in outline_text("a.cpp", CPP, 1)] == [("namespace", "store"), ("struct", "Entry"), ("function", "store::sweep")]
+    assert ("class", "Shelf") in [r[4:6] for r in outline_text("a.cpp", CPP)] and ("method", "insert") in [r[4:6] for r in outline_text("a.ts", TS)]
+    assert [r[2:6] for r in outline_text("a.py", PY)][-1] == (4, 2, "function", "half")
