@@ -10,7 +10,7 @@ and the best estimates are reranked by exact inner products in double precision.
 Centroids and codebooks are fitted on a bounded sample; every row is indexed.  How
 many lists a query must probe depends on the data: it is read off the sample, whose
 exact neighbours are known; a query whose lists hold too few rows probes more.  Lists are dealt out in blocks, so a crowded one (many
-copies of one vector) does not meet in one task.
+copies of one vector) does not meet in one task, and so are the queries of a list.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CODEWORDS = 64
 #: Lists: the root of the number of rows over 4, within these bounds.
 LISTS = (4, 1024)
 BLOCK_ROWS = 4_096
+#: Queries that meet a block of a list at once.
+BLOCK_QUERIES = 8_192
 #: Exact reranking of so many best estimates of a query in each block.
 RERANK = 320
 #: Share of the sample's true neighbours that the probed lists must hold.
@@ -254,11 +256,17 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str =
     blocks = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     dealt = rows.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = packed.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    parts = max(1, -(-asked.count() // BLOCK_QUERIES))
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in rows.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
     probes = asked.mapInArrow(_probe(index, sizes, k), "query_id long, q binary, list int").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = dealt.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInPandas(_search(index, k, rerank), "query_id long, vec_id long, score double")
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    if parts > 1:
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    else:
+        dealt = dealt.withColumn("part", F.lit(0))
+    found = dealt.groupBy("list", "block", "part").cogroup(probes.groupBy("list", "block", "part")).applyInPandas(_search(index, k, rerank), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

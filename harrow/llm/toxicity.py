@@ -35,8 +35,6 @@ _INVISIBLE = "­​‌‍⁠﻿"
 
 #: Lexicon entries are beginnings of words, of so many letters, or whole words.
 STEM_LETTERS = (4, 5, 6, 7, 8)
-WHOLE_LETTERS = 24
-LEXICON_SIZE = 1_000
 #: An entry is in so many toxic documents, so many times as often as in clean ones, and this far from chance.
 LEAST_DOCS, LEAST_RATIO, LEAST_G = 5, 4.0, 40.0
 EXCEPTION_DOCS = 5
@@ -72,7 +70,7 @@ def stems(words: Iterable[str]) -> set[str]:
     found = set()
     for w in set(words):
         found.update(w[:k] for k in STEM_LETTERS if len(w) >= k)
-        if STEM_LETTERS[0] <= len(w) <= WHOLE_LETTERS:
+        if len(w) >= STEM_LETTERS[0]:
             found.add(w)
     return found
 
@@ -179,7 +177,8 @@ def _weights(lexicon: Lexicon):
 def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[tuple[str, float]]:
     """Entries from (stem, toxic documents, clean documents), far from chance first.
 
-    Of a stem and its continuations only the most telling stays.
+    Of a stem and its continuations only the most telling stays.  There is no limit to
+    their number but that of the sample: each is in LEAST_DOCS of its toxic documents.
     """
     scored = []
     for stem, t, c in counts:
@@ -197,8 +196,6 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[t
             continue
         chosen[stem] = weight
         inside.update(stem[:k] for k in range(1, len(stem) + 1))
-        if len(chosen) == LEXICON_SIZE:
-            break
     return sorted(chosen.items())
 
 
