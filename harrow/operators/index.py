@@ -17,6 +17,7 @@ from harrow.functions.text import bigrams
 from harrow.operators import lexical
 from harrow.operators.chunking import chunks
 from harrow.operators.paths import IgnoreRules, secret_shape, skip_counts, skip_reason
+from harrow.plans.scratch import stage
 
 SCHEMA_VERSION = 1
 MARKER = "_READY.json"
@@ -70,11 +71,19 @@ def redacted_whole(kept: DataFrame, secrets: DataFrame) -> DataFrame:
 
 
 def with_ids(found: DataFrame) -> DataFrame:
-    """Dense chunk ids by (path, seq): counts of each path are summed, not the rows themselves."""
-    counts = found.groupBy("path").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("path")) - F.col("n")
+    """Dense chunk ids by (path, seq): counts of each path are summed, not the rows themselves.
+
+    Paths are dealt by range, numbered within a range, and each range starts where the
+    counts of those before it end; only the ranges' totals meet in one task.
+    """
+    counts = found.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path")
+    counts = stage(counts.withColumn("range", F.spark_partition_id()), "paths")
+    totals = counts.groupBy("range").agg(F.sum("n").alias("total"))
+    start = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("start"))
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("path")) - F.col("n") + F.col("start")
+    counts = counts.join(F.broadcast(start), "range").select("path", before.alias("before"))
     inside = F.row_number().over(Window.partitionBy("path").orderBy("seq"))
-    return found.join(counts.select("path", before.alias("before")), "path").withColumn("chunk_id", F.col("before") + inside).drop("before")
+    return found.join(counts, "path").withColumn("chunk_id", F.col("before") + inside).drop("before")
 
 
 def searchable(found: DataFrame) -> DataFrame:

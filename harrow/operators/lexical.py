@@ -111,9 +111,10 @@ def phrase_counts(postings_: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def scored(counts: DataFrame, lengths_: DataFrame) -> DataFrame:
     """(query_id, rung, chunk_id, bm25): smaller is better, as a negated BM25."""
-    df = Window.partitionBy("query_id", "rung", "phrase")
+    key = ["query_id", "rung", "phrase"]
+    often = F.broadcast(counts.groupBy(*key).agg(F.count("*").alias("df")))  # as long as the queries
     stats = corpus_stats(lengths_)
-    x = counts.withColumn("df", F.count("*").over(df)).join(lengths_.select("chunk_id", "dl"), "chunk_id").crossJoin(F.broadcast(stats))
+    x = counts.join(often, key).join(lengths_.select("chunk_id", "dl"), "chunk_id").crossJoin(F.broadcast(stats))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
