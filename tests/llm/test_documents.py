@@ -107,7 +107,8 @@ def test_jaccard_join(spark, seed):
 @pytest.mark.parametrize("pieces", [300, 1 << 20])
 def test_jaccard_join_in_small_pieces_and_many_fragments(spark, pieces, monkeypatch):
     monkeypatch.setattr(vertical_join, "FRAGMENT_TEXT", 1000)
-    monkeypatch.setattr(vertical_join.kernels, "PIECE_BYTES", 100)
+    cut = vertical_join.kernels.pieces
+    monkeypatch.setattr(vertical_join.kernels, "pieces", lambda texts: cut(texts, 100))
     r = random.Random(pieces)
     words = [f"w{i}" for i in range(40)]
     rows = []
