@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join
+from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, ngram_resampling, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join
 from harrow.plans.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rff_quality.score(docs, rff_quality.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_resampling.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,9 +85,11 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: The queries that SQL can express on whole tables, in DuckDB's.
 ORACLES: dict[str, str] = {
@@ -115,4 +121,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
     """,
+    "op11_importance_resampling": rf"""
+        WITH polynomial AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384))) AS p),
+             d AS (SELECT doc_id, {_LETTERS} AS w FROM documents), b AS (SELECT {_LETTERS} AS w FROM benchmark),
+             x AS (SELECT unnest(w) AS word, 1 AS raw FROM d UNION ALL SELECT unnest(w), 0 FROM b),
+             n AS (SELECT word, sum(raw) AS s, sum(1 - raw) AS t FROM x GROUP BY word),
+             y AS (SELECT word, s, t, hex(encode(word)) AS h FROM n),
+             z AS (SELECT word, s, t, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, e: xor(c >> 8, p[xor(c & 255, e) + 1])), 4294967295) % 10000 AS bucket FROM y, polynomial),
+             c AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM z GROUP BY bucket),
+             a AS (SELECT sum(s) AS su, sum(t) AS tu FROM c),
+             g AS (SELECT word, CAST(floor(1000 * ln(CAST((c.t + 1) * (su + 10000) AS DOUBLE) / CAST((c.s + 1) * (tu + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM z JOIN c USING (bucket), a),
+             r AS (SELECT row_number() OVER () AS r, doc_id, w FROM d),
+             e AS (SELECT r, unnest(w) AS word FROM r),
+             m AS (SELECT r, sum(gain) AS weight FROM e JOIN g USING (word) GROUP BY r),
+             v AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM r LEFT JOIN m USING (r)),
+             o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM v)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM o
+    """,
 }
