@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, ngram_resampling, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join
+from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, ngram_resampling, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join, yinyang_codes
 from harrow.plans.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_resampling.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,11 +90,27 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_yinyang_codes": op12_yinyang_codes,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Plain Lloyd rounds as common tables: distances, nearest entries (a), means (m), codebooks (c)."""
+    out = []
+    for k in range(rounds + 1):
+        distance = "list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x)"
+        out.append(f"a{k} AS MATERIALIZED (SELECT r, part, min(struct_pack(d := {distance}, e := e)) AS near FROM p JOIN c{k} c USING (part) GROUP BY r, part)")
+        if k < rounds:
+            out.append(f"s{k} AS (SELECT part, near.e AS e, unnest(x) AS x, unnest(range(len(x))) AS i FROM p JOIN a{k} USING (r, part))")
+            out.append(f"m{k} AS (SELECT part, e, list(mean ORDER BY i) AS x FROM (SELECT part, e, i, floor(sum(x) / count(*)) AS mean FROM s{k} GROUP BY part, e, i) GROUP BY part, e)")
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (part, e))")
+    return ",\n             ".join(out)
+
+
 #: The queries that SQL can express on whole tables, in DuckDB's.
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -138,4 +158,14 @@ ORACLES: dict[str, str] = {
              o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM v)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM o
     """,
+    "op12_yinyang_codes": f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+                                FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM k, range(4) t(part)),
+             c0 AS MATERIALIZED (SELECT part, r AS e, x FROM p WHERE r < 256),
+             {_lloyd_sql(4)},
+             f AS (SELECT r, lower(string_agg(printf('%02x', near.e), '' ORDER BY part)) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a4 GROUP BY r),
+             h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c4)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r), h
+    """,
 }
