@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, ngram_resampling, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join, yinyang_codes
+from harrow.llm import chunk_recipes, id_store, interval_tree, ivfpq, matching_pack, minmax_dedup, ngram_resampling, pareto_mix, phrase_automata, rff_quality, toxicity, vertical_join, yinyang_codes
 from harrow.plans.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(_documents(spark, sf_dir), width=4)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_yinyang_codes": op12_yinyang_codes,
+    "op13_minmax_dedup": op13_minmax_dedup,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -111,6 +116,21 @@ def _lloyd_sql(rounds: int) -> str:
     return ",\n             ".join(out)
 
 
+
+def _linked_sql(width: int, percent: int, more: str = "") -> str:
+    """Components of documents whose word n-gram sets share ``percent`` of their union."""
+    return rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+             g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i : i + {width - 1}], ' ')) END) AS x FROM t WHERE len(w) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+             l AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= {percent} * (na.n + nb.n - k)),
+             reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
+        FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
+    """
+
+
 #: The queries that SQL can express on whole tables, in DuckDB's.
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -131,16 +151,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM t LEFT JOIN m USING (r) LEFT JOIN kept USING (r)
     """,
-    "op9_jaccard_join": rf"""
-        WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-             g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS x FROM t WHERE len(w) > 0),
-             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-             k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-             l AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
-             reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
-        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
-        FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
-    """,
+    "op9_jaccard_join": _linked_sql(3, 90),
+    "op13_minmax_dedup": _linked_sql(4, 80, ", doc_id = component_id AS kept"),
     "op11_importance_resampling": rf"""
         WITH polynomial AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384))) AS p),
              d AS (SELECT doc_id, {_LETTERS} AS w FROM documents), b AS (SELECT {_LETTERS} AS w FROM benchmark),
