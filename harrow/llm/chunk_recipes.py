@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import kernels
+from harrow.llm.recurrence import keyed, text_key
 from harrow.plans.scratch import stage
 
 #: A cut is made after 1 of 2**CUT_BITS places, and after MOST bytes at the latest.
@@ -92,10 +93,6 @@ def _contents(bits: int, owner: bool):
     return scan
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
-
-
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", print_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 (and th) of each row, dropped ones too.
 
@@ -103,13 +100,13 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null is empty.  The row with the smallest id stays, null ids last; of rows that
     are there twice, one stays.  ``print_bits`` below 64 makes fingerprints collide.
     """
-    rows = _keyed(docs, id_col, text_col)
-    recipes = stage(rows.mapInArrow(_recipes(print_bits), "doc_id long, th int, text_sha256 string, recipe array<long>").withColumn("uid", F.monotonically_increasing_id()), "recipes")
+    rows = keyed(docs, id_col, text_col)
+    recipes = stage(rows.mapInArrow(_recipes(print_bits), "doc_id long, th binary, text_sha256 string, recipe array<long>").withColumn("uid", F.monotonically_increasing_id()), "recipes")
     contents = rows.mapInArrow(_contents(print_bits, False), "print long, content binary").distinct()
     torn = stage(contents.groupBy("print").count().filter("count > 1").select("print"), "torn")
     listed = recipes.withColumn("fixes", F.array().cast("array<struct<seq:bigint,nth:int>>"))
     if not torn.isEmpty():
-        owned = rows.mapInArrow(_contents(print_bits, True), "doc_id long, th int, seq long, print long, content binary").join(torn, "print", "left_semi")
+        owned = rows.mapInArrow(_contents(print_bits, True), "doc_id long, th binary, seq long, print long, content binary").join(torn, "print", "left_semi")
         names = owned.select("print", "content").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("print").orderBy("content")))
         fixes = owned.join(names, ["print", "content"]).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("seq", "nth"))).alias("fixed"))
         listed = listed.join(fixes, listed["doc_id"].eqNullSafe(fixes["doc_id"]) & (listed["th"] == fixes["th"]), "left").select(*[listed[c] for c in recipes.columns], F.coalesce(fixes["fixed"], listed["fixes"]).alias("fixes"))
@@ -128,7 +125,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, all columns."""
     kept = dedup_report(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_key"), F.hash(text_col).alias("_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_key"), text_key(F.col(f"`{text_col}`").cast("string")).alias("_hash"))
     same = rows["_key"].eqNullSafe(kept["_id"]) & (rows["_hash"] == kept["_th"])
     found = stage(rows.join(kept, same, "left_semi"), "kept")
     # rows that repeat both id and text came along with the one that stays

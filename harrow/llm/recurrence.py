@@ -17,7 +17,8 @@ document costs.  An anchor with more variants than ``max_variants`` (a passage
 that a large share of all documents quote in different surroundings) is not
 brought into one task: its windows are counted by a distributed aggregation.
 
-A document is identified by (id, hash of text): rows that repeat an id are told apart.
+A document is identified by its id and 128 bits of its text's SHA-256, so rows that
+repeat an id, or have none, are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -37,15 +38,21 @@ from harrow.plans.ship import ship
 
 Resolver = Callable[[pd.DataFrame], pd.DataFrame]
 
-_RUNS = "doc_id long, th int, anchor long, region long, first long, geo int"
+_RUNS = "doc_id long, th binary, anchor long, region long, first long, geo int"
 _BODIES = "anchor long, region long, n long, count int, at int, body binary"
 _SPANS = "anchor long, region long, spans array<struct<s:int,e:int>>"
 #: Variants of about this many bytes make a shard.
 SHARD_BYTES = 12 << 20
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell a text from any other; null is empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("th"), text.alias("text"))
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -61,7 +68,7 @@ def units_of(unit: str, raw: np.ndarray, offsets: np.ndarray):
 
 
 def _runs(unit: str, length: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("anchor", pa.int64()), ("region", pa.int64()), ("first", pa.int64()), ("geo", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.binary()), ("anchor", pa.int64()), ("region", pa.int64()), ("first", pa.int64()), ("geo", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
