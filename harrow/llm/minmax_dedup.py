@@ -7,9 +7,9 @@ independent, so the estimate they give is unbiased and varies less than that of
 minima.  Values are banded; sets that share a band are candidates:
 
 1. documents with equal sets are one class, whose first document stands for all;
-2. the members of a band first meet its centre.  What the confirmed links connect needs
-   no further comparison, which settles groups of copies in a number of comparisons
-   that is linear in their size;
+2. a band has a centre, and a document first meets the one centre that it shares most
+   bands with.  What the confirmed links connect needs no further comparison, which
+   settles groups of copies with one comparison for each document;
 3. what a band leaves unconnected is compared pair by pair.  A band with over
    ``CROWD`` such members (texts from one template that do not link) is left to the
    exact prefix join of ``vertical_join``, which finds every link among them.
@@ -37,8 +37,6 @@ from harrow.plans.ship import ship
 BANDS, BAND_PERMUTATIONS = 40, 3
 #: Unconnected members of a band that meet pair by pair.
 CROWD = 64
-#: Parts of the full sets, by hash, that are compared one after the other.
-COMPARED = 4
 _U = np.uint64
 
 
@@ -133,22 +131,10 @@ def _full_sets(rows: DataFrame, classes: DataFrame, marks: DataFrame, width: int
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full sets reach the threshold.
-
-    Overlaps are counted in parts of the sets and summed; a pair goes as soon as what
-    is left cannot make up for what is missing.
-    """
-    enough = (F.col("k") + F.least("la", "lb")) * (whole + parts) >= (F.col("na") + F.col("nb")) * parts
-    now = pairs.select("a", "b", "na", "nb", F.lit(0).alias("k"), F.col("na").alias("la"), F.col("nb").alias("lb")).filter(enough)
-    for f in range(COMPARED):
-        part = sets.select("node", F.expr(f"filter(keys, g -> g & {COMPARED - 1} = {f})").alias("part"))
-        x = now.join(part.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(part.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
-        x = x.select("a", "b", "na", "nb", (F.col("k") + F.size(F.array_intersect("pa", "pb"))).alias("k"), (F.col("la") - F.size("pa")).alias("la"), (F.col("lb") - F.size("pb")).alias("lb"))
-        before, now = now, stage(x.filter(enough), "overlaps")
-        if f:
-            drop(before)
-        tidy(sets.sparkSession)
-    return now.select("a", "b")
+    """The pairs (a, b, na, nb) whose full sets reach the threshold; sizes that cannot are never fetched."""
+    near = pairs.filter(F.least("na", "nb") * whole >= F.greatest("na", "nb") * parts)
+    x = near.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+    return x.filter(F.size(F.array_intersect("ka", "kb")) * (whole + parts) >= (F.col("na") + F.col("nb")) * parts).select("a", "b")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -162,8 +148,11 @@ def _connect(marks: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataF
     like = stage(marks.groupBy("node").agg(F.sum("k").alias("like")), "like")
     rows = marks.join(like, "node").select("mark", F.struct("node", "n").alias("x"), "like")
     centres = rows.groupBy("mark").agg(F.max_by("x", F.struct("like", "x.node")).alias("y"))
-    pairs = stage(_pairs(rows.join(centres, "mark").filter("x.node != y.node")), "pairs")
-    links = confirmed(pairs, sets, parts, whole)
+    # a node meets the centre that it shares most bands with, so copies of one text meet one centre
+    met = rows.join(centres, "mark").filter("x.node != y.node").groupBy("x", "y").agg(F.count("*").alias("bands"))
+    best = met.groupBy("x").agg(F.max_by("y", F.struct("bands", "y.node")).alias("y"))
+    links = stage(confirmed(stage(_pairs(best), "pairs"), sets, parts, whole), "links")
+    tidy(marks.sparkSession)
     labels = stage(like.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     open_ = stage(marks.join(labels, "node").select("mark", F.struct("node", "n").alias("x"), "label"), "open")
     own = open_.groupBy("mark", "label").agg(F.count("*").alias("k"))
@@ -172,8 +161,7 @@ def _connect(marks: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataF
     every = open_.join(main.filter(F.col("others") <= CROWD), "mark")
     few = every.filter(F.col("label") != F.col("main")).select("mark", "x", F.col("label").alias("lx"))
     met = few.join(every.select("mark", F.col("x").alias("y"), "label", "main"), "mark").filter((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))))
-    near = F.least("x.n", "y.n") * whole >= F.greatest("x.n", "y.n") * parts
-    found = confirmed(stage(_pairs(met.filter(near)), "pairs"), sets, parts, whole)
+    found = confirmed(stage(_pairs(met), "pairs"), sets, parts, whole)
     crowd = main.filter(F.col("others") > CROWD)
     if not crowd.isEmpty():
         nodes = open_.join(crowd, "mark", "left_semi").select(F.col("x.node").alias("node")).distinct()
