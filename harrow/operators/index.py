@@ -1,25 +1,19 @@
-"""The index: Parquet snapshots that a marker commits, and what changed between two.
+"""What an index is made of: markers that commit, changes between two states, vectors and their cache.
 
-A snapshot folder holds files/, chunks/, lengths/ and postings/ (in folders by
-hash of the term).  The marker names the current snapshot and is written last.
+``segments`` keeps the index itself; its marker is written last.
 """
 
 from __future__ import annotations
 
 import json
-import time
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.text import bigrams
-from harrow.operators import lexical
-from harrow.operators.chunking import chunks
-from harrow.operators.paths import IgnoreRules, secret_shape, skip_counts, skip_reason
-from harrow.plans.scratch import stage
+from harrow.operators.paths import secret_shape
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 MARKER = "_READY.json"
 #: Texts embedded between two commits to the cache.
 CACHE_TEXTS = 256
@@ -70,64 +64,10 @@ def redacted_whole(kept: DataFrame, secrets: DataFrame) -> DataFrame:
     return secrets.select("path").distinct().join(kept.select("path").distinct(), "path", "left_anti")
 
 
-def with_ids(found: DataFrame) -> DataFrame:
-    """Dense chunk ids by (path, seq): counts of each path are summed, not the rows themselves.
-
-    Paths are dealt by range, numbered within a range, and each range starts where the
-    counts of those before it end; only the ranges' totals meet in one task.
-    """
-    counts = found.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path")
-    counts = stage(counts.withColumn("range", F.spark_partition_id()), "paths")
-    totals = counts.groupBy("range").agg(F.sum("n").alias("total"))
-    start = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("start"))
-    before = F.sum("n").over(Window.partitionBy("range").orderBy("path")) - F.col("n") + F.col("start")
-    counts = counts.join(F.broadcast(start), "range").select("path", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("path").orderBy("seq"))
-    return found.join(counts, "path").withColumn("chunk_id", F.col("before") + inside).drop("before")
-
-
 def searchable(found: DataFrame) -> DataFrame:
     return found.select("chunk_id", bigrams(F.col("text")).alias("text_bigram"), F.coalesce("symbol_name", F.lit("")).alias("symbol"), "path", "start_line")
 
 
-def build(spark: SparkSession, files: DataFrame, store: str, rules: IgnoreRules | None = None, max_files: int = 20_000_000, max_bytes: int = 1 << 20, extra: tuple[str, ...] = (), force: bool = False) -> dict:
-    """Index files (path, size, mtime_ns, content_hash, text) into a new snapshot.
-
-    Chunks of unchanged files are taken over from the snapshot before.  The number of
-    files over ``max_files`` is an error, never a cut.
-    """
-    began = time.time()
-    previous = None if force else read_marker(spark, store)
-    judged = files.withColumn("reason", skip_reason(F.col("path"), F.col("size"), rules, max_bytes, extra))
-    skipped = {r["reason"]: r["n"] for r in skip_counts(judged).filter("reason IS NOT NULL").collect()}
-    good = judged.filter("reason IS NULL").drop("reason")
-    total = good.count()
-    if total > max_files:
-        raise ValueError(f"{total} files, {max_files} allowed")
-    clear_marker(spark, store)
-    snap = f"{store}/snapshot-{uuid.uuid4().hex}"
-    fresh = good
-    if previous:
-        old_files, old_chunks = spark.read.parquet(f"{previous['snapshot']}/files"), spark.read.parquet(f"{previous['snapshot']}/chunks")
-        same = good.join(old_files.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
-        fresh = good.join(old_files.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
-    kept, secrets = split_secrets(chunks(fresh.select("path", "text")))
-    gone = redacted_whole(kept, secrets)
-    listed = good.join(gone, "path", "left_anti").drop("text").withColumn("indexed_at", F.lit(int(began)))
-    found = kept
-    if previous:
-        found = found.unionByName(old_chunks.drop("chunk_id", "content_hash").join(same.select("path"), "path", "left_semi"))
-    listed.write.parquet(f"{snap}/files")
-    with_ids(found).withColumn("content_hash", F.sha2("text", 256)).write.parquet(f"{snap}/chunks")
-    stored = spark.read.parquet(f"{snap}/chunks")
-    terms = lexical.postings(searchable(stored)).withColumn("bucket", lexical.bucket_of(F.col("term")))
-    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{snap}/postings")
-    lexical.lengths(searchable(stored)).write.parquet(f"{snap}/lengths")
-    facts = {"schema": SCHEMA_VERSION, "snapshot": snap, "files": spark.read.parquet(f"{snap}/files").count(), "chunks": stored.count(), "redacted": secrets.count(), "skipped": skipped, "updated_at": int(began), "ms": round(1000 * (time.time() - began))}
-    write_marker(spark, store, facts)
-    return facts
-
-
 def reuse_vectors(found: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors that still fit their chunk, and chunks that need one."""
     keys = ["chunk_id", "content_hash"]

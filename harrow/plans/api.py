@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.operators import evaluation, index, lexical, ranking
+from harrow.operators import evaluation, index, lexical, ranking, segments
 from harrow.operators.chunking import outline_text
 from harrow.operators.paths import IgnoreRules, in_scope, resolve_scope, test_tier
 from harrow.operators.traces import TRANSITIONS
@@ -63,13 +63,14 @@ class Workspace:
         return IgnoreRules("\n".join(text))
 
     def index(self, force: bool = False, vectors: bool = False, **options) -> dict:
-        facts = index.build(self.spark, scan(self.spark, self.root, options.get("max_bytes", READ_BYTES)), self.store, self._rules(), force=force, **options)
+        facts = segments.build(self.spark, scan(self.spark, self.root, options.get("max_bytes", READ_BYTES)), self.store, self._rules(), force=force, **options)
         if vectors:
             self.vectorize()
         return facts
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{index.read_marker(self.spark, self.store)['snapshot']}/{name}")
+        """files, chunks, lengths or postings of what is indexed now."""
+        return getattr(segments.SegmentIndex(self.spark, self.store), name)()
 
     def vectorize(self) -> dict:
         """Embed what has no vector yet; vectors of unchanged chunks are taken over.
@@ -106,11 +107,11 @@ class Workspace:
             scope = resolve_scope(path)
         except ValueError as e:
             return Result("error", query, code="SEARCH_INVALID_QUERY", hint=str(e))
-        facts = index.read_marker(self.spark, self.store)
+        facts = segments.SegmentIndex(self.spark, self.store).manifest()
         if facts is None:
             return Result("indexing", query, code="INDEX_NOT_FOUND", hint="index the workspace first")
         found = self._table("chunks").select("chunk_id", "path", "seq", "start_line", "end_line", "symbol_kind", "symbol_name", "text")
-        hits = lexical.search(self._table("postings"), self._table("lengths"), {"q": query}, k, scope) if lexical.rungs(query) else None
+        hits = segments.SegmentIndex(self.spark, self.store).search({"q": query}, k, scope)[0] if lexical.rungs(query) else None
         ranked = found.limit(0).withColumn("rank", F.lit(0)) if hits is None else found.join(F.broadcast(hits.select("chunk_id", "rank")), "chunk_id")
         notice, trim = None, ["path", "start_line"]
         if semantic:
@@ -147,7 +148,7 @@ class Workspace:
             return outline_text(scope or "", f.read(), depth)
 
     def status(self) -> dict:
-        facts = index.read_marker(self.spark, self.store)
+        facts = segments.SegmentIndex(self.spark, self.store).manifest()
         if facts is None:
             return {"ready": False}
         out = {"ready": True, **{k: facts[k] for k in ("schema", "files", "chunks", "redacted", "skipped", "updated_at")}}
@@ -159,7 +160,7 @@ class Workspace:
     def attribute(self, results: DataFrame, tasks: DataFrame, k: int = 5, probe_k: int = evaluation.PROBE_K, extra: tuple[str, ...] = ()) -> DataFrame:
         """Why the results of a run (see ``batch_eval``) that are no hits at ``k`` failed, with the evidence."""
         on_disk = scan(self.spark, self.root, 0).select("path")
-        if index.read_marker(self.spark, self.store) is None:
+        if segments.SegmentIndex(self.spark, self.store).manifest() is None:
             files = on_disk.limit(0)
             lengths = self.spark.createDataFrame([], "chunk_id long, path string, symbol string, start_line int, dl int")
             postings = self.spark.createDataFrame([], "chunk_id long, col string, pos int, term string")

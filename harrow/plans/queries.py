@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from harrow.functions import text as T
 from harrow.functions.vectors import cosine, norm
-from harrow.operators import chunking, evaluation, index, lexical, paths, ranking, traces
+from harrow.operators import chunking, evaluation, index, lexical, paths, ranking, segments, traces
+from harrow.plans.scratch import fresh_path
 from harrow.plans.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +63,7 @@ def _tf_sql(phrase: tuple[str, ...], column: str) -> str:
     return f"len(list_filter(range(1, CAST(greatest(len({column}) - {len(phrase) - 1}, 0) AS BIGINT) + 1), lambda i: {test}))"
 
 
-def _bm25_sql(rung: lexical.Rung, k: int, scope: str | None = None) -> str:
+def _bm25_sql(rung: lexical.Rung, k: int, scope: str | None = None, ties: str = "chunk_id") -> str:
     n = len(rung.phrases)
     tf = ", ".join(f"{_tf_sql(p, 'tt')} + {_tf_sql(p, 'tp')} AS f{i}" for i, p in enumerate(rung.phrases))
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(n))
@@ -75,7 +76,7 @@ def _bm25_sql(rung: lexical.Rung, k: int, scope: str | None = None) -> str:
              x AS (SELECT chunk_id, path, len(tt) + len(tp) AS dl, {tf} FROM t),
              s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS a, {df} FROM x),
              r AS (SELECT chunk_id, path, -({part}) AS bm25, {TIER_SQL} AS tier FROM x, s WHERE ({found}){scoped})
-        SELECT CAST(row_number() OVER (ORDER BY tier, bm25, chunk_id) AS INTEGER) AS rank, chunk_id, path, round(bm25, 6) AS bm25
+        SELECT CAST(row_number() OVER (ORDER BY tier, bm25, {ties}) AS INTEGER) AS rank, chunk_id, path, round(bm25, 6) AS bm25
         FROM r ORDER BY rank LIMIT {k}
     """
 
@@ -102,6 +103,72 @@ for _name, _text, _rung, _scope in (
     ORACLES[_name] = _bm25_sql(_found[min(_rung, len(_found) - 1)], 10, _scope)
 
 
+def _as_files(spark: SparkSession, sf_dir: str, earlier: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents as files and their chunks; ``earlier``, every seventh had other words and every eleventh another path."""
+    rows = docs_as_chunks(spark, sf_dir).select("chunk_id", "path", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    if earlier:
+        rows = rows.withColumn("text", F.when(F.col("chunk_id") % 7 == 0, F.concat(F.lit("earlier words "), "text")).otherwise(F.col("text")))
+        rows = rows.withColumn("path", F.when(F.col("chunk_id") % 11 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")))
+    files = rows.select("path", F.length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), F.sha2("text", 256).alias("content_hash"))
+    none = F.lit(None).cast("string")
+    return files, rows.select("path", F.lit(0).alias("seq"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), none.alias("symbol_kind"), none.alias("symbol_name"), "text", "lang", F.lit(False).alias("low_confidence"))
+
+
+def _segments(spark: SparkSession, sf_dir: str, update: bool = True) -> segments.SegmentIndex:
+    made = segments.SegmentIndex(spark, fresh_path(spark, "segments"))
+    made.update(*_as_files(spark, sf_dir, update))
+    if update:
+        made.update(*_as_files(spark, sf_dir, False))
+    return made
+
+
+EARLIER_SQL = f"SELECT CASE WHEN chunk_id % 11 = 0 THEN 'old/' ELSE '' END || path AS path, CASE WHEN chunk_id % 7 = 0 THEN 'earlier words ' ELSE '' END || coalesce(text, '') AS text FROM ({CHUNKS_SQL})"
+
+
+@query(f"""
+    WITH c AS (SELECT 'earlier' AS state, path, text FROM ({EARLIER_SQL}) UNION ALL SELECT 'now', path, text FROM ({CHUNKS_SQL})),
+         t AS (SELECT state, list_distinct(list_concat({_tokens_sql('text')}, {_tokens_sql('path')})) AS terms FROM c),
+         p AS (SELECT state, unnest(terms) AS term FROM t)
+    SELECT state, term, count(*) AS df FROM p GROUP BY state, term
+""")
+def segment_term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of an index before and after an update by segments and tombstones."""
+    made = segments.SegmentIndex(spark, fresh_path(spark, "segments"))
+    out = []
+    for state in ("earlier", "now"):
+        made.update(*_as_files(spark, sf_dir, state == "earlier"))
+        out.append(made.term_df().select(F.lit(state).alias("state"), "term", "df"))
+    return out[0].unionByName(out[1])
+
+
+def _segment_bm25(text: str, rung: int, scope: str | None = None, k: int = 10) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The best of an index that was updated, with bounds of blocks deciding what is scored."""
+        hits, _ = _segments(spark, sf_dir).search({"q": text}, k, scope, only_rung=min(rung, len(lexical.rungs(text)) - 1))
+        return hits.select("rank", "path", F.round("bm25", 6).alias("bm25"))
+
+    return run
+
+
+for _name, _text, _rung, _scope in (
+    ("segment_and_topk", "the of", 0, None),
+    ("segment_or_topk", "ention anble edes", 2, None),
+    ("segment_phrase_topk", "of_the", 0, None),
+    ("segment_scoped_topk", "the of", 0, "src"),
+):
+    QUERIES[_name] = _segment_bm25(_text, _rung, _scope)
+    _found = lexical.rungs(_text)
+    ORACLES[_name] = "SELECT rank, path, bm25 FROM (" + _bm25_sql(_found[min(_rung, len(_found) - 1)], 10, _scope, "path") + ")"
+
+
+@query()
+def segment_ladder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text, whole, as a query against stored segments: rung by rung, five hits each."""
+    asked = {str(r["item_id"]): r["text"] for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()}
+    hits, _ = _segments(spark, sf_dir, False).search(asked, 5)
+    return hits.select("query_id", "rung", "rank", "path", F.round("score", 6).alias("score"))
+
+
 @query(f"""
     WITH c AS ({CHUNKS_SQL}), t AS (SELECT chunk_id, {_tokens_sql('text')} AS tt, {_tokens_sql('path')} AS tp FROM c),
          p AS (SELECT chunk_id, unnest(tt) AS term FROM t UNION ALL SELECT chunk_id, unnest(tp) FROM t)
