@@ -41,6 +41,8 @@ PIECE_TEXT, PIECE_DOCS = 8 << 20, 1 << 16
 FRAGMENT_TEXT = 8 << 20
 #: Fragments in which the overlaps of pairs are counted, one after the other.
 COUNTED = 4
+#: Entries of a list that one task compares others with.
+LIST_ROWS = 4096
 #: Bytes of a gram's hash that travel; the fragment adds the rest of its name.
 GRAM_BYTES = 6
 _U = np.uint64
@@ -253,6 +255,31 @@ def _linked(pairs: DataFrame, ranked: DataFrame, parts: int, whole: int) -> Data
     return pairs.select("a", "b")
 
 
+def across(rows: DataFrame, parts: int, whole: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of entries (mark, x) of one list, of different labels, that can reach the threshold.
+
+    An entry of size n whose gram has r of its grams from there on can meet sizes up to
+    r * (1 + t) / t - n.  So lists are cut into classes of size, the smaller of a pair looks
+    up the classes that it can meet, and entries that can meet nothing of their own size
+    or more are only looked up.  In a list, those of the most frequent label need not meet
+    each other.  Long lists are dealt to several tasks.
+    """
+    own = rows.groupBy("mark", "x.label").agg(F.count("*").alias("k"))
+    main = own.groupBy("mark").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.ceil(F.sum("k") / LIST_ROWS).cast("int").alias("deals")).filter("labels > 1").drop("labels")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(max(whole / parts, 1.05)))).cast("int")
+    most = (F.floor((F.col("x.n") - F.col("x.place")) * (whole + parts) / parts) - F.col("x.n")).alias("most")
+    every = stage(rows.join(main, "mark").select("mark", "x", "deals", (F.col("x.label") == F.col("main")).alias("is_main"), most), "several")
+    asking = every.filter(F.col("most") >= F.col("x.n"))
+    asking = asking.withColumn("class", F.explode(F.sequence(size_class(F.col("x.n")), size_class(F.col("most"))))).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    asked = every.select("mark", F.col("x").alias("y"), F.col("most").alias("ymost"), F.col("is_main").alias("y_main"), size_class(F.col("x.n")).alias("class"), F.pmod(F.xxhash64("x.node"), F.col("deals")).cast("int").alias("deal"))
+    first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    fits = first & (F.col("x.label") != F.col("y.label")) & (F.col("y.n") <= F.col("most")) & (F.col("x.n") <= F.col("ymost"))
+    key = ["mark", "class", "deal"]
+    met = asking.filter("NOT is_main").join(asked, key).filter(fits).select("x", "y").unionByName(asking.filter("is_main").join(asked.filter("NOT y_main"), key).filter(fits).select("x", "y"))
+    p, q = F.least("x", "y"), F.greatest("x", "y")
+    return met.select(p["node"].alias("a"), q["node"].alias("b"), p["n"].alias("na"), q["n"].alias("nb")).distinct()
+
+
 def _connect(marks: DataFrame, ranked: DataFrame, parts: int, whole: int) -> DataFrame:
     """(node, label) of the nodes in lists.
 
@@ -269,13 +296,7 @@ def _connect(marks: DataFrame, ranked: DataFrame, parts: int, whole: int) -> Dat
     links = stage(_linked(pairs, ranked, parts, whole), "links")
     labels = stage(like.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     rows = stage(marks.join(labels, "node").select("mark", F.struct("node", "n", "place", "label").alias("x")), "open")
-    # within a list, those of the most frequent label need not meet each other
-    own = rows.groupBy("mark", "x.label").agg(F.count("*").alias("k"))
-    main = own.groupBy("mark").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).filter("labels > 1").drop("labels")
-    every = stage(rows.join(main, "mark"), "several")
-    few = every.filter(F.col("x.label") != F.col("main")).select("mark", "x")
-    met = few.join(every.withColumnRenamed("x", "y"), "mark").filter((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))) & reach)
-    pairs = stage(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    pairs = stage(across(rows, parts, whole), "pairs")
     found = _linked(pairs, ranked, parts, whole)
     for side in ("a", "b"):
         found = found.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
