@@ -11,8 +11,8 @@ minima.  Values are banded; sets that share a band are candidates:
    bands with.  What the confirmed links connect needs no further comparison, which
    settles groups of copies with one comparison for each document;
 3. what a band leaves unconnected is compared pair by pair.  A band with over
-   ``CROWD`` such members (texts from one template that do not link) is left to the
-   exact prefix join of ``vertical_join``, which finds every link among them.
+   ``CROWD`` such pairs (texts from one template that do not link) is left to the
+   exact prefixes of ``vertical_join``, which miss no link among its members.
 
 A link counts when the full sets confirm it.  At the default of 40 bands of three
 permutations a pair at a similarity of exactly 0.8 shares no band with a chance of
@@ -35,8 +35,8 @@ from harrow.plans.scratch import drop, stage, tidy
 from harrow.plans.ship import ship
 
 BANDS, BAND_PERMUTATIONS = 40, 3
-#: Unconnected members of a band that meet pair by pair.
-CROWD = 64
+#: Pairs of unconnected members that a band compares directly.
+CROWD = 1_000
 _U = np.uint64
 
 
@@ -156,18 +156,19 @@ def _connect(marks: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataF
     labels = stage(like.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     open_ = stage(marks.join(labels, "node").select("mark", F.struct("node", "n").alias("x"), "label"), "open")
     own = open_.groupBy("mark", "label").agg(F.count("*").alias("k"))
-    main = own.groupBy("mark").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+    main = own.groupBy("mark").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
     main = stage(main, "main")
-    every = open_.join(main.filter(F.col("others") <= CROWD), "mark")
+    crowded = F.col("others") * F.col("k") > CROWD
+    every = open_.join(main.filter(~crowded), "mark")
     few = every.filter(F.col("label") != F.col("main")).select("mark", "x", F.col("label").alias("lx"))
     met = few.join(every.select("mark", F.col("x").alias("y"), "label", "main"), "mark").filter((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))))
-    found = confirmed(stage(_pairs(met), "pairs"), sets, parts, whole)
-    crowd = main.filter(F.col("others") > CROWD)
-    if not crowd.isEmpty():
-        nodes = open_.join(crowd, "mark", "left_semi").select(F.col("x.node").alias("node")).distinct()
-        ranked, lists = vertical_join._lists(sets.join(nodes, "node", "left_semi"), parts, whole)
-        exact = vertical_join._connect(lists, ranked, parts, whole)
-        found = found.unionByName(exact.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    pairs = _pairs(met)
+    if not main.filter(crowded).isEmpty():
+        nodes = open_.join(main.filter(crowded), "mark", "left_semi").select(F.col("x.node").alias("node")).distinct()
+        _, lists = vertical_join._lists(sets.join(nodes, "node", "left_semi"), parts, whole)
+        rows = lists.join(labels, "node").select("mark", F.struct("node", "n", "place", "label").alias("x"))
+        pairs = pairs.unionByName(vertical_join.across(rows, parts, whole)).distinct()
+    found = confirmed(stage(pairs, "pairs"), sets, parts, whole)
     for side in ("a", "b"):
         found = found.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
     joined = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("label").alias("root"), F.col("node").alias("label"))

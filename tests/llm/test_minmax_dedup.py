@@ -56,7 +56,7 @@ def corpus(seed):
     return [*rows, rows[20], rows[20], (None, rows[20][1]), (None, "alone here"), (None, "alone here")]
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
+@pytest.mark.parametrize("crowd", [1000, 2])
 @pytest.mark.parametrize("width", [4, 1])
 def test_equals_all_pairs(spark, monkeypatch, crowd, width):
     monkeypatch.setattr(minmax_dedup, "CROWD", crowd)
