@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.text import bigrams
+from harrow.operators.embedding import Embedder, embedded
 from harrow.operators.paths import secret_shape
 
 SCHEMA_VERSION = 2
@@ -24,6 +26,11 @@ def _path(spark: SparkSession, name: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    fs, p = _path(spark, name)
+    return fs.exists(p)
+
+
 def write_marker(spark: SparkSession, store: str, facts: dict) -> None:
     fs, p = _path(spark, f"{store}/{MARKER}")
     out = fs.create(p, True)
@@ -82,25 +89,14 @@ def vector_status(found: DataFrame, vectors: DataFrame) -> DataFrame:
     return have.agg(n(F.col("c") == 1).alias("chunks"), n((F.col("c") == 1) & (F.col("v") == 1)).alias("reusable"), n((F.col("c") == 1) & F.col("v").isNull()).alias("pending"), n(F.col("c").isNull()).alias("stale"))
 
 
-def _embedded(texts: DataFrame, embedder) -> DataFrame:
-    """(sha, embedding) of texts (sha, text)."""
-
-    def run(batches):
-        for b in batches:
-            b["embedding"] = [[float(x) for x in v] for v in embedder(b["text"].tolist())]
-            yield b[["sha", "embedding"]]
-
-    return texts.mapInPandas(run, "sha string, embedding array<float>")
-
-
-def embed(pending: DataFrame, embedder, model: str, cache: DataFrame | None = None) -> DataFrame:
+def embed(pending: DataFrame, embedder: Embedder, model: str, cache: DataFrame | None = None, count: Accumulator | None = None) -> DataFrame:
     """(chunk_id, content_hash, embedding): each distinct text is embedded once, if no cache has it."""
     keyed = pending.withColumn("sha", F.sha2("text", 256))
     texts = keyed.select("sha", "text").dropDuplicates(["sha"])
     if cache is not None:
         known = cache.filter(F.col("model") == model).select("sha", "embedding").dropDuplicates(["sha"])
         texts = texts.join(known, "sha", "left_anti")
-    made = _embedded(texts, embedder)
+    made = embedded(texts, embedder, count)
     if cache is not None:
         made = made.unionByName(known)
     return keyed.join(made, "sha").select("chunk_id", "content_hash", "embedding")
@@ -122,11 +118,12 @@ def cache_records(spark: SparkSession, path: str) -> int:
     return spark.read.schema("model string, sha string, embedding array<float>").parquet(path).count()
 
 
-def fill_cache(spark: SparkSession, pending: DataFrame, embedder, model: str, path: str) -> None:
+def fill_cache(spark: SparkSession, pending: DataFrame, embedder: Embedder, model: str, path: str, count: Accumulator | None = None) -> int:
     """Embed the texts of which the cache has no vector, and append them.
 
-    Tasks of about ``CACHE_TEXTS`` texts commit on their own (the committer's second
-    algorithm), so what was embedded before an interruption stays.
+    Returns how many there were.  Tasks of about ``CACHE_TEXTS`` texts commit on their
+    own (the committer's second algorithm), so what was embedded before an interruption
+    stays.
     """
     cache = load_cache(spark, path)
     texts = pending.select("text", F.sha2("text", 256).alias("sha")).dropDuplicates(["sha"])
@@ -134,6 +131,7 @@ def fill_cache(spark: SparkSession, pending: DataFrame, embedder, model: str, pa
         texts = texts.join(cache.filter(F.col("model") == model).select("sha"), "sha", "left_anti")
     n = texts.count()
     if not n:
-        return
-    made = _embedded(texts.repartition(-(-n // CACHE_TEXTS), "sha"), embedder)
+        return 0
+    made = embedded(texts.repartition(-(-n // CACHE_TEXTS), "sha"), embedder, count)
     made.select(F.lit(model).alias("model"), "sha", "embedding").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    return n

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import threading
 import time
@@ -10,17 +9,26 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.operators import evaluation, index, lexical, ranking, segments
+from harrow.operators import evaluation, index, lexical, ranking, segments, stores
 from harrow.operators.chunking import outline_text
+from harrow.operators.embedding import Deadline, Incomplete, one_length
 from harrow.operators.paths import IgnoreRules, in_scope, resolve_scope, test_tier
 from harrow.operators.traces import TRANSITIONS
+from harrow.plans.progress import Feed, Progress
+from harrow.plans.scratch import stage
 from harrow.sources.workspace import OWN_FOLDER, READ_BYTES, scan
 
 MOST_HITS = 50
 DEFAULT_BUDGET = 4000
+#: Chunks that one run embeds at most; more are an error.
+MOST_VECTORS = 100_000
+#: Seconds that a search waits for its query's vector.
+QUERY_SECONDS = 10.0
 
 
 @dataclass
@@ -48,10 +56,12 @@ class Result:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str, store: str | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, model: str = "default"):
+    def __init__(self, spark: SparkSession, root: str, store: str | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, model: str = "default", query_seconds: float = QUERY_SECONDS):
         self.spark, self.root = spark, os.path.realpath(root)
         self.store = store or os.path.join(self.root, OWN_FOLDER)
         self.embedder, self.model = embedder, model
+        self.asker = Deadline(embedder, query_seconds) if embedder is not None else None
+        self.progress: Progress | None = None
 
     def _rules(self) -> IgnoreRules:
         text = []
@@ -72,27 +82,61 @@ class Workspace:
         """files, chunks, lengths or postings of what is indexed now."""
         return getattr(segments.SegmentIndex(self.spark, self.store), name)()
 
-    def vectorize(self) -> dict:
+    def vectorize(self, feed: Feed | None = None, most: int = MOST_VECTORS) -> int:
         """Embed what has no vector yet; vectors of unchanged chunks are taken over.
 
         Texts go through a cache on disk, so an interrupted run goes on where it was.
+        Nothing is written unless every chunk has a vector, all of one length; an index
+        without chunks, or with over ``most``, is an error.  ``feed`` hears of the texts
+        as they are embedded.
         """
         if self.embedder is None:
             raise ValueError("no embedder")
-        found, target = self._table("chunks"), f"{self.store}/vectors"
-        old = self.vectors()
+        found, target = self._table("chunks").select("chunk_id", "content_hash", "text"), f"{self.store}/vectors"
+        chunks = found.count()
+        if not chunks:
+            raise ValueError("no chunks to embed; index the workspace first")
+        if chunks > most:
+            raise ValueError(f"{chunks} chunks to embed, {most} allowed")
+        try:
+            old = stores.open_vectors(self.spark, target, self.model)[0]
+        except stores.StoreError:
+            old = None
         reused, pending = index.reuse_vectors(found, old) if old is not None else (None, found)
-        index.fill_cache(self.spark, pending, self.embedder, self.model, f"{target}/cache")
-        made = index.embed(pending, self.embedder, self.model, index.load_cache(self.spark, f"{target}/cache")).withColumn("model", F.lit(self.model))
-        out = made if reused is None else made.unionByName(reused.withColumn("model", F.lit(self.model)))
-        path = f"{target}/{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        index.write_marker(self.spark, target, {"path": path, "model": self.model})
-        return self.spark.read.parquet(path).count()
-
-    def vectors(self) -> DataFrame | None:
-        facts = index.read_marker(self.spark, f"{self.store}/vectors")
-        return self.spark.read.parquet(facts["path"]).drop("model") if facts and facts["model"] == self.model else None
+        cache = f"{target}/cache"
+        todo = pending.select(F.sha2("text", 256).alias("sha")).distinct().count()
+        self.progress = Progress(self.spark, feed or (lambda _: None), todo)
+        self.progress.run(lambda count: index.fill_cache(self.spark, pending, self.embedder, self.model, cache, count))
+        made = index.embed(pending, self.embedder, self.model, index.load_cache(self.spark, cache))
+        out = stage(made if reused is None else made.unionByName(reused), "vectors")
+        dim, n = one_length(out), out.count()
+        if n != chunks:
+            raise Incomplete(f"{n} vectors for {chunks} chunks")
+        facts = stores.write(out, f"{target}/{uuid.uuid4().hex}", {"model": self.model, "dim": dim, "rows": n, "updated_at": int(time.time())})
+        index.write_marker(self.spark, target, facts)
+        return n
+
+    def vectors(self, verify: bool = False) -> DataFrame | None:
+        """The stored vectors, or None if there are none of this model; ``verify`` reads every byte of them."""
+        try:
+            found, facts = stores.open_vectors(self.spark, f"{self.store}/vectors", self.model)
+        except stores.StoreError as e:
+            if verify or e.code == stores.CORRUPT:
+                raise
+            return None
+        if verify:
+            stores.verify(self.spark, facts)
+        return found
+
+    def remove_vectors(self) -> bool:
+        """Forget the vectors, and the cache of embedded texts; whether there were any."""
+        fs, p = index._path(self.spark, f"{self.store}/vectors")
+        return fs.delete(p, True)
+
+    def warm_up(self) -> None:
+        """Let the embedder load in the background, before a first semantic search."""
+        if self.asker is not None:
+            self.asker.warm_up()
 
     def search(self, query: str, k: int = 10, max_tokens: float = DEFAULT_BUDGET, path: str | None = None, semantic: bool = False, scope_vectors: bool = True) -> Result:
         """The best ``k`` chunks within the token budget, in the order a reader meets them.
@@ -112,16 +156,20 @@ class Workspace:
             return Result("indexing", query, code="INDEX_NOT_FOUND", hint="index the workspace first")
         found = self._table("chunks").select("chunk_id", "path", "seq", "start_line", "end_line", "symbol_kind", "symbol_name", "text")
         hits = segments.SegmentIndex(self.spark, self.store).search({"q": query}, k, scope)[0] if lexical.rungs(query) else None
-        ranked = found.limit(0).withColumn("rank", F.lit(0)) if hits is None else found.join(F.broadcast(hits.select("chunk_id", "rank")), "chunk_id")
-        notice, trim = None, ["path", "start_line"]
+        ranked = found.limit(0).withColumn("rank", F.lit(0)) if hits is None else self._strict(hits, found)
+        lexical_rows = ranked
+        notice, trim, every = None, ["path", "start_line"], None
         if semantic:
             try:
                 vector = self._vector_leg(query, k, scope if scope_vectors else None, found)
                 fused = ranking.fused_topk(ranking.rrf(ranked, vector), k)
                 ranked, trim = fused.select(*found.columns, "rank"), ["rank"]
-            except (ValueError, OSError) as e:
-                notice = f"semantic ranking is off: {e}"
-        every = ranked.count()
+                every = ranked.count()
+            except (ValueError, LookupError, OSError, RuntimeError, PySparkException, Py4JError) as e:
+                # whatever fails in this leg, the lexical result stands
+                ranked, trim = lexical_rows, ["path", "start_line"]
+                notice = f"semantic ranking is off: {str(e).splitlines()[0]}"
+        every = ranked.count() if every is None else every
         fit = ranking.budget_prefix(ranked, max_tokens, trim)
         rows = ranking.source_order(fit).collect()  # at most MOST_HITS rows
         if not rows:
@@ -130,17 +178,27 @@ class Workspace:
         order = [(r.path, r.seq) for r in sorted(rows, key=lambda r: r["rank"])]
         return Result("ok", query, rows, order, every - len(rows), notice=notice)
 
+    @staticmethod
+    def _strict(hits: DataFrame, found: DataFrame) -> DataFrame:
+        """The chunks of hits, ``MOST_HITS`` at most, with their ranks; a hit without a chunk is an error."""
+        ranks = {r["chunk_id"]: r["rank"] for r in hits.select("chunk_id", "rank").collect()}
+        rows = found.filter(F.col("chunk_id").isin(list(ranks)))
+        lost = ranks.keys() - {r["chunk_id"] for r in rows.select("chunk_id").collect()}
+        if lost:
+            raise LookupError(f"hits without a chunk: {sorted(lost)}")
+        places = found.sparkSession.createDataFrame(list(ranks.items()), "chunk_id long, rank int")
+        return rows.join(F.broadcast(places), "chunk_id")
+
     def _vector_leg(self, query: str, k: int, scope: str | None, found: DataFrame) -> DataFrame:
         stored = self.vectors()
         if self.embedder is None or stored is None:
             raise ValueError("no vectors for this model")
-        q = [float(x) for x in self.embedder([query])[0]]
-        if not all(math.isfinite(x) for x in q):
-            raise ValueError("the query's vector is not finite")
+        q = self.asker.vector(query)
+        stores.open_vectors(self.spark, f"{self.store}/vectors", self.model, len(q))
         rows = stored.join(found.select("chunk_id", "path"), "chunk_id", "left").filter(in_scope(F.col("path"), scope))
         rows = rows.withColumn("path", F.coalesce("path", F.raise_error(F.lit("a vector has no chunk")).cast("string")))
         best = ranking.cosine_topk(rows.select("chunk_id", "embedding", "path"), q, k, test_tier(F.col("path")))
-        return found.join(F.broadcast(best.select("chunk_id", "rank")), "chunk_id")
+        return self._strict(best, found)
 
     def outline(self, path: str, depth: int = 2) -> list[tuple]:
         scope = resolve_scope(path)
@@ -152,7 +210,10 @@ class Workspace:
         if facts is None:
             return {"ready": False}
         out = {"ready": True, **{k: facts[k] for k in ("schema", "files", "chunks", "redacted", "skipped", "updated_at")}}
-        stored = self.vectors()
+        try:
+            stored = self.vectors()
+        except stores.StoreError as e:
+            stored, out["vectors"] = None, e.code
         if stored is not None:
             out |= index.vector_status(self._table("chunks"), stored).first().asDict()
         return out | {"cached": index.cache_records(self.spark, f"{self.store}/vectors/cache")}
