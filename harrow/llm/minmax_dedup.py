@@ -11,9 +11,11 @@ minima.  Values are banded; sets that share a band are candidates:
    bands with.  What the confirmed links connect needs no further comparison, which
    settles groups of copies with one comparison for each document;
 3. what a band leaves unconnected is compared pair by pair.  A band with over
-   ``CROWD`` such pairs (texts from one template that do not link) is left to the
+   ``CROWD`` possible pairs (texts from one template that do not link) is left to the
    exact prefixes of ``vertical_join``, which miss no link among its members.
 
+Before sets are fetched for a pair of the third step, sketches of one bit for each value
+must not differ in more bits than six deviations above what the threshold lets expect.
 A link counts when the full sets confirm it.  At the default of 40 bands of three
 permutations a pair at a similarity of exactly 0.8 shares no band with a chance of
 5 in a million, at 0.85 of 5 in a billion.
@@ -22,11 +24,13 @@ permutations a pair at a similarity of exactly 0.8 shares no band with a chance
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import kernels, vertical_join
@@ -35,8 +39,10 @@ from harrow.plans.scratch import drop, stage, tidy
 from harrow.plans.ship import ship
 
 BANDS, BAND_PERMUTATIONS = 40, 3
-#: Pairs of unconnected members that a band compares directly.
-CROWD = 1_000
+#: Pairs with unconnected members that a band compares by their sketches.
+CROWD = 100_000
+#: Bits that tell which addresses are wanted: 4 MB.
+BITMAP = 1 << 25
 _U = np.uint64
 
 
@@ -72,6 +78,18 @@ def band_keys(low: np.ndarray, high: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def sketches(low: np.ndarray, high: np.ndarray) -> list[list[int]]:
+    """One bit of each value of a signature, padded to whole 64-bit words."""
+    bits = (kernels.mix(np.concatenate([low, high], axis=1).copy()) & _U(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(">i8").astype(np.int64).tolist()
+
+
+def most_unlike(values: int, parts: int, whole: int) -> int:
+    """Bits of two sketches that may differ if the sets reach the threshold, six deviations allowed for."""
+    p = (1 - parts / whole) / 2
+    return math.ceil(values * p + 6 * math.sqrt(values * p * (1 - p)))
+
+
 def digest_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -88,7 +106,8 @@ def _sign(width: int, bands: int, each: int):
                     if len(g) and d not in fresh:
                         fresh[d] = len(some)
                         some.append(g)
-                keys = band_keys(*signatures(some, bands * each), bands).view(np.int64).tolist() if some else []
+                low, high = signatures(some, bands * each) if some else (np.zeros((0, bands * each), _U),) * 2
+                keys, bits = band_keys(low, high, bands).view(np.int64).tolist(), sketches(low, high)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
@@ -96,8 +115,9 @@ def _sign(width: int, bands: int, each: int):
                         pa.array([len(g) for g in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array([keys[fresh[d]] if d in fresh else None for d in digests], pa.list_(pa.int64())),
+                        pa.array([bits[fresh[d]] if d in fresh else None for d in digests], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "address", "n", "digest", "bands"],
+                    names=["doc_id", "address", "n", "digest", "bands", "sketch"],
                 )
 
     return scan
@@ -118,10 +138,33 @@ def _cut(width: int):
     return scan
 
 
+def _bitmap(wanted: DataFrame) -> bytes:
+    """One bit for each place that an address can fall on, set where one does: ``BITMAP`` bits, whatever the input."""
+    place = F.pmod("address", F.lit(BITMAP)) + 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = bytearray(BITMAP // 8)
+    for bucket, bits in rows:
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = bits
+    return bytes(out)
+
+
+def _likely(bitmap: bytes):
+    """Rows whose address may be wanted; most others need not be moved."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            place = np.asarray(batch.column("address")) % BITMAP
+            yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return scan
+
+
 def _full_sets(rows: DataFrame, classes: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     """(node, n, keys) of the classes that have a candidate."""
     wanted = stage(classes.join(marks.select("node").distinct(), "node", "left_semi").select("node", "address", "digest"), "wanted")
-    sets = stage(rows.select("address", "text").join(wanted, "address").mapInArrow(_cut(width), "node long, n long, keys array<long>"), "sets")
+    likely = rows.select("address", "text").mapInArrow(_likely(_bitmap(wanted)), "address long, text string")
+    sets = stage(likely.join(wanted, "address").mapInArrow(_cut(width), "node long, n long, keys array<long>"), "sets")
     if sets.count() > wanted.count():  # a row that stands for its class is there twice
         twice = sets
         sets = stage(twice.dropDuplicates(["node"]), "sets")
@@ -143,8 +186,12 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(first.alias("p"), last.alias("q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
 
 
-def _connect(marks: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
-    """(node, label) of all nodes in bands; connected nodes have the same label."""
+def _connect(marks: DataFrame, sets: DataFrame, sketched: DataFrame, words: int, unlike: int, parts: int, whole: int) -> DataFrame:
+    """(node, label) of all nodes in bands; connected nodes have the same label.
+
+    ``sketched`` (node, sketch) has sketches of so many words of 64 bits; pairs whose sketches differ in more than ``unlike``
+    bits are not fetched.
+    """
     like = stage(marks.groupBy("node").agg(F.sum("k").alias("like")), "like")
     rows = marks.join(like, "node").select("mark", F.struct("node", "n").alias("x"), "like")
     centres = rows.groupBy("mark").agg(F.max_by("x", F.struct("like", "x.node")).alias("y"))
@@ -159,9 +206,12 @@ def _connect(marks: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataF
     main = own.groupBy("mark").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
     main = stage(main, "main")
     crowded = F.col("others") * F.col("k") > CROWD
-    every = open_.join(main.filter(~crowded), "mark")
-    few = every.filter(F.col("label") != F.col("main")).select("mark", "x", F.col("label").alias("lx"))
-    met = few.join(every.select("mark", F.col("x").alias("y"), "label", "main"), "mark").filter((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))))
+    every = open_.join(main.filter(~crowded), "mark").join(sketched.select(F.col("node").alias("own"), "sketch"), F.col("x.node") == F.col("own")).drop("own")
+    few = every.filter(F.col("label") != F.col("main")).select("mark", "x", F.col("label").alias("lx"), F.col("sketch").alias("sx"))
+    differ = lambda i: F.bit_count(F.get("sx", F.lit(i)).bitwiseXOR(F.get("sketch", F.lit(i))))
+    alike = reduce(Column.__add__, map(differ, range(words))) <= unlike
+    fits = F.least("x.n", "y.n") * whole >= F.greatest("x.n", "y.n") * parts
+    met = few.join(every.select("mark", F.col("x").alias("y"), "label", "main", "sketch"), "mark").filter(fits & alike).filter((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))))
     pairs = _pairs(met)
     if not main.filter(crowded).isEmpty():
         nodes = open_.join(main.filter(crowded), "mark", "left_semi").select(F.col("x.node").alias("node")).distinct()
@@ -194,19 +244,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a share between 0 and 1, and at least one word, band and permutation")
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(key.alias("doc_id"), F.xxhash64(key, text).alias("address"), text.alias("text"))
-    signed = rows.mapInArrow(_sign(width, bands, each), "doc_id long, address long, n long, digest binary, bands array<long>")
+    signed = rows.mapInArrow(_sign(width, bands, each), "doc_id long, address long, n long, digest binary, bands array<long>, sketch array<long>")
     signed = stage(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
     some = signed.filter("n > 0")
-    first = F.min_by(F.struct("address", "n", "bands"), "uid")
+    first = F.min_by(F.struct("address", "n", "bands", "sketch"), "uid")
     classes = some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), first.alias("first"))
-    classes = stage(classes.select("digest", "node", "least", "first.address", "first.n", "first.bands"), "classes")
-    marks = classes.select("node", "n", F.explode("bands").alias("mark"))
+    classes = stage(classes.select("digest", "node", "least", "first.address", "first.n", "first.bands", "first.sketch"), "classes")
+    marks = classes.select("node", F.explode("bands").alias("mark"))
     twice = marks.groupBy("mark").agg(F.count("*").alias("k")).filter("k > 1")
-    marks = stage(marks.join(twice, "mark").select("mark", "node", "n", "k"), "marks")
+    marks = stage(marks.join(twice, "mark").join(classes.select("node", "n"), "node").select("mark", "node", "n", "k"), "marks")
     tidy(spark)
     sets = _full_sets(rows, classes, marks, width)
     tidy(spark)
-    labels = _connect(marks, sets, parts, whole)
+    values = 2 * bands * each
+    labels = _connect(marks, sets, classes.select("node", "sketch"), -(-values // 64), most_unlike(values, parts, whole), parts, whole)
     named = stage(classes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label")), "named")
     named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "component_id")
     out = some.join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
