@@ -14,10 +14,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.sources.report_sink import OWN_TAG, TAG
+
 TASK_FIELDS = {"id": str, "class": str, "query": str, "expect_paths": list, "added": str}
 TASK_OPTIONAL = {"expect_symbols": list, "must_not_paths": list, "notes": str}
 TASKS = "id string, class string, query string, expect_paths array<string>, added string, expect_symbols array<string>, must_not_paths array<string>, notes string"
-REPORT_SCHEMA = "dsh-coderag/eval-run/v1"
+#: The tag that this package writes; any `<name>/eval-run/v1` is read.
+REPORT_SCHEMA = OWN_TAG
 REPORT = "id string, class string, query string, hit boolean, rank int, matched_path string, symbol_hit boolean, returned_paths array<string>, must_not_hit array<string>, token_estimate long"
 CASE_ASSERTS = {"turn_end": str, "tools_called": list, "tools_not_called": list, "tool_args_contains": dict, "tool_result_contains": list, "output_contains": list, "output_matches": list, "max_steps": int, "max_tokens": int, "no_tool_errors": bool}
 CASE_FIELDS = {"name": str, "prompt": str, "assert": dict}
@@ -77,8 +80,8 @@ def load_report(spark: SparkSession, path: str) -> DataFrame:
     report = _json(pathlib.Path(path).read_text("utf-8"), path)
     if not isinstance(report, dict):
         raise RecordError(f"{path}: not an object")
-    if report.get("schema") != REPORT_SCHEMA:
-        raise RecordError(f"{path}: schema is {report.get('schema')!r}, not {REPORT_SCHEMA!r}")
+    if not isinstance(report.get("schema"), str) or not TAG.fullmatch(report["schema"]):
+        raise RecordError(f"{path}: schema is {report.get('schema')!r}, not that of a run report")
     if not isinstance(report.get("results"), list):
         raise RecordError(f"{path}: no list of results")
     names = [f.split()[0] for f in REPORT.split(", ")]
