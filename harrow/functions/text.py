@@ -37,29 +37,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
-def bigrams(text: Column) -> Column:
-    """Every run of CJK ideographs becomes its overlapping pairs, set apart by blanks."""
-    runs = F.regexp_extract_all(text, F.lit(f"([{CJK}]+|[^{CJK}]+)"), F.lit(1))
+#: Where a run of ideographs touches something else, and where a pair has another after it.
+_TOUCHING = rf"(?U)(?<=[^\s\x1c-\x1f{CJK}])(?=[{CJK}])|(?<=[{CJK}])(?=[^\s\x1c-\x1f{CJK}])"
+_PAIRED = f"([{CJK}])(?=([{CJK}])[{CJK}])"
+
 
-    def pairs(run: Column) -> Column:
-        n = F.length(run)
-        return F.when(n < 2, run).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))), " "))
+def bigrams(text: Column) -> Column:
+    """Every run of CJK ideographs becomes its overlapping pairs.
 
-    spaced = F.transform(runs, lambda run: F.when(run.rlike(f"^[{CJK}]"), F.concat(F.lit(" "), pairs(run), F.lit(" "))).otherwise(run))
-    joined = F.array_join(spaced, "")
-    return F.when(text.rlike(f"[{CJK}]"), F.trim(F.regexp_replace(joined, " +", " "))).otherwise(text)
+    A blank is put between pairs and where a run touches its surroundings; blanks that
+    are there stay.
+    """
+    return F.when(text.rlike(f"[{CJK}]"), F.regexp_replace(F.regexp_replace(text, _TOUCHING, " "), _PAIRED, "$1$2 ")).otherwise(text)
 
 
 def py_bigrams(text: str) -> str:
     """The same for a query on the driver."""
-    if not re.search(f"[{CJK}]", text):
-        return text
-
-    def spaced(m: re.Match) -> str:
-        run = m.group()
-        return f" {' '.join(run[i : i + 2] for i in range(len(run) - 1)) if len(run) > 1 else run} "
-
-    return re.sub(" +", " ", re.sub(f"[{CJK}]+", spaced, text)).strip(" ")
+    apart = re.sub(rf"(?<=[^\s{CJK}])(?=[{CJK}])|(?<=[{CJK}])(?=[^\s{CJK}])", " ", text)
+    return re.sub(_PAIRED, r"\1\2 ", apart)
 
 
 def py_tokens(text: str) -> list[str]:
