@@ -42,12 +42,18 @@ MERGED = 4
 CLASS_CHUNKS = 1_000
 #: Blocks of one folder of terms, on average.
 BUCKET_BLOCKS = 1 << 16
+#: Chunks whose blocks of one folder one task writes.
+BUCKET_CHUNKS = 1_000_000
 #: Ranges of each query that are scored before any bound is compared.
 LEAD_RANGES = 4
+#: Sums of bounds and of scores add up in different orders; bounds are larger by this part.
+SLACK = 1e-9
 #: Queries of one plan.
 QUERIES_AT_ONCE = 1_024
-#: Headers up to this many are worked on in one task.
+#: Up to so many headers, and bounds of ranges, are held by the driver as a local table.
 ONE_TASK_HEADERS = 100_000
+#: Ranges up to this many are named in the filter of a scan.
+SCAN_RANGES = 1_000
 
 CHUNKS = "chunk_id long, path string, seq int, start_line int, end_line int, symbol_kind string, symbol_name string, text string, lang string, low_confidence boolean, content_hash string"
 _BLOCKS = "term string, range long, n int, max_tf int, min_dl int, tier int, named boolean, chunk_ids array<long>, dls array<int>, tfs array<int>, places array<array<int>>"
@@ -151,11 +157,33 @@ def write_segment(spark: SparkSession, store: str, ordinal: int, files: DataFram
     buckets = max(1, min(4_096, chunks_ * 64 // BUCKET_BLOCKS))
     laid = made.withColumn("bucket", _bucket(F.col("term"), buckets))
     # a common term has blocks in all ranges, so a bucket may be dealt to several tasks
-    laid.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
+    deals = max(1, chunks_ // BUCKET_CHUNKS)
+    laid.repartition("bucket", F.pmod("range", F.lit(deals))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
     facts = spark.read.schema(f"{_BLOCKS}, bucket int").parquet(f"{at}/blocks").agg(F.count("*"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     return Segment(name, ordinal, chunks_, facts[1] or 0, buckets, facts[0], spark.read.schema(_FILES).parquet(f"{at}/files").count())
 
 
+def _bounds(heads: list, asked: list[tuple[str, bool, set[int]]], idf: dict[int, float], mean: float) -> dict[str, list[tuple]]:
+    """(query_id, segment, range, tier, best) of each query's ranges, the most promising first."""
+    blocks: dict[tuple[int, int], dict[int, tuple]] = {}
+    for r in heads:
+        if r["phrase"] in idf:
+            most = idf[r["phrase"]] * r["max_tf"] * (K1 + 1) / (r["max_tf"] + K1 * (1 - B + B * r["min_dl"] / mean))
+            own = blocks.setdefault((r["segment"], r["range"]), {})
+            have = own.get(r["phrase"], (0.0, r["tier"], False))
+            own[r["phrase"]] = max(have[0], most), min(have[1], r["tier"]), have[2] or r["named"]
+    out = {}
+    for query_id, every, phrases in asked:
+        rows = []
+        for (segment, range_), own in blocks.items():
+            met = [own[p] for p in phrases if p in own]
+            if met and (not every or len(met) == len(phrases)):
+                best = -(sum(m for m, _, _ in met) * (1 + SLACK) + (SYMBOL_BOOST if any(x for _, _, x in met) else 0.0))
+                rows.append((query_id, segment, range_, min(t for _, t, _ in met), best))
+        out[query_id] = sorted(rows, key=lambda x: (x[3], x[4], x[1], x[2]))
+    return out
+
+
 def _tokenised(chunks: DataFrame, *more: str) -> DataFrame:
     """Tokens by column and length of chunks, with further columns of theirs."""
     symbol = F.coalesce("symbol_name", F.lit("")).alias("symbol")
@@ -402,15 +430,19 @@ class SegmentIndex:
         for _, _, r in asked:
             for p in r.phrases:
                 numbers.setdefault(p, len(numbers))
-        # as long as the queries, which the driver holds
-        uses = spark.createDataFrame([(q, r.every, len(r.phrases), numbers[p]) for q, _, r in asked for p in r.phrases], "query_id string, every boolean, wanted int, phrase int")
         single = {p[0]: i for p, i in numbers.items() if len(p) == 1}
         long = {p: i for p, i in numbers.items() if len(p) > 1}
-        small = sum(s.headers for s in segments) <= ONE_TASK_HEADERS or len(terms) * sum(-(-s.chunks // RANGE_CHUNKS) for s in segments) <= ONE_TASK_HEADERS
+        ranges = sum(-(-s.chunks // RANGE_CHUNKS) for s in segments)
+        # headers that few come to the driver, which then bounds ranges without a job
+        small = max(len(terms), len(asked)) * ranges <= ONE_TASK_HEADERS
         narrow = (lambda df: df.coalesce(1)) if small else (lambda df: df)
         alive = (lambda df: df.join(self._gone(facts), ["segment", "chunk_id"], "left_anti")) if facts["tombstones"] else (lambda df: df)
         listed = ["range", "chunk_ids", "dls", "tfs"]
 
+        def near(blocks: DataFrame, keep: DataFrame, few: list[int] | None) -> DataFrame:
+            """Rows of the ranges to keep; a short list of them reaches the scan."""
+            return blocks.join(keep, ["segment", "range"], "left_semi") if few is None else blocks.filter(F.col("range").isin(few))
+
         def postings_of(blocks: DataFrame) -> DataFrame:
             x = blocks.select("phrase", "segment", "range", F.explode(F.arrays_zip("chunk_ids", "dls", "tfs")).alias("p"))
             return alive(x.select("phrase", "segment", "range", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.dls").alias("dl"), F.col("p.tfs").alias("tf")))
@@ -421,38 +453,48 @@ class SegmentIndex:
             names = F.broadcast(spark.createDataFrame(known, "term string, phrase int"))
             head = self._entries(facts, list(single), ["term", "range", "n", "max_tf", "min_dl", "tier", "named"]).join(names, "term")
             heads.append(head.select("phrase", "segment", "range", "n", "max_tf", "min_dl", "tier", "named"))
-            parts.append(lambda keep: postings_of(self._entries(facts, list(single), ["term", *listed]).join(names, "term").join(keep, ["segment", "range"], "left_semi")))
+            parts.append(lambda keep, few: postings_of(near(self._entries(facts, list(single), ["term", *listed]), keep, few).join(names, "term")))
         if long:
             counted = stage(self._phrases(facts, long, alive), "phrases")
             tier = F.lit(0)  # the least there is bounds any
             heads.append(counted.groupBy("phrase", "segment", "range").agg(F.count("*").cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").alias("min_dl")).select("phrase", "segment", "range", "n", "max_tf", "min_dl", tier.alias("tier"), F.lit(True).alias("named")))
-            parts.append(lambda keep: counted.join(keep, ["segment", "range"], "left_semi"))
+            parts.append(lambda keep, few: near(counted, keep, few))
         heads = narrow(reduce(DataFrame.unionByName, heads))
         lost = {}
         if facts["tombstones"] and single:
             gone = self._dead("lost", _LOST, facts).filter(F.col("term").isin(list(single))).groupBy("term").agg(F.sum("n").alias("n"))
             lost = {single[r["term"]]: r["n"] for r in gone.collect()}  # one row for each term asked
-        df = {r["phrase"]: r["n"] - lost.get(r["phrase"], 0) for r in heads.groupBy("phrase").agg(F.sum("n").alias("n")).collect()}
+        rows = heads.collect() if small else []
+        counts: dict[int, int] = {}
+        for phrase, n_ in ((r["phrase"], r["n"]) for r in (rows if small else heads.groupBy("phrase").agg(F.sum("n").alias("n")).collect())):
+            counts[phrase] = counts.get(phrase, 0) + n_
+        df = {p: f - lost.get(p, 0) for p, f in counts.items() if f > lost.get(p, 0)}
         work["postings"] += sum(df[p] for _, _, r in asked for p in {numbers[x] for x in r.phrases} if p in df)
-        idf = {p: max(LEAST_IDF, raw) if (raw := math.log((n - f + 0.5) / (f + 0.5))) > 0 else LEAST_IDF for p, f in df.items() if f > 0}
-        if not idf:
+        if not df:
             return []
-        weights = uses.join(spark.createDataFrame(list(idf.items()), "phrase int, idf double"), "phrase")
+        idf = {p: raw if (raw := math.log((n - f + 0.5) / (f + 0.5))) > 0 else LEAST_IDF for p, f in df.items()}
+        weights = spark.createDataFrame([(q, r.every, len(r.phrases), numbers[p], idf[numbers[p]]) for q, _, r in asked for p in r.phrases if numbers[p] in idf], "query_id string, every boolean, wanted int, phrase int, idf double")
         gain = lambda tf, dl: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
-        per = heads.join(F.broadcast(weights), "phrase").groupBy("query_id", "every", "wanted", "segment", "range", "phrase").agg(F.max(gain(F.col("max_tf"), F.col("min_dl"))).alias("most"), F.min("tier").alias("tier"), F.max("named").alias("named"))
-        bounds = per.groupBy("query_id", "every", "wanted", "segment", "range").agg(F.sum("most").alias("most"), F.count("*").alias("met"), F.min("tier").alias("tier"), F.max("named").alias("named")).filter("NOT every OR met = wanted")
-        # sums of bounds and of scores add up in different orders
-        best = -(F.col("most") * (1 + 1e-9) + F.when(F.col("named"), SYMBOL_BOOST).otherwise(0.0))
-        bounds = bounds.select("query_id", "segment", "range", "tier", best.alias("best"))
-        lead = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "best", "segment", "range"))).filter(F.col("place") <= LEAD_RANGES).drop("place")
-
-        def rank(ranges: DataFrame, limit: int) -> list:
+        place = "query_id string, segment int, range long"
+        if small:
+            bounds = _bounds(rows, [(q, r.every, {numbers[p] for p in r.phrases}) for q, _, r in asked], idf, mean)
+            lead = [x for own in bounds.values() for x in own[:LEAD_RANGES]]
+        else:
+            per = heads.join(F.broadcast(weights), "phrase").groupBy("query_id", "every", "wanted", "segment", "range", "phrase").agg(F.max(gain(F.col("max_tf"), F.col("min_dl"))).alias("most"), F.min("tier").alias("tier"), F.max("named").alias("named"))
+            found = per.groupBy("query_id", "every", "wanted", "segment", "range").agg(F.sum("most").alias("most"), F.count("*").alias("met"), F.min("tier").alias("tier"), F.max("named").alias("named")).filter("NOT every OR met = wanted")
+            best = -(F.col("most") * (1 + SLACK) + F.when(F.col("named"), SYMBOL_BOOST).otherwise(0.0))
+            bounds = stage(found.select("query_id", "segment", "range", "tier", best.alias("best")), "bounds")
+            first_ones = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "best", "segment", "range"))
+            lead = [tuple(r) for r in bounds.withColumn("place", first_ones).filter(F.col("place") <= LEAD_RANGES).select("query_id", "segment", "range", "tier", "best").collect()]
+
+        def rank(ranges: DataFrame, few: list[int] | None) -> list:
+            """The best ``k`` of each query in its ranges; ``few`` names the ranges if they are few."""
             keep = ranges.select("segment", "range").distinct()
-            x = narrow(reduce(DataFrame.unionByName, [p(keep).select("phrase", "segment", "range", "chunk_id", "dl", "tf") for p in parts]))
-            x = x.join(F.broadcast(weights), "phrase").join(ranges.select("query_id", "segment", "range"), ["query_id", "segment", "range"], "left_semi")
+            x = narrow(reduce(DataFrame.unionByName, [p(keep, few).select("phrase", "segment", "range", "chunk_id", "dl", "tf") for p in parts]))
+            x = x.join(F.broadcast(weights), "phrase").join(ranges, ["query_id", "segment", "range"], "left_semi")
             hits = x.groupBy("query_id", "every", "wanted", "segment", "chunk_id").agg(F.sum(gain(F.col("tf"), F.col("dl"))).alias("s"), F.count("*").alias("met")).filter("NOT every OR met = wanted")
             own = self._of("chunks", f"{CHUNKS}, range long", segments).select("segment", "range", "chunk_id", "path", "seq", "start_line", "symbol_name")
-            own = narrow(own.join(keep, ["segment", "range"], "left_semi"))
+            own = narrow(near(own, keep, few))
             hits = hits.join(own, ["segment", "chunk_id"]).filter(in_scope(F.col("path"), scope))
             score = -F.col("s")
             if symbols and any(symbols.values()):
@@ -461,24 +503,25 @@ class SegmentIndex:
                 score = score - F.when(F.col("asks") == 1, SYMBOL_BOOST).otherwise(0.0)
             hits = hits.select("query_id", "met", test_tier(F.col("path")).alias("tier"), score.alias("score"), "path", "seq", "start_line", "chunk_id", (-F.col("s")).alias("bm25"))
             order = Window.partitionBy("query_id").orderBy("tier", "score", "path", "seq")
-            best_k = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-            total = hits.groupBy("query_id").agg(F.sum("met").alias("scored"))
-            return best_k.join(total, "query_id").collect()
-
-        bounds = stage(bounds, "bounds") if not small else bounds.persist()
-        try:
-            first = rank(lead, k)
-            held: dict[str, list] = {}
-            for r in first:
-                held.setdefault(r["query_id"], []).append(r)
-            at = {q: max((r["tier"], r["score"]) for r in rows) for q, rows in held.items() if len(rows) == k}
-            limits = spark.createDataFrame([(q, *v) for q, v in at.items()], "query_id string, t int, s double")
-            rest = bounds.join(lead.select("query_id", "segment", "range"), ["query_id", "segment", "range"], "left_anti").join(F.broadcast(limits), "query_id", "left")
-            rest = rest.filter("t IS NULL OR tier < t OR (tier = t AND best <= s)")
-            more = [] if rest.isEmpty() else rank(rest, k)
-        finally:
-            if small:
-                bounds.unpersist()
+            scored = F.sum("met").over(Window.partitionBy("query_id"))
+            return hits.withColumn("scored", scored).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).collect()
+
+        def ranked(places: list[tuple]) -> list:
+            few = sorted({r for _, _, r in places})
+            return rank(F.broadcast(spark.createDataFrame(places, place)), few if len(few) <= SCAN_RANGES else None) if places else []
+
+        first = ranked([x[:3] for x in lead])
+        held: dict[str, list] = {}
+        for r in first:
+            held.setdefault(r["query_id"], []).append(r)
+        limits = {q: max((r["tier"], r["score"]) for r in rows) for q, rows in held.items() if len(rows) == k}
+        if small:
+            more = ranked([x[:3] for q, own in bounds.items() for x in own[LEAD_RANGES:] if q not in limits or x[3:] <= limits[q]])
+        else:
+            known = F.broadcast(spark.createDataFrame([(q, *v) for q, v in limits.items()], "query_id string, t int, s double"))
+            done = F.broadcast(spark.createDataFrame([x[:3] for x in lead], place))
+            rest = bounds.join(done, ["query_id", "segment", "range"], "left_anti").join(known, "query_id", "left")
+            more = rank(rest.filter("t IS NULL OR tier < t OR (tier = t AND best <= s)").select("query_id", "segment", "range"), None)
         work["scored"] += sum({r["query_id"]: r["scored"] for r in rows_}.get(q, 0) for rows_ in (first, more) for q in {r["query_id"] for r in rows_})
         rung_no = asked[0][1]
         for r in more:
