@@ -256,16 +256,16 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str =
     blocks = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     dealt = rows.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = packed.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    parts = max(1, -(-asked.count() // BLOCK_QUERIES))
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in rows.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    probes = asked.mapInArrow(_probe(index, sizes, k), "query_id long, q binary, list int").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    if parts > 1:
-        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    else:
-        dealt = dealt.withColumn("part", F.lit(0))
+    probes = asked.mapInArrow(_probe(index, sizes, k), "query_id long, q binary, list int")
+    # a list is copied as often as its own probes need, and not at all without any; one row for each list
+    parts = F.broadcast(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts")))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = dealt.join(parts, "list").withColumn("part", each).drop("parts")
+    probes = probes.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+    probes = probes.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = dealt.groupBy("list", "block", "part").cogroup(probes.groupBy("list", "block", "part")).applyInPandas(_search(index, k, rerank), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

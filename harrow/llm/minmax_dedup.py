@@ -40,7 +40,7 @@ from harrow.plans.ship import ship
 
 BANDS, BAND_PERMUTATIONS = 40, 3
 #: Pairs with unconnected members that a band compares by their sketches.
-CROWD = 100_000
+CROWD = 1_000
 #: Bits that tell which addresses are wanted: 4 MB.
 BITMAP = 1 << 25
 _U = np.uint64

@@ -1,5 +1,6 @@
 import numpy as np
 
+from harrow.llm import ivfpq
 from harrow.llm.ivfpq import brute_force, exact, leading, search
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank int"
@@ -41,3 +42,13 @@ def test_leading_prefers_first_places():
     x[:, 5] = -np.inf
     want = np.sort(np.argsort(-x, axis=1, kind="stable")[:, :11], axis=1)
     assert (np.sort(leading(x, 11), axis=1) == want).all()
+
+
+def test_queries_in_blocks_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    key = lambda r: (r.query_id, r["rank"], r.vec_id, r.score)
+    whole = sorted(map(key, ivfpq.search(frame, query_every=5).collect()))
+    monkeypatch.setattr(ivfpq, "BLOCK_QUERIES", 16)
+    assert sorted(map(key, ivfpq.search(frame, query_every=5).collect())) == whole and len(whole) == 240 * 20
