@@ -436,12 +436,13 @@ class SegmentIndex:
         # headers that few come to the driver, which then bounds ranges without a job
         small = max(len(terms), len(asked)) * ranges <= ONE_TASK_HEADERS
         narrow = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+        side = F.broadcast  # tables as long as the queries, which the driver holds
         alive = (lambda df: df.join(self._gone(facts), ["segment", "chunk_id"], "left_anti")) if facts["tombstones"] else (lambda df: df)
         listed = ["range", "chunk_ids", "dls", "tfs"]
 
         def near(blocks: DataFrame, keep: DataFrame, few: list[int] | None) -> DataFrame:
             """Rows of the ranges to keep; a short list of them reaches the scan."""
-            return blocks.join(keep, ["segment", "range"], "left_semi") if few is None else blocks.filter(F.col("range").isin(few))
+            return narrow(blocks.join(keep, ["segment", "range"], "left_semi") if few is None else blocks.filter(F.col("range").isin(few)))
 
         def postings_of(blocks: DataFrame) -> DataFrame:
             x = blocks.select("phrase", "segment", "range", F.explode(F.arrays_zip("chunk_ids", "dls", "tfs")).alias("p"))
@@ -450,8 +451,8 @@ class SegmentIndex:
         heads, parts = [], []
         known = [(p, i) for p, i in single.items()]
         if single:
-            names = F.broadcast(spark.createDataFrame(known, "term string, phrase int"))
-            head = self._entries(facts, list(single), ["term", "range", "n", "max_tf", "min_dl", "tier", "named"]).join(names, "term")
+            names = side(spark.createDataFrame(known, "term string, phrase int"))
+            head = narrow(self._entries(facts, list(single), ["term", "range", "n", "max_tf", "min_dl", "tier", "named"])).join(names, "term")
             heads.append(head.select("phrase", "segment", "range", "n", "max_tf", "min_dl", "tier", "named"))
             parts.append(lambda keep, few: postings_of(near(self._entries(facts, list(single), ["term", *listed]), keep, few).join(names, "term")))
         if long:
@@ -491,15 +492,17 @@ class SegmentIndex:
             """The best ``k`` of each query in its ranges; ``few`` names the ranges if they are few."""
             keep = ranges.select("segment", "range").distinct()
             x = narrow(reduce(DataFrame.unionByName, [p(keep, few).select("phrase", "segment", "range", "chunk_id", "dl", "tf") for p in parts]))
-            x = x.join(F.broadcast(weights), "phrase").join(ranges, ["query_id", "segment", "range"], "left_semi")
+            x = x.join(side(weights), "phrase").join(ranges, ["query_id", "segment", "range"], "left_semi")
             hits = x.groupBy("query_id", "every", "wanted", "segment", "chunk_id").agg(F.sum(gain(F.col("tf"), F.col("dl"))).alias("s"), F.count("*").alias("met")).filter("NOT every OR met = wanted")
             own = self._of("chunks", f"{CHUNKS}, range long", segments).select("segment", "range", "chunk_id", "path", "seq", "start_line", "symbol_name")
-            own = narrow(near(own, keep, few))
+            own = near(own, keep, few)
+            if few is not None:
+                own = side(own)  # the chunks of SCAN_RANGES ranges at most
             hits = hits.join(own, ["segment", "chunk_id"]).filter(in_scope(F.col("path"), scope))
             score = -F.col("s")
             if symbols and any(symbols.values()):
                 asks = spark.createDataFrame([(q, s, 1) for q, each in symbols.items() for s in each], "query_id string, symbol_name string, asks int")
-                hits = hits.join(F.broadcast(asks), ["query_id", "symbol_name"], "left")
+                hits = hits.join(side(asks), ["query_id", "symbol_name"], "left")
                 score = score - F.when(F.col("asks") == 1, SYMBOL_BOOST).otherwise(0.0)
             hits = hits.select("query_id", "met", test_tier(F.col("path")).alias("tier"), score.alias("score"), "path", "seq", "start_line", "chunk_id", (-F.col("s")).alias("bm25"))
             order = Window.partitionBy("query_id").orderBy("tier", "score", "path", "seq")
@@ -508,7 +511,7 @@ class SegmentIndex:
 
         def ranked(places: list[tuple]) -> list:
             few = sorted({r for _, _, r in places})
-            return rank(F.broadcast(spark.createDataFrame(places, place)), few if len(few) <= SCAN_RANGES else None) if places else []
+            return rank(side(spark.createDataFrame(places, place)), few if len(few) <= SCAN_RANGES else None) if places else []
 
         first = ranked([x[:3] for x in lead])
         held: dict[str, list] = {}
