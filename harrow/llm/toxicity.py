@@ -35,6 +35,7 @@ _INVISIBLE = "­​‌‍⁠﻿"
 
 #: Lexicon entries are beginnings of words, of so many letters, or whole words.
 STEM_LETTERS = (4, 5, 6, 7, 8)
+SHORT_LETTERS = 2
 #: An entry is in so many toxic documents, so many times as often as in clean ones, and this far from chance.
 LEAST_DOCS, LEAST_RATIO, LEAST_G = 5, 4.0, 40.0
 EXCEPTION_DOCS = 5
@@ -66,12 +67,22 @@ def fold(text: str) -> list[str]:
     return text.translate(_table()).split()
 
 
+def shape(text: str) -> str:
+    """What a reader takes folded text for: letters without their marks, one letter for 1, i and l."""
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text.replace("l", "i")
+
+
 def stems(words: Iterable[str]) -> set[str]:
+    """Beginnings of words and whole words; a short word only whole, which its blank says."""
     found = set()
     for w in set(words):
         found.update(w[:k] for k in STEM_LETTERS if len(w) >= k)
         if len(w) >= STEM_LETTERS[0]:
             found.add(w)
+        elif len(w) >= SHORT_LETTERS:
+            found.add(f"{w} ")
     return found
 
 
@@ -84,11 +95,17 @@ class Lexicon:
     curve: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton:
-        a = ahocorasick.Automaton()
+        weights: dict[str, float] = {}
         for stem, weight in self.entries:
-            a.add_word(" " + stem, weight)
+            key = shape(" " + stem)
+            weights[key] = max(weight, weights.get(key, weight))
         for phrase, weight in self.exceptions:
-            a.add_word(f" {phrase} ", -weight)
+            # beside an entry of the same letters, which is a whole short word
+            key = shape(f" {phrase} ")
+            weights[key] = weights.get(key, 0.0) - weight
+        a = ahocorasick.Automaton()
+        for key, weight in weights.items():
+            a.add_word(key, weight)
         a.make_automaton()
         return a
 
@@ -96,7 +113,7 @@ class Lexicon:
 def weigh(words: list[str], automaton: ahocorasick.Automaton) -> float:
     if not words or not len(automaton):
         return 0.0
-    return max(0.0, sum(w for _, w in automaton.iter(f" {' '.join(words)} ")))
+    return max(0.0, sum(w for _, w in automaton.iter(shape(f" {' '.join(words)} "))))
 
 
 def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -173,3 +173,12 @@ def test_sql_twin(spark):
         assert sorted(got.columns) == cols
         rows = sorted(tuple(r[c] for c in cols) for r in got.collect())
         assert rows == sorted(tuple(r[want.columns.index(c)] for c in cols) for r in want.fetchall())
+
+
+def test_disguised_spellings_meet_their_entry():
+    lexicon = toxicity.Lexicon((("idiot", 3.0), ("loser", 2.0), ("clown", 1.5), ("oaf ", 1.0), ("réeu", 5.0)), (("clown fish", 1.5),))
+    found = lexicon.automaton()
+    weigh = lambda text: toxicity.weigh(toxicity.fold(text), found)
+    for text, weight in {"idiot": 3, "id\u00edot": 3, "idi\u0301ot": 3, "1oser": 2, "Iosers": 2, "c1own": 1.5, "сІоwn": 1.5, "clown fish": 0, "c1own f1sh": 0, "an OAF.": 1, "0af": 1, "loaf oafs": 0, "réeux": 5, "reeux": 5}.items():
+        assert weigh(text) == weight, text
+    assert toxicity.stems(["oaf", "x", "fool"]) == {"oaf ", "fool"}
