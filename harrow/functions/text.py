@@ -125,6 +125,7 @@ def edge_tokens(query: Column) -> Column:
     return F.array_distinct(F.filter(cleaned, lambda t: t != ""))
 
 
+# The file extensions that are parsed.
 LANGUAGES = {".py": "python", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".ts": "typescript", ".js": "javascript"}
 
 

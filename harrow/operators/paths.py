@@ -68,7 +68,7 @@ def is_secret_path(path: Column) -> Column:
     hit = F.lit(False)
     for glob in SECRET_NAMES:
         # the pattern's own end mark is Python's; Java spells it in lower case
-        hit = hit | name.rlike("^" + fnmatch.translate(glob).replace(r"\Z", r"\z").replace(r"(?s:", "(?s:"))
+        hit = hit | name.rlike("^" + fnmatch.translate(glob).replace(r"\Z", r"\z"))
     for fragment in SECRET_FRAGMENTS:
         hit = hit | F.concat(F.lit("/"), path).contains(fragment)
     return hit
