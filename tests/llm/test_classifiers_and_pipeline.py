@@ -165,7 +165,8 @@ def test_sql_twin(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in ORACLES.items():
         want = con.sql(sql)
         cols = sorted(want.columns)
