@@ -16,18 +16,19 @@ from __future__ import annotations
 
 import math
 import time
+import unicodedata
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.functions.text import bigrams
+from harrow.functions.text import ASCII, LATIN, bigrams, tokens
 from harrow.operators import index, lexical
 from harrow.operators.lexical import K1, LEAST_IDF, SYMBOL_BOOST, B
 from harrow.operators.chunking import chunks
@@ -40,10 +41,10 @@ RANGE_CHUNKS = 64
 MERGED = 4
 #: Chunks of the smallest size class.
 CLASS_CHUNKS = 1_000
-#: Blocks of one folder of terms, on average.
-BUCKET_BLOCKS = 1 << 16
-#: Chunks whose blocks of one folder one task writes.
-BUCKET_CHUNKS = 1_000_000
+#: Bytes of text whose blocks are put in order together; what a task holds at a time.
+RUN_BYTES = 16 << 20
+#: The form of what is stored; an index of another form is built anew.
+LAYOUT = 2
 #: Ranges of each query that are scored before any bound is compared.
 LEAD_RANGES = 4
 #: Sums of bounds and of scores add up in different orders; bounds are larger by this part.
@@ -56,7 +57,10 @@ ONE_TASK_HEADERS = 100_000
 SCAN_RANGES = 1_000
 
 CHUNKS = "chunk_id long, path string, seq int, start_line int, end_line int, symbol_kind string, symbol_name string, text string, lang string, low_confidence boolean, content_hash string"
-_BLOCKS = "term string, range long, n int, max_tf int, min_dl int, tier int, named boolean, chunk_ids array<long>, dls array<int>, tfs array<int>, places array<array<int>>"
+#: A block of one token has it in ``chunk_id`` and ``place``; its length and frequency are the header's.  Others are
+#: ``packed``: ids (8 bytes each), lengths, frequencies and places (4 bytes each), little-endian.
+_BLOCKS = "term string, range long, n int, max_tf int, min_dl int, tier int, named boolean, tokens int, chunk_id long, place int, packed binary"
+_PACKED = ["n", "tokens", "max_tf", "min_dl", "chunk_id", "place", "packed"]
 _PLACE_BITS = 28
 
 
@@ -68,7 +72,6 @@ class Segment:
     ordinal: int
     chunks: int
     tokens: int
-    buckets: int
     headers: int
     files: int
     dead: int = 0
@@ -79,25 +82,116 @@ class Segment:
         return max(0, math.ceil(math.log(max(1, self.chunks - self.dead) / CLASS_CHUNKS, MERGED)))
 
 
-def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Blocks of the chunks of one batch, one for each term and range."""
+def _latin_fold() -> tuple[np.ndarray, np.ndarray]:
+    """What becomes of a character up to U+017F: its first and second byte; 0 is no byte, and twice 0 no part of a word."""
+    first, second = np.zeros(0x180, np.uint8), np.zeros(0x180, np.uint8)
+    fold = str.maketrans(LATIN, ASCII)
+    for code in range(0x180):
+        out = chr(code).translate(fold).lower()
+        if unicodedata.category(out)[0] in "LN":
+            raw = out.encode()
+            first[code], second[code] = raw[0], raw[1] if len(raw) > 1 else 0
+    return first, second
+
+
+#: Texts without a character beyond this are cut into words by tasks in one sweep over their bytes.
+_BEYOND = "[^\\x00-\\u017f]"
+_FIRST, _SECOND = _latin_fold()
+
+
+def _latin_words(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """Row and word of every token of texts up to U+017F, as ``functions.text.tokens`` cuts them."""
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    source = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    edges = offsets.astype(np.int64) - offsets[0]
+    raw = np.where(source < 128, _FIRST[source & 127], 0).astype(np.uint8)
+    word = raw != 0
+    lead = np.flatnonzero((source >= 0xC2) & (source <= 0xC5))
+    code = ((source[lead] & 0x1F).astype(np.int32) << 6) | (source[lead + 1] & 0x3F)
+    raw[lead], raw[lead + 1] = _FIRST[code], _SECOND[code]
+    word[lead] = word[lead + 1] = _FIRST[code] != 0
+    fresh = np.zeros(len(raw) + 1, bool)  # where a text begins, the one before has ended
+    fresh[edges] = True
+    starts = word.copy()
+    starts[1:] &= ~word[:-1] | fresh[1:-1]
+    starts = np.flatnonzero(starts)
+    if not len(starts):
+        return starts, pa.array([], pa.string())
+    sizes = np.add.reduceat((raw != 0).astype(np.int32), starts)
+    bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw[raw != 0]))
+    return np.searchsorted(edges, starts, "right") - 1, words
+
+
+def _occurrences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Row, place and term of every token; those of a row by column and place."""
     at, places, words = [], [], []
     for c, name in enumerate(lexical.COLUMNS):
-        column = batch.column(f"t_{name}")
-        sizes = np.asarray(column.value_lengths()).astype(np.int64)
-        rows = np.repeat(np.arange(batch.num_rows), sizes)
-        first = np.cumsum(sizes) - sizes
-        at.append(rows)
-        places.append((c << _PLACE_BITS) + np.arange(len(rows)) - first[rows])
-        words.append(column.flatten())
-    at, places = np.concatenate(at), np.concatenate(places).astype(np.int32)
+        plain, cut = batch.column(f"a_{name}"), batch.column(f"t_{name}")
+        own = np.flatnonzero(np.asarray(plain.is_valid()))
+        rows, found = _latin_words(plain.drop_null())
+        others = np.asarray(cut.value_lengths().fill_null(0)).astype(np.int64)
+        for which, tokens in ((own[rows], found), (np.repeat(np.arange(batch.num_rows), others), cut.flatten())):
+            first = np.flatnonzero(np.diff(which, prepend=-1))
+            run = np.repeat(first, np.diff(np.append(first, len(which))))
+            at.append(which)
+            places.append((c << _PLACE_BITS) + np.arange(len(which)) - run)
+            words.append(tokens)
+    return np.concatenate(at), np.concatenate(places).astype(np.int32), pa.concat_arrays(words).dictionary_encode()
+
+
+def _packing(n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where packed blocks begin, and where ids, lengths, frequencies and places stand, in words of 4 bytes."""
+    offsets = np.append(0, np.cumsum(4 * n.astype(np.int64) + tokens))
+    inner = lambda sizes: np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    base, count, each = np.repeat(offsets[:-1], n), np.repeat(n, n), inner(n)
+    return offsets, base + 2 * each, base + 2 * count + each, base + 3 * count + each, np.repeat(offsets[:-1] + 4 * n, tokens) + inner(tokens)
+
+
+def _unpacker(keys: list[str], places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(keys.., chunk_id, dl, tf) of every posting of blocks, or (keys.., chunk_id, dl, place) of every token."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = lambda c: np.asarray(batch.column(c).fill_null(0))
+            n, tokens = number("n"), number("tokens")
+            lone, several = np.flatnonzero(tokens == 1), np.flatnonzero(tokens != 1)
+            raw = batch.column("packed")
+            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else [0]
+            words = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4") if ends[-1] > ends[0] else np.zeros(0, "<i4")
+            _, at_id, at_dl, at_tf, at_place = _packing(n[several], tokens[several])
+            row = np.repeat(several, n[several])
+            id_, dl, tf = np.stack([words[at_id], words[at_id + 1]], 1).astype("<i4").view("<i8").ravel(), words[at_dl], words[at_tf]
+            last = tf
+            if places:
+                row, id_, dl, last = np.repeat(row, tf), np.repeat(id_, tf), np.repeat(dl, tf), words[at_place]
+            row = np.concatenate([row, lone])
+            out = [batch.column(k).take(pa.array(row)) for k in keys]
+            for own, of_lone, kind in ((id_, "chunk_id", np.int64), (dl, "min_dl", np.int32), (last, "place" if places else "max_tf", np.int32)):
+                out.append(pa.array(np.concatenate([own, number(of_lone)[lone]]).astype(kind)))
+            yield pa.RecordBatch.from_arrays(out, names=[*keys, "chunk_id", "dl", "place" if places else "tf"])
+
+    return unpack
+
+
+def _unpacked(blocks: DataFrame, keys: list[str], places: bool = False) -> DataFrame:
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema]
+    return blocks.select(*keys, *_PACKED).mapInArrow(_unpacker(keys, places), ", ".join([*kinds, "chunk_id long, dl int", "place int" if places else "tf int"]))
+
+
+def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Blocks of the chunks of one batch, one for each term and range, in that order."""
+    at, places, coded = _occurrences(batch)
     if not len(at):
         return None
-    coded = pa.concat_arrays(words).dictionary_encode()
-    term = np.asarray(coded.indices).astype(np.int64)
+    by_name = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(by_name), np.int64)
+    rank[np.asarray(by_name)] = np.arange(len(by_name))
     ranges, row_range = np.unique(np.asarray(batch.column("range")), return_inverse=True)
-    block = row_range[at] * len(coded.dictionary) + term
-    order = np.lexsort((at, block))  # columns and places ascend already
+    block = rank[np.asarray(coded.indices)] * len(ranges) + row_range[at]
+    order = np.argsort(block * batch.num_rows + at, kind="stable")  # columns and places ascend already
     block, at, places = block[order], at[order], places[order]
     new_block = np.diff(block, prepend=-1) != 0
     posting = np.flatnonzero(new_block | (np.diff(at, prepend=-1) != 0))
@@ -105,37 +199,92 @@ def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     doc = at[posting]
     starts = np.searchsorted(posting, np.flatnonzero(new_block))
     edges = np.append(starts, len(posting))
-    dl, tier = np.asarray(batch.column("dl")).astype(np.int32), np.asarray(batch.column("tier")).astype(np.int32)
+    tokens = np.diff(np.append(posting[starts], len(at))).astype(np.int32)
+    dl, tier = np.bincount(at, minlength=batch.num_rows).astype(np.int32), np.asarray(batch.column("tier")).astype(np.int32)
+    ids = np.asarray(batch.column("chunk_id"))
     symbols = (places >> _PLACE_BITS) == lexical.COLUMNS.index("symbol")
     which = block[posting[starts]]
-    lists = lambda values: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
-    inner = pa.ListArray.from_arrays(pa.array(np.append(posting, len(at)), pa.int32()), pa.array(places))
+    alone = tokens == 1
+    n = np.diff(edges)
+    kept, several = ~np.repeat(alone, n), np.flatnonzero(~alone)
+    offsets, at_id, at_dl, at_tf, at_place = _packing(n[several], tokens[several])
+    words = np.empty(offsets[-1], "<i4")
+    id_words = ids[doc[kept]].astype("<i8").view("<i4")
+    words[at_id], words[at_id + 1] = id_words[::2], id_words[1::2]
+    words[at_dl], words[at_tf], words[at_place] = dl[doc[kept]], tf[kept], places[np.repeat(kept, tf)]
+    sizes = np.zeros(len(n), np.int64)
+    sizes[several] = 4 * np.diff(offsets)
+    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(words)])
     columns = [
-        coded.dictionary.take(pa.array(which % len(coded.dictionary))),
-        pa.array(ranges[which // len(coded.dictionary)]),
-        pa.array(np.diff(edges), pa.int32()),
+        coded.dictionary.take(by_name.take(pa.array(which // len(ranges)))),
+        pa.array(ranges[which % len(ranges)]),
+        pa.array(n, pa.int32()),
         pa.array(np.maximum.reduceat(tf, starts)),
         pa.array(np.minimum.reduceat(dl[doc], starts)),
         pa.array(np.minimum.reduceat(tier[doc], starts)),
         pa.array(np.logical_or.reduceat(symbols, posting[starts])),
-        lists(batch.column("chunk_id").take(pa.array(doc))),
-        lists(pa.array(dl[doc])),
-        lists(pa.array(tf)),
-        lists(inner),
+        pa.array(tokens),
+        pa.array(ids[doc[starts]], mask=~alone),
+        pa.array(places[posting[starts]], mask=~alone),
+        packed,
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``RUN_BYTES``."""
+    held, size = [], 0
     for whole in batches:
-        for lo in range(0, whole.num_rows, 16 * RANGE_CHUNKS):
-            made = _postings(whole.slice(lo, 16 * RANGE_CHUNKS))
-            if made is not None:
-                yield made
+        step = max(1, whole.num_rows * RUN_BYTES // max(1, 4 * whole.nbytes))
+        for lo in range(0, whole.num_rows, step):
+            held.append(whole.slice(lo, step))
+            size += held[-1].nbytes
+            if size >= RUN_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield rest.to_batches()[0]
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return (F.crc32(term.cast("binary")) % buckets).cast("int")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches):
+        made = _postings(run)
+        if made is not None:
+            for lo in range(0, made.num_rows, OUT_ROWS):
+                yield made.slice(lo, OUT_ROWS)
+
+
+def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of chunks that go, a row with the number of tokens; of each segment, in how many of them a term is."""
+    for run in _runs(batches):
+        at, _, coded = _occurrences(run)
+        segment = np.asarray(run.column("segment")).astype(np.int64)
+        none = pa.nulls(run.num_rows)
+        sizes = pa.array(np.bincount(at, minlength=run.num_rows).astype(np.int32))
+        kinds = pa.schema([("segment", pa.int32()), ("path", pa.string()), ("chunk_id", pa.int64()), ("tokens", pa.int32()), ("term", pa.string()), ("n", pa.int64())])
+        yield pa.RecordBatch.from_arrays([run.column("segment").cast(pa.int32()), run.column("path"), run.column("chunk_id"), sizes, none.cast(pa.string()), none.cast(pa.int64())], schema=kinds)
+        once = np.unique(np.asarray(coded.indices).astype(np.int64) * run.num_rows + at)
+        term, row = once // run.num_rows, once % run.num_rows
+        pairs, n = np.unique(segment[row] * max(1, len(coded.dictionary)) + term, return_counts=True)
+        terms = coded.dictionary.take(pa.array(pairs % max(1, len(coded.dictionary))))
+        none = pa.nulls(len(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array((pairs // max(1, len(coded.dictionary))).astype(np.int32)), none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int32()), terms, pa.array(n.astype(np.int64))], schema=kinds)
+
+
+_LOSSES = "segment int, path string, chunk_id long, tokens int, term string, n long"
+#: Blocks that a task hands over at a time.
+OUT_ROWS = 20_000
+
+
+def _to_cut(chunks: DataFrame, *more: str | Column) -> DataFrame:
+    """Columns for ``_occurrences``: Latin texts as they are, the tokens of others."""
+    texts = {"text": (F.coalesce("text", F.lit("")), bigrams), "symbol": (F.coalesce("symbol_name", F.lit("")), None), "path": (F.coalesce("path", F.lit("")), None)}
+    out = []
+    for name in lexical.COLUMNS:
+        text, prepare = texts[name]
+        plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(_BEYOND)
+        out += [F.when(plain, text).alias(f"a_{name}"), F.when(~plain, tokens(prepare(text) if prepare else text)).alias(f"t_{name}")]
+    return chunks.select("chunk_id", *more, *out)
 
 
 def write_segment(spark: SparkSession, store: str, ordinal: int, files: DataFrame, found: DataFrame) -> Segment:
@@ -152,15 +301,11 @@ def write_segment(spark: SparkSession, store: str, ordinal: int, files: DataFram
     dealt = dealt.withColumn("chunk_id", own).withColumn("range", F.shiftright("range", RANGE_CHUNKS.bit_length() - 1))
     dealt.withColumn("content_hash", F.sha2("text", 256)).select(*[c.split()[0] for c in CHUNKS.split(", ")], "range").write.parquet(f"{at}/chunks")
     stored = spark.read.schema(f"{CHUNKS}, range long").parquet(f"{at}/chunks")
-    made = _tokenised(stored, "range").withColumn("tier", test_tier(F.col("path"))).select("chunk_id", "range", F.col("dl").cast("int"), F.col("tier").cast("int"), *[f"t_{c}" for c in lexical.COLUMNS]).mapInArrow(_blocks, _BLOCKS)
-    chunks_ = stored.count()
-    buckets = max(1, min(4_096, chunks_ * 64 // BUCKET_BLOCKS))
-    laid = made.withColumn("bucket", _bucket(F.col("term"), buckets))
-    # a common term has blocks in all ranges, so a bucket may be dealt to several tasks
-    deals = max(1, chunks_ // BUCKET_CHUNKS)
-    laid.repartition("bucket", F.pmod("range", F.lit(deals))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
-    facts = spark.read.schema(f"{_BLOCKS}, bucket int").parquet(f"{at}/blocks").agg(F.count("*"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    return Segment(name, ordinal, chunks_, facts[1] or 0, buckets, facts[0], spark.read.schema(_FILES).parquet(f"{at}/files").count())
+    # a task writes the blocks of its own chunks, in the order of terms, so a search reads few pages of each file
+    cut = _to_cut(stored, "range", test_tier(F.col("path")).cast("int").alias("tier"))
+    cut.mapInArrow(_blocks, _BLOCKS).write.parquet(f"{at}/blocks")
+    facts = spark.read.schema(_BLOCKS).parquet(f"{at}/blocks").agg(F.count("*"), F.sum("tokens")).first()
+    return Segment(name, ordinal, stored.count(), facts[1] or 0, facts[0], spark.read.schema(_FILES).parquet(f"{at}/files").count())
 
 
 def _bounds(heads: list, asked: list[tuple[str, bool, set[int]]], idf: dict[int, float], mean: float) -> dict[str, list[tuple]]:
@@ -184,12 +329,6 @@ def _bounds(heads: list, asked: list[tuple[str, bool, set[int]]], idf: dict[int,
     return out
 
 
-def _tokenised(chunks: DataFrame, *more: str) -> DataFrame:
-    """Tokens by column and length of chunks, with further columns of theirs."""
-    symbol = F.coalesce("symbol_name", F.lit("")).alias("symbol")
-    return lexical.token_columns(chunks.select("chunk_id", "path", symbol, bigrams(F.col("text")).alias("text_bigram"), *more))
-
-
 _TOMBSTONES = "segment int, path string, chunk_id long, tokens int"
 _LOST = "segment int, term string, n long"
 _FILES = "path string, size long, mtime_ns long, content_hash string, indexed_at long"
@@ -222,13 +361,14 @@ class SegmentIndex:
     """The index in a folder: ``update`` it with the files of now, ``search`` it."""
 
     def __init__(self, spark: SparkSession, store: str):
+        ship(spark)
         self.spark, self.store = spark, store
 
     # -- what is there
 
     def manifest(self) -> dict | None:
         facts = index.read_marker(self.spark, self.store)
-        return facts if facts and "segments" in facts else None  # one of an older form is built anew
+        return facts if facts and "segments" in facts and facts.get("layout") == LAYOUT else None
 
     def segments(self, facts: dict | None = None) -> list[Segment]:
         facts = facts or self.manifest()
@@ -267,18 +407,16 @@ class SegmentIndex:
     def postings(self) -> DataFrame:
         """(term, chunk_id, col, pos) of every token that is alive, from the blocks."""
         facts = self.manifest()
-        x = self._of("blocks", f"{_BLOCKS}, bucket int", self.segments(facts)).select("segment", "term", F.explode(F.arrays_zip("chunk_ids", "places")).alias("p"))
-        x = x.select("segment", "term", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.places").alias("places"))
+        x = _unpacked(self._of("blocks", _BLOCKS, self.segments(facts)), ["segment", "term"], True)
         if facts["tombstones"]:
             x = x.join(self._gone(facts), ["segment", "chunk_id"], "left_anti")
         names = F.array(*map(F.lit, lexical.COLUMNS))
-        x = x.select("term", "chunk_id", F.explode("places").alias("p"))
-        return x.select("term", "chunk_id", F.get(names, F.shiftright("p", _PLACE_BITS)).alias("col"), F.col("p").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("pos"))
+        return x.select("term", "chunk_id", F.get(names, F.shiftright("place", _PLACE_BITS)).alias("col"), F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("pos"))
 
     def term_df(self) -> DataFrame:
         """(term, df) over live chunks; df comes from headers less what tombstones took."""
         facts = self.manifest()
-        heads = self._of("blocks", f"{_BLOCKS}, bucket int", self.segments(facts)).groupBy("term").agg(F.sum("n").alias("n"))
+        heads = self._of("blocks", _BLOCKS, self.segments(facts)).groupBy("term").agg(F.sum("n").alias("n"))
         lost = self._dead("lost", _LOST, facts).groupBy("term").agg(F.sum("n").alias("lost"))
         return heads.join(lost, "term", "left").select("term", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("df")).filter("df > 0")
 
@@ -322,7 +460,7 @@ class SegmentIndex:
             listed = listed.select("path", "size", "mtime_ns", "content_hash", F.lit(int(began)).cast("long").alias("indexed_at"))
             segments.append(write_segment(self.spark, self.store, ordinal, listed, own))
             ordinal += 1
-        facts = {"segments": [asdict(s) for s in segments], "tombstones": tombstones, "next": ordinal}
+        facts = {"layout": LAYOUT, "segments": [asdict(s) for s in segments], "tombstones": tombstones, "next": ordinal}
         facts = self._merge(facts)
         facts |= {"files": sum(s["files"] - s["dead_files"] for s in facts["segments"]), "chunks": sum(s["chunks"] - s["dead"] for s in facts["segments"]), "changes": done, "updated_at": int(began), "ms": round(1000 * (time.time() - began))}
         facts |= extra()
@@ -333,12 +471,12 @@ class SegmentIndex:
         """Tombstones of the live rows of ``paths``: files, chunks, and what each term loses."""
         name = f"tombstones-{uuid.uuid4().hex[:12]}"
         gone = stage(self._live("chunks", CHUNKS, facts, segments, ["path"]).join(paths, "path", "left_semi"), "gone")
-        words = _tokenised(gone, "segment")
+        ship(self.spark)
+        lost = stage(_to_cut(gone, "segment", "path").mapInArrow(_losses, _LOSSES), "losses")
         own = self._live("files", _FILES, facts, segments, ["path"]).join(paths, "path", "left_semi").select("segment", "path", F.lit(None).cast("long").alias("chunk_id"), F.lit(0).alias("tokens"))
-        rows = own.unionByName(words.select("segment", "path", "chunk_id", F.col("dl").cast("int").alias("tokens")))
+        rows = own.unionByName(lost.filter("term IS NULL").select("segment", "path", "chunk_id", "tokens"))
         rows.coalesce(8).write.parquet(f"{self.store}/{name}/rows")
-        terms = words.select("segment", F.explode(F.array_distinct(F.concat(*[f"t_{c}" for c in lexical.COLUMNS]))).alias("term"))
-        terms.groupBy("segment", "term").agg(F.count("*").alias("n")).coalesce(8).write.parquet(f"{self.store}/{name}/lost")
+        lost.filter("term IS NOT NULL").groupBy("segment", "term").agg(F.sum("n").alias("n")).write.parquet(f"{self.store}/{name}/lost")
         sums = self._read(f"{name}/rows", _TOMBSTONES).groupBy("segment").agg(F.count("chunk_id"), F.sum("tokens"), F.count_if(F.col("chunk_id").isNull())).collect()
         lost = {r[0]: r[1:] for r in sums}  # one row for each segment
         sum_ = lambda s, n, t, f: replace(s, dead=s.dead + n, dead_tokens=s.dead_tokens + t, dead_files=s.dead_files + f)
@@ -371,7 +509,7 @@ class SegmentIndex:
                 rows.coalesce(8).write.parquet(f"{self.store}/{name}/rows")
                 self._dead("lost", _LOST, facts).filter(~F.col("segment").isin(gone)).coalesce(8).write.parquet(f"{self.store}/{name}/lost")
                 tombstones = [name]
-        return {"segments": [asdict(s) for s in left], "tombstones": tombstones, "next": facts["next"] + 1}
+        return {"layout": LAYOUT, "segments": [asdict(s) for s in left], "tombstones": tombstones, "next": facts["next"] + 1}
 
     def vacuum(self) -> int:
         """Delete the folders that the manifest does not name; how many there were."""
@@ -411,12 +549,8 @@ class SegmentIndex:
         return self.spark.createDataFrame(out, schema), work
 
     def _entries(self, facts: dict, terms: list[str], columns: list[str]) -> DataFrame:
-        """Blocks of the terms, from the folders that can have them."""
-        each = []
-        for s in self.segments(facts):
-            own = sorted({zlib.crc32(t.encode()) % s.buckets for t in terms})
-            each.append(self._read(f"{s.name}/blocks", f"{_BLOCKS}, bucket int").filter(F.col("bucket").isin(own) & F.col("term").isin(terms)).select(*columns, F.lit(s.ordinal).alias("segment")))
-        return reduce(DataFrame.unionByName, each)
+        """Blocks of the terms; each file has them in order, so a short list of terms opens few of its pages."""
+        return self._of("blocks", _BLOCKS, self.segments(facts)).filter(F.col("term").isin(terms)).select(*columns, "segment")
 
     def _rung(self, facts: dict, asked: list[tuple], symbols: dict[str, list[str]], k: int, scope: str | None, work: dict) -> list[tuple]:
         """Rows of the best ``k`` chunks of each query by one rung."""
@@ -438,15 +572,13 @@ class SegmentIndex:
         narrow = (lambda df: df.coalesce(1)) if small else (lambda df: df)
         side = F.broadcast  # tables as long as the queries, which the driver holds
         alive = (lambda df: df.join(self._gone(facts), ["segment", "chunk_id"], "left_anti")) if facts["tombstones"] else (lambda df: df)
-        listed = ["range", "chunk_ids", "dls", "tfs"]
 
         def near(blocks: DataFrame, keep: DataFrame, few: list[int] | None) -> DataFrame:
             """Rows of the ranges to keep; a short list of them reaches the scan."""
             return narrow(blocks.join(keep, ["segment", "range"], "left_semi") if few is None else blocks.filter(F.col("range").isin(few)))
 
         def postings_of(blocks: DataFrame) -> DataFrame:
-            x = blocks.select("phrase", "segment", "range", F.explode(F.arrays_zip("chunk_ids", "dls", "tfs")).alias("p"))
-            return alive(x.select("phrase", "segment", "range", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.dls").alias("dl"), F.col("p.tfs").alias("tf")))
+            return alive(_unpacked(blocks, ["phrase", "segment", "range"]))
 
         heads, parts = [], []
         known = [(p, i) for p, i in single.items()]
@@ -454,7 +586,7 @@ class SegmentIndex:
             names = side(spark.createDataFrame(known, "term string, phrase int"))
             head = narrow(self._entries(facts, list(single), ["term", "range", "n", "max_tf", "min_dl", "tier", "named"])).join(names, "term")
             heads.append(head.select("phrase", "segment", "range", "n", "max_tf", "min_dl", "tier", "named"))
-            parts.append(lambda keep, few: postings_of(near(self._entries(facts, list(single), ["term", *listed]), keep, few).join(names, "term")))
+            parts.append(lambda keep, few: postings_of(near(self._entries(facts, list(single), ["term", "range", *_PACKED]), keep, few).join(names, "term")))
         if long:
             counted = stage(self._phrases(facts, long, alive), "phrases")
             tier = F.lit(0)  # the least there is bounds any
@@ -540,9 +672,8 @@ class SegmentIndex:
         rows = [(i, o, t, len(p)) for p, i in long.items() for o, t in enumerate(p)]
         asked = F.broadcast(self.spark.createDataFrame(rows, "phrase int, offset int, term string, size int"))
         terms = sorted({r[2] for r in rows})
-        x = self._entries(facts, terms, ["term", "range", "chunk_ids", "dls", "places"]).join(asked, "term")
-        x = x.select("phrase", "size", "offset", "segment", "range", F.explode(F.arrays_zip("chunk_ids", "dls", "places")).alias("p"))
-        x = x.select("phrase", "size", "segment", "range", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.dls").alias("dl"), F.explode(F.transform("p.places", lambda at: at - F.col("offset"))).alias("start"))
+        x = self._entries(facts, terms, ["term", "range", *_PACKED]).join(asked, "term")
+        x = _unpacked(x, ["phrase", "size", "offset", "segment", "range"], True).withColumn("start", F.col("place") - F.col("offset"))
         # a place that an offset takes below its column's first is in no phrase
         whole = x.groupBy("phrase", "size", "segment", "range", "chunk_id", "dl", "start").agg(F.count("*").alias("met")).filter("met = size")
         return alive(whole.groupBy("phrase", "segment", "range", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")))
