@@ -8,8 +8,8 @@ query's identifiers, any phrase; the first that finds something decides.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +177,8 @@ class _Board:
     asked: list[tuple[str, list[tuple[int, int]]]]  # query_id, (rung, column) in order
     named: dict[str, np.ndarray]  # symbol to the places in ``asked`` that name it
     k: int
+    idf: np.ndarray | None = None  # of each phrase, and the mean length, unless the rows have them
+    mean: float | None = None
 
     def best(self, ids: np.ndarray, tier: np.ndarray, symbols: list, at: np.ndarray, phrase: np.ndarray, s: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(query_id, rung, places, bm25, score) of the ``k`` best chunks by the first rung that finds some here."""
@@ -212,8 +214,10 @@ class _Board:
                 flat = entries.flatten()
                 number = lambda c: np.asarray(c, np.float64)
                 at = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(entries)))
-                tf, room = number(flat.field("tf")), 1 - B + B * number(batch.column("dl")) / number(batch.column("avgdl"))
-                s = number(flat.field("idf")) * (tf * (K1 + 1) / (tf + K1 * room[at]))
+                mean = number(batch.column("avgdl")) if self.mean is None else self.mean
+                tf, room = number(flat.field("tf")), 1 - B + B * number(batch.column("dl")) / mean
+                idf = number(flat.field("idf")) if self.idf is None else self.idf[np.asarray(flat.field("phrase"))]
+                s = idf * (tf * (K1 + 1) / (tf + K1 * room[at]))
                 ids, tier = np.asarray(batch.column("chunk_id")), np.asarray(batch.column("tier"))
                 out = list(self.best(ids, tier, batch.column("symbol").to_pylist(), at, np.asarray(flat.field("phrase")), s))
                 if out:
@@ -227,20 +231,8 @@ class _Board:
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", "rung", "chunk_id", "path", "start_line", "bm25", "score", "tier"])
 
 
-def search_many(postings_: DataFrame, lengths_: DataFrame, queries: dict[str, str], k: int = 10) -> DataFrame:
-    """What ``search`` finds in the whole corpus, for many or long queries.
-
-    A phrase is counted once, not for each query and rung that has it.  The phrases of
-    a chunk meet in one row, and chunks are scored against all queries in Arrow batches,
-    which return the ``k`` best of each query; so no row stands for a query, a phrase
-    and a chunk.
-    """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    from harrow.plans.ship import ship
-
-    spark = postings_.sparkSession
-    ship(spark)
+def _board(queries: dict[str, str], k: int) -> tuple[_Board, dict[tuple[str, ...], int]]:
+    """The queries as a board, and the number of each phrase."""
     numbers: dict[tuple[str, ...], int] = {}
     uses, every, wanted, asked, named = [], [], [], [], {}
     for query_id, text in queries.items():
@@ -256,7 +248,24 @@ def search_many(postings_: DataFrame, lengths_: DataFrame, queries: dict[str, st
         for symbol in identifiers(text):
             named.setdefault(symbol, []).append(len(asked))
         asked.append((query_id, columns))
-    board = _Board([np.array(u) for u in uses], np.array(every, bool), np.array(wanted), asked, {s: np.array(n) for s, n in named.items()}, k)
+    return _Board([np.array(u) for u in uses], np.array(every, bool), np.array(wanted), asked, {s: np.array(n) for s, n in named.items()}, k), numbers
+
+
+def search_many(postings_: DataFrame, lengths_: DataFrame, queries: dict[str, str], k: int = 10) -> DataFrame:
+    """What ``search`` finds in the whole corpus, for many or long queries.
+
+    A phrase is counted once, not for each query and rung that has it.  The phrases of
+    a chunk meet in one row, and chunks are scored against all queries in Arrow batches,
+    which return the ``k`` best of each query; so no row stands for a query, a phrase
+    and a chunk.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    from harrow.plans.ship import ship
+
+    spark = postings_.sparkSession
+    ship(spark)
+    board, numbers = _board(queries, k)
     phrases = spark.createDataFrame([(t, n, o, len(p)) for p, n in numbers.items() for o, t in enumerate(p)], "term string, phrase int, offset int, size int")
     alone = F.col("size") == 1
     hits = postings_.join(F.broadcast(phrases), "term")
@@ -269,8 +278,81 @@ def search_many(postings_: DataFrame, lengths_: DataFrame, queries: dict[str, st
     met = tf.join(F.broadcast(known), "phrase").groupBy("chunk_id").agg(F.collect_list(F.struct("phrase", "tf", "idf")).alias("entries"), F.first("avgdl").alias("avgdl"))
     rows = met.join(lengths_, "chunk_id").withColumn("tier", test_tier(F.col("path")))
     rows = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), "path", F.col("start_line").cast("int").alias("start_line"), F.col("tier").cast("int").alias("tier"), "symbol", "dl", "avgdl", "entries")
-    best = rows.mapInArrow(board, _MANY)
+    return _first_rung(rows.mapInArrow(board, _MANY), k)
+
+
+def _first_rung(best: DataFrame, k: int) -> DataFrame:
+    """Of the best rows by task, the ``k`` best of each query by the first rung that finds some."""
     order = Window.partitionBy("query_id").orderBy("rung", "tier", "score", "chunk_id")
     best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     least = F.min("rung").over(Window.partitionBy("query_id"))
     return best.withColumn("least", least).filter("rung = least").select("query_id", "rung", "rank", "chunk_id", "path", "start_line", "bm25", "score")
+
+
+def _phrase_counter(numbers: dict[tuple[str, ...], int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How often each phrase stands in each chunk: a chunk has all its tokens, so nothing needs to meet first."""
+    vocabulary = sorted({t for p in numbers for t in p})
+    code = {t: i for i, t in enumerate(vocabulary)}
+    single = np.full(len(vocabulary) + 1, -1, np.int64)  # the last is for words that no query has
+    for p, i in numbers.items():
+        if len(p) == 1:
+            single[code[p[0]]] = i
+    several = [(i, [code[t] for t in p]) for p, i in numbers.items() if len(p) > 1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SCORED_ROWS):
+                batch = whole.slice(lo, SCORED_ROWS)
+                met = []
+                for name in COLUMNS:
+                    column = batch.column(f"t_{name}")
+                    row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(column).fill_null(0)))
+                    term = np.asarray(pc.index_in(column.flatten(), value_set=known).fill_null(len(vocabulary))).astype(np.int64)
+                    phrase = single[term]
+                    met.append(row[phrase >= 0] * len(numbers) + phrase[phrase >= 0])
+                    order = np.argsort(term, kind="stable")
+                    edges = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+                    for i, terms in several:
+                        start = order[edges[terms[0]] : edges[terms[0] + 1]]
+                        start = start[start + len(terms) <= len(term)]
+                        for o, t in enumerate(terms[1:], 1):
+                            start = start[term[start + o] == t]
+                        start = start[row[start] == row[start + len(terms) - 1]]
+                        met.append(row[start] * len(numbers) + i)
+                pairs, tf = np.unique(np.concatenate(met), return_counts=True)
+                sizes = np.bincount(pairs // len(numbers), minlength=batch.num_rows)
+                entries = pa.StructArray.from_arrays([pa.array((pairs % len(numbers)).astype(np.int32)), pa.array(tf.astype(np.int64))], names=["phrase", "tf"])
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), entries)
+                kept = ["chunk_id", "path", "start_line", "tier", "symbol", "dl"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], listed], names=[*kept, "entries"])
+
+    return count
+
+
+def search_chunks(chunks: DataFrame, queries: dict[str, str], k: int = 10) -> DataFrame:
+    """What ``search_many`` finds, from chunks (chunk_id, text_bigram, symbol, path, start_line).
+
+    Phrases are counted where a chunk is cut into tokens, batch by batch, so no task
+    holds more than a batch, however large its part of the input.  What was counted is
+    staged; the driver gets a number for each phrase.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    from harrow.plans.scratch import stage
+    from harrow.plans.ship import ship
+
+    ship(chunks.sparkSession)
+    board, numbers = _board(queries, k)
+    if not numbers:
+        return _first_rung(chunks.sparkSession.createDataFrame([], _MANY), k)
+    x = token_columns(chunks).withColumn("tier", test_tier(F.col("path")))
+    x = x.select(F.col("chunk_id").cast("long").alias("chunk_id"), "path", F.col("start_line").cast("int").alias("start_line"), F.col("tier").cast("int").alias("tier"), "symbol", F.col("dl").cast("int").alias("dl"), *[f"t_{c}" for c in COLUMNS])
+    counted = stage(x.mapInArrow(_phrase_counter(numbers), "chunk_id long, path string, start_line int, tier int, symbol string, dl int, entries array<struct<phrase: int, tf: bigint>>"), "counted")
+    n, mean = counted.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(numbers))
+    for r in counted.select(F.explode("entries.phrase").alias("phrase")).groupBy("phrase").count().collect():  # one row for each phrase asked
+        df[r["phrase"]] = r["count"]
+    raw = np.log((n - df + 0.5) / (df + 0.5))
+    board = replace(board, idf=np.where(raw <= 0, LEAST_IDF, raw), mean=mean or 1.0)
+    return _first_rung(counted.filter(F.size("entries") > 0).mapInArrow(board, _MANY), k)

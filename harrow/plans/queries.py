@@ -190,8 +190,8 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_ladder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text, whole, as a query, first rung that finds something, five hits each, one plan."""
     asked = {str(r["item_id"]): r["text"] for r in table(spark, sf_dir, "benchmark").collect()}
-    p, n = _index(spark, sf_dir)
-    return lexical.search_many(p, n, asked, 5).select("query_id", "rung", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    found = docs_as_chunks(spark, sf_dir).withColumn("text_bigram", T.bigrams(F.col("text")))
+    return lexical.search_chunks(found, asked, 5).select("query_id", "rung", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS i, b AS bigrams FROM (VALUES (1, '数据 据库 连接'), (2, 'connect 数据 据库 pool'), (3, '连 a'), (4, 'plain text')) t(i, b)".replace("'数据 据库 连接'", "'数据 据库 库连 连接'"))
