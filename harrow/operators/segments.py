@@ -44,7 +44,7 @@ CLASS_CHUNKS = 1_000
 #: Bytes of text whose blocks are put in order together; what a task holds at a time.
 RUN_BYTES = 16 << 20
 #: The form of what is stored; an index of another form is built anew.
-LAYOUT = 2
+LAYOUT = 3
 #: Ranges of each query that are scored before any bound is compared.
 LEAD_RANGES = 4
 #: Sums of bounds and of scores add up in different orders; bounds are larger by this part.
@@ -53,14 +53,22 @@ SLACK = 1e-9
 QUERIES_AT_ONCE = 1_024
 #: Up to so many headers, and bounds of ranges, are held by the driver as a local table.
 ONE_TASK_HEADERS = 100_000
+#: The plans over an index of up to so many blocks are one task each.
+ONE_TASK_BLOCKS = 1_000_000
 #: Ranges up to this many are named in the filter of a scan.
 SCAN_RANGES = 1_000
+#: Hashes of paths that every task may hold, 16 bytes each, so that texts of other paths are not moved.
+HASHED_PATHS = 2_000_000
 
 CHUNKS = "chunk_id long, path string, seq int, start_line int, end_line int, symbol_kind string, symbol_name string, text string, lang string, low_confidence boolean, content_hash string"
-#: A block of one token has it in ``chunk_id`` and ``place``; its length and frequency are the header's.  Others are
-#: ``packed``: ids (8 bytes each), lengths, frequencies and places (4 bytes each), little-endian.
-_BLOCKS = "term string, range long, n int, max_tf int, min_dl int, tier int, named boolean, tokens int, chunk_id long, place int, packed binary"
-_PACKED = ["n", "tokens", "max_tf", "min_dl", "chunk_id", "place", "packed"]
+#: The blocks of one term in one run of a task are a row; ``range`` is the first one's, ``n`` and ``tokens`` are sums.
+#: ``heads`` has ``_HEAD`` words of 4 bytes for each block: range (2), n, tokens, max_tf, min_dl, and twice the tier plus
+#: one if a symbol has the term.  ``packed`` has the blocks in the same order, each with ids (8 bytes each), lengths,
+#: frequencies and places (4 bytes each), little-endian.
+_GROUPS = "term string, range long, blocks int, n int, tokens int, heads binary, packed binary"
+_HEAD = 7
+_BLOCKS = "range long, n int, tokens int, max_tf int, min_dl int, tier int, named boolean"
+_PACKED = ["n", "tokens", "packed"]
 _PLACE_BITS = 28
 
 
@@ -150,28 +158,58 @@ def _packing(n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
     return offsets, base + 2 * each, base + 2 * count + each, base + 3 * count + each, np.repeat(offsets[:-1] + 4 * n, tokens) + inner(tokens)
 
 
+def _words(raw: pa.Array) -> np.ndarray:
+    """Words of 4 bytes that binary values hold, one value after the other."""
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else [0]
+    return np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4") if ends[-1] > ends[0] else np.zeros(0, "<i4")
+
+
+def _binary(words: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Binary values of words of 4 bytes, cut at ``edges``."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def _opener(keys: list[str], packed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(keys.., what heads say, packed if asked) of every block of rows of blocks."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, *[c.split()[0] for c in _BLOCKS.split(", ")], *(["packed"] if packed else [])]
+        for batch in batches:
+            head = _words(batch.column("heads")).reshape(-1, _HEAD)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("blocks"))))
+            out = [batch.column(k).take(row) for k in keys]
+            out.append(pa.array(np.ascontiguousarray(head[:, :2]).view("<i8").ravel()))
+            out += [pa.array(np.ascontiguousarray(head[:, c])) for c in (2, 3, 4, 5)]
+            out += [pa.array(head[:, 6] >> 1), pa.array((head[:, 6] & 1) == 1)]
+            if packed:
+                words = _words(batch.column("packed"))
+                out.append(_binary(words, np.append(0, np.cumsum(4 * head[:, 2].astype(np.int64) + head[:, 3]))))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return opened
+
+
+def _opened(groups: DataFrame, keys: list[str], packed: bool) -> DataFrame:
+    """The blocks of rows of blocks, one row each."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups.select(*keys).schema]
+    columns = [*keys, "blocks", "heads", *(["packed"] if packed else [])]
+    return groups.select(*columns).mapInArrow(_opener(keys, packed), ", ".join([*kinds, _BLOCKS, *(["packed binary"] if packed else [])]))
+
+
 def _unpacker(keys: list[str], places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(keys.., chunk_id, dl, tf) of every posting of blocks, or (keys.., chunk_id, dl, place) of every token."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = lambda c: np.asarray(batch.column(c).fill_null(0))
-            n, tokens = number("n"), number("tokens")
-            lone, several = np.flatnonzero(tokens == 1), np.flatnonzero(tokens != 1)
-            raw = batch.column("packed")
-            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else [0]
-            words = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4") if ends[-1] > ends[0] else np.zeros(0, "<i4")
-            _, at_id, at_dl, at_tf, at_place = _packing(n[several], tokens[several])
-            row = np.repeat(several, n[several])
-            id_, dl, tf = np.stack([words[at_id], words[at_id + 1]], 1).astype("<i4").view("<i8").ravel(), words[at_dl], words[at_tf]
-            last = tf
+            n, tokens = np.asarray(batch.column("n")), np.asarray(batch.column("tokens"))
+            words = _words(batch.column("packed"))
+            _, at_id, at_dl, at_tf, at_place = _packing(n, tokens)
+            row = np.repeat(np.arange(batch.num_rows), n)
+            id_, dl, last = np.stack([words[at_id], words[at_id + 1]], 1).astype("<i4").view("<i8").ravel(), words[at_dl], words[at_tf]
             if places:
-                row, id_, dl, last = np.repeat(row, tf), np.repeat(id_, tf), np.repeat(dl, tf), words[at_place]
-            row = np.concatenate([row, lone])
+                row, id_, dl, last = np.repeat(row, last), np.repeat(id_, last), np.repeat(dl, last), words[at_place]
             out = [batch.column(k).take(pa.array(row)) for k in keys]
-            for own, of_lone, kind in ((id_, "chunk_id", np.int64), (dl, "min_dl", np.int32), (last, "place" if places else "max_tf", np.int32)):
-                out.append(pa.array(np.concatenate([own, number(of_lone)[lone]]).astype(kind)))
-            yield pa.RecordBatch.from_arrays(out, names=[*keys, "chunk_id", "dl", "place" if places else "tf"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(id_), pa.array(dl), pa.array(last)], names=[*keys, "chunk_id", "dl", "place" if places else "tf"])
 
     return unpack
 
@@ -182,7 +220,7 @@ def _unpacked(blocks: DataFrame, keys: list[str], places: bool = False) -> DataF
 
 
 def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Blocks of the chunks of one batch, one for each term and range, in that order."""
+    """Blocks of the chunks of one batch, one for each term and range, in that order; a row has all of a term."""
     at, places, coded = _occurrences(batch)
     if not len(at):
         return None
@@ -202,33 +240,33 @@ def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     tokens = np.diff(np.append(posting[starts], len(at))).astype(np.int32)
     dl, tier = np.bincount(at, minlength=batch.num_rows).astype(np.int32), np.asarray(batch.column("tier")).astype(np.int32)
     ids = np.asarray(batch.column("chunk_id"))
-    symbols = (places >> _PLACE_BITS) == lexical.COLUMNS.index("symbol")
+    symbols = np.flatnonzero((places >> _PLACE_BITS) == lexical.COLUMNS.index("symbol"))
     which = block[posting[starts]]
-    alone = tokens == 1
+    named = np.zeros(len(which), np.int32)
+    named[np.searchsorted(posting[starts], symbols, "right") - 1] = 1
     n = np.diff(edges)
-    kept, several = ~np.repeat(alone, n), np.flatnonzero(~alone)
-    offsets, at_id, at_dl, at_tf, at_place = _packing(n[several], tokens[several])
-    words = np.empty(offsets[-1], "<i4")
-    id_words = ids[doc[kept]].astype("<i8").view("<i4")
+    words, heads = np.empty((4 * n + tokens).sum(), "<i4"), np.empty((len(n), _HEAD), "<i4")
+    offsets, at_id, at_dl, at_tf, at_place = _packing(n, tokens)
+    id_words = ids[doc].astype("<i8").view("<i4")
     words[at_id], words[at_id + 1] = id_words[::2], id_words[1::2]
-    words[at_dl], words[at_tf], words[at_place] = dl[doc[kept]], tf[kept], places[np.repeat(kept, tf)]
-    sizes = np.zeros(len(n), np.int64)
-    sizes[several] = 4 * np.diff(offsets)
-    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(words)])
+    words[at_dl], words[at_tf], words[at_place] = dl[doc], tf, places
+    heads[:, :2] = ranges[which % len(ranges)].astype("<i8").view("<i4").reshape(-1, 2)
+    heads[:, 2], heads[:, 3] = n, tokens
+    heads[:, 4], heads[:, 5] = np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl[doc], starts)
+    heads[:, 6] = 2 * np.minimum.reduceat(tier[doc], starts) + named
+    term = which // len(ranges)
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    cuts = np.append(first, len(term))
     columns = [
-        coded.dictionary.take(by_name.take(pa.array(which // len(ranges)))),
-        pa.array(ranges[which % len(ranges)]),
-        pa.array(n, pa.int32()),
-        pa.array(np.maximum.reduceat(tf, starts)),
-        pa.array(np.minimum.reduceat(dl[doc], starts)),
-        pa.array(np.minimum.reduceat(tier[doc], starts)),
-        pa.array(np.logical_or.reduceat(symbols, posting[starts])),
-        pa.array(tokens),
-        pa.array(ids[doc[starts]], mask=~alone),
-        pa.array(places[posting[starts]], mask=~alone),
-        packed,
+        coded.dictionary.take(by_name.take(pa.array(term[first]))),
+        pa.array(ranges[which[first] % len(ranges)]),
+        pa.array(np.diff(cuts).astype(np.int32)),
+        pa.array(np.add.reduceat(n, first).astype(np.int32)),
+        pa.array(np.add.reduceat(tokens, first).astype(np.int32)),
+        _binary(heads, _HEAD * cuts),
+        _binary(words, offsets[cuts]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _GROUPS.split(", ")])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +331,11 @@ def write_segment(spark: SparkSession, store: str, ordinal: int, files: DataFram
     name = f"segment-{ordinal:06d}-{uuid.uuid4().hex[:8]}"
     at = f"{store}/{name}"
     files.write.parquet(f"{at}/files")
-    sort = [test_tier(F.col("path")), F.length("text"), F.col("path"), F.col("seq")]
+    # tier and length are one column of their own, or each comparison of a sort would make them anew from path and text
+    lead = F.shiftleft(test_tier(F.col("path")).cast("long"), 32) + F.length("text")
     row = F.monotonically_increasing_id()
-    dealt = found.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("range", row)
+    sort = ["lead", "path", "seq"]
+    dealt = found.withColumn("lead", lead).repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("range", row)
     made = F.lit(ordinal).cast("long") * (1 << 48) + F.shiftright("range", 33) * (1 << 30) + F.col("range").bitwiseAND(F.lit((1 << 33) - 1))
     own = F.coalesce(F.col("chunk_id"), made) if "chunk_id" in found.columns else made
     dealt = dealt.withColumn("chunk_id", own).withColumn("range", F.shiftright("range", RANGE_CHUNKS.bit_length() - 1))
@@ -303,8 +343,8 @@ def write_segment(spark: SparkSession, store: str, ordinal: int, files: DataFram
     stored = spark.read.schema(f"{CHUNKS}, range long").parquet(f"{at}/chunks")
     # a task writes the blocks of its own chunks, in the order of terms, so a search reads few pages of each file
     cut = _to_cut(stored, "range", test_tier(F.col("path")).cast("int").alias("tier"))
-    cut.mapInArrow(_blocks, _BLOCKS).write.parquet(f"{at}/blocks")
-    facts = spark.read.schema(_BLOCKS).parquet(f"{at}/blocks").agg(F.count("*"), F.sum("tokens")).first()
+    cut.mapInArrow(_blocks, _GROUPS).write.option("compression", "zstd").parquet(f"{at}/blocks")
+    facts = spark.read.schema(_GROUPS).parquet(f"{at}/blocks").agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.sum("tokens")).first()
     return Segment(name, ordinal, stored.count(), facts[1] or 0, facts[0], spark.read.schema(_FILES).parquet(f"{at}/files").count())
 
 
@@ -329,6 +369,14 @@ def _bounds(heads: list, asked: list[tuple[str, bool, set[int]]], idf: dict[int,
     return out
 
 
+def _of_paths(rows: DataFrame, paths: DataFrame, n: int) -> DataFrame:
+    """Rows of the ``n`` paths.  Where hashes of all of them are few, rows of other paths are left out before any join moves texts."""
+    if n <= HASHED_PATHS:
+        hashes = F.broadcast(paths.select(F.xxhash64("path").alias("path_hash")))
+        rows = rows.join(hashes, F.xxhash64(rows["path"]) == hashes["path_hash"], "left_semi")
+    return rows.join(paths, "path", "left_semi")
+
+
 _TOMBSTONES = "segment int, path string, chunk_id long, tokens int"
 _LOST = "segment int, term string, n long"
 _FILES = "path string, size long, mtime_ns long, content_hash string, indexed_at long"
@@ -407,16 +455,16 @@ class SegmentIndex:
     def postings(self) -> DataFrame:
         """(term, chunk_id, col, pos) of every token that is alive, from the blocks."""
         facts = self.manifest()
-        x = _unpacked(self._of("blocks", _BLOCKS, self.segments(facts)), ["segment", "term"], True)
+        x = _unpacked(_opened(self._of("blocks", _GROUPS, self.segments(facts)), ["segment", "term"], True), ["segment", "term"], True)
         if facts["tombstones"]:
             x = x.join(self._gone(facts), ["segment", "chunk_id"], "left_anti")
         names = F.array(*map(F.lit, lexical.COLUMNS))
         return x.select("term", "chunk_id", F.get(names, F.shiftright("place", _PLACE_BITS)).alias("col"), F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("pos"))
 
     def term_df(self) -> DataFrame:
-        """(term, df) over live chunks; df comes from headers less what tombstones took."""
+        """(term, df) over live chunks; df comes from the sums of rows of blocks less what tombstones took."""
         facts = self.manifest()
-        heads = self._of("blocks", _BLOCKS, self.segments(facts)).groupBy("term").agg(F.sum("n").alias("n"))
+        heads = self._of("blocks", _GROUPS, self.segments(facts)).groupBy("term").agg(F.sum("n").alias("n"))
         lost = self._dead("lost", _LOST, facts).groupBy("term").agg(F.sum("n").alias("lost"))
         return heads.join(lost, "term", "left").select("term", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("df")).filter("df > 0")
 
@@ -447,16 +495,17 @@ class SegmentIndex:
         done = {"new": 0, "changed": 0, "deleted": 0, "unchanged": 0} | counts
         segments, tombstones = self.segments(facts), list(facts["tombstones"])
         if done["changed"] or done["deleted"]:
-            segments, name = self._bury(facts, segments, status.filter("status IN ('changed', 'deleted')").select("path"))
+            segments, name = self._bury(facts, segments, status.filter("status IN ('changed', 'deleted')").select("path"), done["changed"] + done["deleted"])
             tombstones.append(name)
         ordinal = facts["next"]
         if done["new"] or done["changed"]:
             fresh = status.filter("status IN ('new', 'changed')").select("path")
-            listed = files.join(fresh, "path", "left_semi")
+            n, known = done["new"] + done["changed"], done["unchanged"]
+            listed = _of_paths(files, fresh, n) if known else files
             if callable(found):
                 listed, own = found(listed)
             else:
-                own = found.join(fresh, "path", "left_semi")
+                own = _of_paths(found, fresh, n) if known else found
             listed = listed.select("path", "size", "mtime_ns", "content_hash", F.lit(int(began)).cast("long").alias("indexed_at"))
             segments.append(write_segment(self.spark, self.store, ordinal, listed, own))
             ordinal += 1
@@ -467,10 +516,10 @@ class SegmentIndex:
         index.write_marker(self.spark, self.store, facts)
         return facts
 
-    def _bury(self, facts: dict, segments: list[Segment], paths: DataFrame) -> tuple[list[Segment], str]:
-        """Tombstones of the live rows of ``paths``: files, chunks, and what each term loses."""
+    def _bury(self, facts: dict, segments: list[Segment], paths: DataFrame, n: int) -> tuple[list[Segment], str]:
+        """Tombstones of the live rows of the ``n`` ``paths``: files, chunks, and what each term loses."""
         name = f"tombstones-{uuid.uuid4().hex[:12]}"
-        gone = stage(self._live("chunks", CHUNKS, facts, segments, ["path"]).join(paths, "path", "left_semi"), "gone")
+        gone = stage(_of_paths(self._live("chunks", CHUNKS, facts, segments, ["path"]), paths, n), "gone")
         ship(self.spark)
         lost = stage(_to_cut(gone, "segment", "path").mapInArrow(_losses, _LOSSES), "losses")
         own = self._live("files", _FILES, facts, segments, ["path"]).join(paths, "path", "left_semi").select("segment", "path", F.lit(None).cast("long").alias("chunk_id"), F.lit(0).alias("tokens"))
@@ -550,7 +599,8 @@ class SegmentIndex:
 
     def _entries(self, facts: dict, terms: list[str], columns: list[str]) -> DataFrame:
         """Blocks of the terms; each file has them in order, so a short list of terms opens few of its pages."""
-        return self._of("blocks", _BLOCKS, self.segments(facts)).filter(F.col("term").isin(terms)).select(*columns, "segment")
+        groups = self._of("blocks", _GROUPS, self.segments(facts)).filter(F.col("term").isin(terms))
+        return _opened(groups, ["segment", "term"], "packed" in columns).select(*columns, "segment")
 
     def _rung(self, facts: dict, asked: list[tuple], symbols: dict[str, list[str]], k: int, scope: str | None, work: dict) -> list[tuple]:
         """Rows of the best ``k`` chunks of each query by one rung."""
@@ -569,7 +619,7 @@ class SegmentIndex:
         ranges = sum(-(-s.chunks // RANGE_CHUNKS) for s in segments)
         # headers that few come to the driver, which then bounds ranges without a job
         small = max(len(terms), len(asked)) * ranges <= ONE_TASK_HEADERS
-        narrow = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+        narrow = (lambda df: df.coalesce(1)) if small and sum(s.headers for s in segments) <= ONE_TASK_BLOCKS else (lambda df: df)
         side = F.broadcast  # tables as long as the queries, which the driver holds
         alive = (lambda df: df.join(self._gone(facts), ["segment", "chunk_id"], "left_anti")) if facts["tombstones"] else (lambda df: df)
 

@@ -37,3 +37,27 @@ def test_blocks_are_written_without_a_shuffle(spark, tmp_path):
         keys = [(r["term"].encode(), r["range"]) for r in rows]
         assert keys == sorted(keys)
     assert index.postings().count() == facts["segments"][0]["tokens"] == index.lengths().agg(F.sum("dl")).first()[0]
+
+
+def test_a_run_has_one_row_for_a_term(spark, tmp_path):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 97}" for j in range(40)) for i in range(600)]
+    files = spark.createDataFrame([(f"src/{i}.py", len(t), 0, str(i)) for i, t in enumerate(texts)], "path string, size long, mtime_ns long, content_hash string")
+    found = spark.createDataFrame([(f"src/{i}.py", 0, 1, 1, None, None, t, "py", False) for i, t in enumerate(texts)], "path string, seq int, start_line int, end_line int, symbol_kind string, symbol_name string, text string, lang string, low_confidence boolean")
+    index = segments.SegmentIndex(spark, str(tmp_path / "store"))
+    made = segments.Segment(**index.update(files, found)["segments"][0])
+    stored = index._of("blocks", segments._GROUPS, [made])
+    blocks = segments._opened(stored, ["term"], True)
+    assert blocks.count() == made.headers == blocks.select("term", "range").distinct().count() > 1.5 * stored.count()
+    said = segments._unpacked(blocks, ["term", "range"]).groupBy("term", "range").agg(F.count("*").alias("c"), F.sum("tf").alias("t"), F.max("tf").alias("m"), F.min("dl").alias("d")).join(blocks, ["term", "range"])
+    assert said.filter("c != n OR t != tokens OR m != max_tf OR d != min_dl").isEmpty() and said.count() == made.headers
+
+
+def test_paths_are_picked_by_hash_or_not(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"p{i}", "x") for i in range(50)] + [(None, "x")], "path string, text string")
+    paths = spark.createDataFrame([(f"p{i}",) for i in range(40, 60)], "path string")
+    want = [f"p{i}" for i in range(40, 50)]
+    assert sorted(r.path for r in segments._of_paths(rows, paths, 20).collect()) == want
+    plan = segments._of_paths(rows, paths, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan
+    monkeypatch.setattr(segments, "HASHED_PATHS", 1)
+    assert sorted(r.path for r in segments._of_paths(rows, paths, 20).collect()) == want
