@@ -41,6 +41,11 @@ PIECE_TEXT, PIECE_DOCS = 8 << 20, 1 << 16
 FRAGMENT_TEXT = 8 << 20
 #: Fragments in which the overlaps of pairs are counted, one after the other.
 COUNTED = 4
+#: Grams whose frequencies one task counts at a time, and deals of them at least.
+DEAL_GRAMS, DEALS = 1 << 18, 16
+#: Of more nodes than this, grams in a fiftieth of a sample of about so many nodes come last in the order without being
+#: counted, or all nodes would meet in one deal; so many of them at most.
+HOT_NODES, HOT_SAMPLE, HOT_GRAMS = 100_000, 1_000, 10_000
 #: Entries of a list that one task compares others with.
 LIST_ROWS = 4096
 #: Bytes of a gram's hash that travel; the fragment adds the rest of its name.
@@ -50,6 +55,8 @@ _U = np.uint64
 _SENT = "piece long, fragment int, keys binary, who binary, known binary, docs binary"
 _SAID = "piece long, fragment int, keys binary, who binary, docs binary"
 _SETS = "doc_id long, th long, n long, digest binary, keys array<long>"
+_DEALT = "deal int, node long, n long, keys array<long>"
+_COUNTED = "node long, n long, grams array<struct<df:int,key:long>>"
 _DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("th", "<i8"), ("n", "<i8"), ("who", "<i4"), ("digest", "V16")])
 
 
@@ -214,11 +221,65 @@ def _gather(parts: int, whole: int):
     return gather
 
 
+def _hot(live: DataFrame, nodes: int) -> np.ndarray:
+    """Grams that stand in a large share of a sample of many nodes; they are shared for certain."""
+    if nodes <= HOT_NODES:
+        return np.zeros(0, np.int64)
+    some = live.filter(F.pmod(F.xxhash64("node"), F.lit(nodes // HOT_SAMPLE + 1)) == 0)
+    often = some.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") >= max(2, HOT_SAMPLE // 50))
+    return np.array([r["key"] for r in often.orderBy(F.desc("k"), "key").limit(HOT_GRAMS).collect()], np.int64)
+
+
+def _deal(deals: int, hot: np.ndarray):
+    """The grams of each node (node, n, keys), one row for each deal that it has some in; hot ones in a deal of the node's."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            keys = np.asarray(lists.flatten())
+            dealt = (kernels.mix(keys.view(_U)) % _U(deals)).astype(np.int64)
+            own = deals + (kernels.mix(np.asarray(batch.column("node")).view(_U)) % _U(deals)).astype(np.int64)
+            dealt = np.where(np.isin(keys, hot), own[row], dealt)
+            order = np.argsort(row * (2 * deals) + dealt, kind="stable")
+            row, keys, dealt = row[order], keys[order], dealt[order]
+            starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(dealt, prepend=-1) != 0))
+            at = pa.array(row[starts])
+            grams = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(dealt[starts].astype(np.int32)), batch.column("node").take(at), batch.column("n").take(at), grams], names=["deal", "node", "n", "keys"])
+
+    return deal
+
+
+def _frequencies(deals: int):
+    """For one deal: the grams of each node that another node has too, with the number of nodes that have them (hot: the most)."""
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("keys").combine_chunks()
+        row = np.repeat(np.arange(table.num_rows), np.asarray(lists.value_lengths()))
+        keys = np.asarray(lists.flatten())
+        if table.column("deal")[0].as_py() >= deals:
+            df = np.full(len(keys), np.iinfo(np.int32).max, np.int32)
+        else:
+            _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            df = counts[which].astype(np.int32)
+        row, keys, df = row[df > 1], keys[df > 1], df[df > 1]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        at = pa.array(row[starts])
+        grams = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(df), pa.array(keys)], ["df", "key"]))
+        return pa.Table.from_arrays([table.column("node").take(at), table.column("n").take(at), grams], names=["node", "n", "grams"])
+
+    return count
+
+
 def _lists(live: DataFrame, parts: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """(node, n, grams) of nodes that can link, and (mark, node, n, place): their first grams, rarest first."""
-    entries = live.select("node", "n", F.explode("keys").alias("key"))
-    often = entries.groupBy("key").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
-    ranked = entries.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("grams"))
+    nodes, total = live.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    deals = max(DEALS, -(-total // DEAL_GRAMS))
+    # a node's grams of one deal are one row, never a row each
+    counted = live.mapInArrow(_deal(deals, _hot(live, nodes)), _DEALT).groupBy("deal").applyInArrow(_frequencies(deals), _COUNTED)
+    ranked = counted.groupBy("node", "n").agg(F.sort_array(F.flatten(F.collect_list("grams"))).alias("grams"))
     private = F.col("n") - F.size("grams")
     ranked = ranked.withColumn("private", private).withColumn("first", F.expr(f"cast(n + floor(-({parts} * n) / {whole}) + 1 - private as int)")).filter("first > 0")
     ranked = stage(ranked.select("node", "n", "private", "first", F.col("grams.key").alias("grams")), "ranked")

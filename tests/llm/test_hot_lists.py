@@ -38,3 +38,33 @@ def test_boilerplate_forms_no_pairs(spark):
     words = " ".join(f"w{i}" for i in range(28))
     docs = spark.createDataFrame([(i, f"a{i} {words} b{i}") for i in range(500)], "doc_id long, text string")
     assert all(r.doc_id == r.component_id for r in jaccard_components(docs).collect())
+
+
+@pytest.mark.parametrize("hot_nodes", [100_000, 50])
+def test_frequencies_make_no_row_for_each_gram(spark, monkeypatch, hot_nodes):
+    """Near copies of one text have all its grams; their frequencies are counted without a row for each of them."""
+    monkeypatch.setattr(vertical_join, "DEAL_GRAMS", 500)
+    monkeypatch.setattr(vertical_join, "HOT_NODES", hot_nodes)
+    r = random.Random(5)
+    sets = {node: sorted({*r.sample(range(200), 190), *range(1000 * node, 1000 * node + 10)}) for node in range(1, 60)} | {60: [-1], 61: [-1, 7]}
+    plans = []
+    monkeypatch.setattr(vertical_join, "stage", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or df)
+    live = spark.createDataFrame([(node, len(s), s) for node, s in sets.items()], "node long, n long, keys array<long>").repartition(3)
+    ranked, _ = vertical_join._lists(live, 80, 100)
+    df = {}
+    for s in sets.values():
+        for g in s:
+            df[g] = df.get(g, 0) + 1
+    if hot_nodes < len(sets):  # all nodes are the sample
+        hot = {g for g in df if df[g] >= vertical_join.HOT_SAMPLE // 50}
+        assert len(hot) == 200
+        df |= dict.fromkeys(hot, 2**31 - 1)
+    want = {}
+    for node, s in sets.items():
+        grams = sorted((g for g in s if df[g] > 1), key=lambda g: (df[g], g))
+        first = len(s) + (-80 * len(s)) // 100 + 1 - (len(s) - len(grams))
+        if grams and first > 0:
+            want[node] = (len(s), len(s) - len(grams), first, grams)
+    assert {x.node: (x.n, x.private, x.first, x.grams) for x in ranked.collect()} == want
+    (plan,) = [p for label, p in plans if label == "ranked"]
+    assert "Generate" not in plan and "Join" not in plan
