@@ -105,16 +105,18 @@ def _latin_fold() -> tuple[np.ndarray, np.ndarray]:
 #: Texts without a character beyond this are cut into words by tasks in one sweep over their bytes.
 _BEYOND = "[^\\x00-\\u017f]"
 _FIRST, _SECOND = _latin_fold()
+#: What becomes of a byte that is a character; others are looked up by two.
+_OF_BYTE = np.append(_FIRST[:128], np.zeros(128, np.uint8))
 
 
 def _latin_words(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
     """Row and word of every token of texts up to U+017F, as ``functions.text.tokens`` cuts them."""
     if not len(texts) or texts.buffers()[2] is None:
-        return np.zeros(0, np.int64), pa.array([], pa.string())
+        return np.zeros(0, np.int32), pa.array([], pa.string())
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     source = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     edges = offsets.astype(np.int64) - offsets[0]
-    raw = np.where(source < 128, _FIRST[source & 127], 0).astype(np.uint8)
+    raw = _OF_BYTE[source]
     word = raw != 0
     lead = np.flatnonzero((source >= 0xC2) & (source <= 0xC5))
     code = ((source[lead] & 0x1F).astype(np.int32) << 6) | (source[lead + 1] & 0x3F)
@@ -127,10 +129,11 @@ def _latin_words(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
     starts = np.flatnonzero(starts)
     if not len(starts):
         return starts, pa.array([], pa.string())
-    sizes = np.add.reduceat((raw != 0).astype(np.int32), starts)
-    bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw[raw != 0]))
-    return np.searchsorted(edges, starts, "right") - 1, words
+    keep = raw != 0
+    sizes = np.add.reduceat(keep.view(np.uint8), starts, dtype=np.int32)
+    bounds = np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw[keep]))
+    return np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(starts, edges))), words
 
 
 def _occurrences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
@@ -138,16 +141,24 @@ def _occurrences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Dict
     at, places, words = [], [], []
     for c, name in enumerate(lexical.COLUMNS):
         plain, cut = batch.column(f"a_{name}"), batch.column(f"t_{name}")
-        own = np.flatnonzero(np.asarray(plain.is_valid()))
+        own = np.flatnonzero(np.asarray(plain.is_valid())).astype(np.int32)
         rows, found = _latin_words(plain.drop_null())
         others = np.asarray(cut.value_lengths().fill_null(0)).astype(np.int64)
-        for which, tokens in ((own[rows], found), (np.repeat(np.arange(batch.num_rows), others), cut.flatten())):
+        for which, tokens in ((own[rows], found), (np.repeat(np.arange(batch.num_rows, dtype=np.int32), others), cut.flatten())):
             first = np.flatnonzero(np.diff(which, prepend=-1))
-            run = np.repeat(first, np.diff(np.append(first, len(which))))
+            run = np.repeat(first.astype(np.int32), np.diff(np.append(first, len(which))))
             at.append(which)
-            places.append((c << _PLACE_BITS) + np.arange(len(which)) - run)
+            places.append(np.arange(c << _PLACE_BITS, (c << _PLACE_BITS) + len(which), dtype=np.int32) - run)
             words.append(tokens)
-    return np.concatenate(at), np.concatenate(places).astype(np.int32), pa.concat_arrays(words).dictionary_encode()
+    return np.concatenate(at), np.concatenate(places), pa.concat_arrays(words).dictionary_encode()
+
+
+def _order(numbers: np.ndarray, end: int) -> np.ndarray:
+    """Stable order of numbers below ``end``; each is sorted with its place where both fit in a word, which is faster."""
+    bits = len(numbers).bit_length()
+    if end << bits >= 1 << 63:
+        return np.argsort(numbers, kind="stable")
+    return np.sort(numbers << bits | np.arange(len(numbers))) & ((1 << bits) - 1)
 
 
 def _packing(n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -229,7 +240,7 @@ def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     rank[np.asarray(by_name)] = np.arange(len(by_name))
     ranges, row_range = np.unique(np.asarray(batch.column("range")), return_inverse=True)
     block = rank[np.asarray(coded.indices)] * len(ranges) + row_range[at]
-    order = np.argsort(block * batch.num_rows + at, kind="stable")  # columns and places ascend already
+    order = _order(block * batch.num_rows + at, len(rank) * len(ranges) * batch.num_rows)  # columns and places ascend already
     block, at, places = block[order], at[order], places[order]
     new_block = np.diff(block, prepend=-1) != 0
     posting = np.flatnonzero(new_block | (np.diff(at, prepend=-1) != 0))
@@ -343,7 +354,9 @@ def write_segment(spark: SparkSession, store: str, ordinal: int, files: DataFram
     stored = spark.read.schema(f"{CHUNKS}, range long").parquet(f"{at}/chunks")
     # a task writes the blocks of its own chunks, in the order of terms, so a search reads few pages of each file
     cut = _to_cut(stored, "range", test_tier(F.col("path")).cast("int").alias("tier"))
-    cut.mapInArrow(_blocks, _GROUPS).write.option("compression", "zstd").parquet(f"{at}/blocks")
+    # values of these hardly repeat, so a dictionary of them would be built in vain
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("heads", "packed")}
+    cut.mapInArrow(_blocks, _GROUPS).write.options(compression="zstd", **plain, **{"parquet.compression.codec.zstd.level": "1"}).parquet(f"{at}/blocks")
     facts = spark.read.schema(_GROUPS).parquet(f"{at}/blocks").agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.sum("tokens")).first()
     return Segment(name, ordinal, stored.count(), facts[1] or 0, facts[0], spark.read.schema(_FILES).parquet(f"{at}/files").count())
 
@@ -369,6 +382,11 @@ def _bounds(heads: list, asked: list[tuple[str, bool, set[int]]], idf: dict[int,
     return out
 
 
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, without the Python workers that an empty list of rows is given to."""
+    return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*")
+
+
 def _of_paths(rows: DataFrame, paths: DataFrame, n: int) -> DataFrame:
     """Rows of the ``n`` paths.  Where hashes of all of them are few, rows of other paths are left out before any join moves texts."""
     if n <= HASHED_PATHS:
@@ -427,11 +445,11 @@ class SegmentIndex:
 
     def _of(self, part: str, schema: str, segments: list[Segment]) -> DataFrame:
         each = [self._read(f"{s.name}/{part}", schema).withColumn("segment", F.lit(s.ordinal)) for s in segments]
-        return reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], f"{schema}, segment int")
+        return reduce(DataFrame.unionByName, each) if each else _none(self.spark, f"{schema}, segment int")
 
     def _dead(self, part: str, schema: str, facts: dict) -> DataFrame:
         each = [self._read(f"{t}/{part}", schema) for t in facts["tombstones"]]
-        return reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, each) if each else _none(self.spark, schema)
 
     def _live(self, part: str, schema: str, facts: dict, segments: list[Segment], on: list[str]) -> DataFrame:
         rows = self._of(part, schema, segments)
@@ -489,9 +507,11 @@ class SegmentIndex:
         """
         began = time.time()
         facts = (None if anew else self.manifest()) or {"segments": [], "tombstones": [], "next": 1}
-        before = self.files(facts) if facts["segments"] else self.spark.createDataFrame([], _FILES)
-        status = stage(index.changes(before.select("path", "content_hash"), files), "changes")
-        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+        if facts["segments"]:
+            status = stage(index.changes(self.files(facts).select("path", "content_hash"), files), "changes")
+            counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+        else:  # all files are new, and none of them need be hashed or moved to tell
+            counts = {"new": files.count()}
         done = {"new": 0, "changed": 0, "deleted": 0, "unchanged": 0} | counts
         segments, tombstones = self.segments(facts), list(facts["tombstones"])
         if done["changed"] or done["deleted"]:
@@ -499,8 +519,8 @@ class SegmentIndex:
             tombstones.append(name)
         ordinal = facts["next"]
         if done["new"] or done["changed"]:
-            fresh = status.filter("status IN ('new', 'changed')").select("path")
             n, known = done["new"] + done["changed"], done["unchanged"]
+            fresh = status.filter("status IN ('new', 'changed')").select("path") if known else None
             listed = _of_paths(files, fresh, n) if known else files
             if callable(found):
                 listed, own = found(listed)

@@ -2,6 +2,7 @@
 
 import pathlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -61,3 +62,31 @@ def test_paths_are_picked_by_hash_or_not(spark, monkeypatch):
     assert "xxhash64" in plan
     monkeypatch.setattr(segments, "HASHED_PATHS", 1)
     assert sorted(r.path for r in segments._of_paths(rows, paths, 20).collect()) == want
+
+
+def test_first_build_compares_nothing_and_starts_no_python_for_empty_tables(spark, tmp_path, monkeypatch):
+    """An empty index has no files to compare with, and its missing tables are made without lists of rows."""
+    from harrow.operators import index
+
+    files = spark.createDataFrame([("a.txt", 1, 0, "x"), ("b.txt", 1, 0, "y")], "path string, size long, mtime_ns long, content_hash string")
+    found = spark.createDataFrame([(p, 0, 1, 1, None, None, t, "en", False) for p, t in (("a.txt", "one two"), ("b.txt", "two é"))], ", ".join(c for c in segments.CHUNKS.split(", ") if not c.startswith(("chunk_id", "content_hash"))))
+
+    def refuse(*_):
+        raise AssertionError("not needed")
+
+    made = segments.SegmentIndex(spark, str(tmp_path / "store"))
+    with monkeypatch.context() as m:
+        m.setattr(index, "changes", refuse)
+        m.setattr(type(spark), "createDataFrame", refuse)
+        done = made.update(files, found)["changes"]
+        got = {(r.term, r.df) for r in made.term_df().collect()}
+    assert done == {"new": 2, "changed": 0, "deleted": 0, "unchanged": 0}
+    assert got == {("one", 1), ("two", 2), ("e", 1), ("a", 1), ("b", 1), ("txt", 2)}
+    assert made.update(files.limit(0), found)["changes"]["deleted"] == 2
+    assert made.term_df().isEmpty()
+
+
+def test_order_is_stable():
+    numbers = np.random.default_rng(3).integers(0, 50, 10_000)
+    want = np.argsort(numbers, kind="stable").tolist()
+    assert segments._order(numbers, 50).tolist() == want == segments._order(numbers, 1 << 60).tolist()
