@@ -215,7 +215,7 @@ def _connect(marks: DataFrame, sets: DataFrame, sketched: DataFrame, words: int,
     pairs = _pairs(met)
     if not main.filter(crowded).isEmpty():
         nodes = open_.join(main.filter(crowded), "mark", "left_semi").select(F.col("x.node").alias("node")).distinct()
-        _, lists = vertical_join._lists(sets.join(nodes, "node", "left_semi"), parts, whole)
+        _, lists = vertical_join._lists(stage(sets.join(nodes, "node", "left_semi"), "crowd"), parts, whole)
         rows = lists.join(labels, "node").select("mark", F.struct("node", "n", "place", "label").alias("x"))
         pairs = pairs.unionByName(vertical_join.across(rows, parts, whole)).distinct()
     found = confirmed(stage(pairs, "pairs"), sets, parts, whole)

@@ -22,6 +22,7 @@ of a list that could connect two components is compared after that.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +42,11 @@ PIECE_TEXT, PIECE_DOCS = 8 << 20, 1 << 16
 FRAGMENT_TEXT = 8 << 20
 #: Fragments in which the overlaps of pairs are counted, one after the other.
 COUNTED = 4
-#: Grams whose frequencies one task counts at a time, and deals of them at least.
-DEAL_GRAMS, DEALS = 1 << 18, 16
+#: Grams of a bundle of nodes, and of a deal whose frequencies are counted together, at least; deals at least.  Both hold so
+#: many times the root of all grams, so that the rows from each bundle to each deal grow as the grams do, not as their square.
+DEAL_GRAMS, DEALS, ROOT_GRAMS = 1 << 15, 16, 32
 #: Of more nodes than this, grams in a fiftieth of a sample of about so many nodes come last in the order without being
-#: counted, or all nodes would meet in one deal; so many of them at most.
+#: counted; so many of them at most.
 HOT_NODES, HOT_SAMPLE, HOT_GRAMS = 100_000, 1_000, 10_000
 #: Entries of a list that one task compares others with.
 LIST_ROWS = 4096
@@ -55,8 +57,10 @@ _U = np.uint64
 _SENT = "piece long, fragment int, keys binary, who binary, known binary, docs binary"
 _SAID = "piece long, fragment int, keys binary, who binary, docs binary"
 _SETS = "doc_id long, th long, n long, digest binary, keys array<long>"
-_DEALT = "deal int, node long, n long, keys array<long>"
-_COUNTED = "node long, n long, grams array<struct<df:int,key:long>>"
+_SENT_BUNDLE = "deal int, bundle long, keys binary, counts binary, own binary"
+_RANKED = "node long, n long, private long, first int, grams array<long>"
+#: Stands for the frequency of grams that are not counted.
+_MOST = np.iinfo(np.int32).max
 _DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("th", "<i8"), ("n", "<i8"), ("who", "<i4"), ("digest", "V16")])
 
 
@@ -230,59 +234,101 @@ def _hot(live: DataFrame, nodes: int) -> np.ndarray:
     return np.array([r["key"] for r in often.orderBy(F.desc("k"), "key").limit(HOT_GRAMS).collect()], np.int64)
 
 
-def _deal(deals: int, hot: np.ndarray):
-    """The grams of each node (node, n, keys), one row for each deal that it has some in; hot ones in a deal of the node's."""
+def _send_bundle(bundle: int, held: list[pa.RecordBatch], deals: int, hot: np.ndarray) -> pa.RecordBatch:
+    """The distinct grams of some nodes and how many of these have each, a row for each deal; hot ones stay with the nodes (deal -1)."""
+    node, n = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("node", "n"))
+    size = np.concatenate([np.asarray(b.column("keys").value_lengths()) for b in held]).astype("<i8")
+    keys, at, counts = np.unique(np.concatenate([np.asarray(b.column("keys").flatten()) for b in held]), return_inverse=True, return_counts=True)
+    dealt = (kernels.mix(keys.view(_U)) % _U(deals)).astype(np.int64)
+    dealt[np.isin(keys, hot)] = -1
+    order = np.argsort(dealt, kind="stable")
+    place = np.empty(len(order), "<i4")
+    place[order] = np.arange(len(order))
+    keys, counts, dealt = keys[order], np.where(dealt < 0, _MOST, counts)[order].astype("<i4"), dealt[order]
+    some = np.unique(np.append(dealt, -1))
+    edges = np.append(np.searchsorted(dealt, some), len(keys))
+    own = np.array([len(some), len(keys), len(node)], "<i8").tobytes() + np.concatenate([node, n, size]).astype("<i8").tobytes() + place[at].tobytes()
+    rows = [(d, bundle, keys[lo:hi].tobytes(), counts[lo:hi].tobytes(), own if d < 0 else None) for d, lo, hi in zip(some.tolist(), edges[:-1], edges[1:], strict=True)]
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["deal", "bundle", "keys", "counts", "own"])
+
+
+def _bundles(deals: int, grams: int, hot: np.ndarray):
+    """What nodes (node, n, keys) send, in bundles of about so many grams."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            lists = batch.column("keys")
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            keys = np.asarray(lists.flatten())
-            dealt = (kernels.mix(keys.view(_U)) % _U(deals)).astype(np.int64)
-            own = deals + (kernels.mix(np.asarray(batch.column("node")).view(_U)) % _U(deals)).astype(np.int64)
-            dealt = np.where(np.isin(keys, hot), own[row], dealt)
-            order = np.argsort(row * (2 * deals) + dealt, kind="stable")
-            row, keys, dealt = row[order], keys[order], dealt[order]
-            starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(dealt, prepend=-1) != 0))
-            at = pa.array(row[starts])
-            grams = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(dealt[starts].astype(np.int32)), batch.column("node").take(at), batch.column("n").take(at), grams], names=["deal", "node", "n", "keys"])
-
-    return deal
-
-
-def _frequencies(deals: int):
-    """For one deal: the grams of each node that another node has too, with the number of nodes that have them (hot: the most)."""
-
-    def count(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        lists = table.column("keys").combine_chunks()
-        row = np.repeat(np.arange(table.num_rows), np.asarray(lists.value_lengths()))
-        keys = np.asarray(lists.flatten())
-        if table.column("deal")[0].as_py() >= deals:
-            df = np.full(len(keys), np.iinfo(np.int32).max, np.int32)
-        else:
-            _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            df = counts[which].astype(np.int32)
-        row, keys, df = row[df > 1], keys[df > 1], df[df > 1]
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        at = pa.array(row[starts])
-        grams = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(df), pa.array(keys)], ["df", "key"]))
-        return pa.Table.from_arrays([table.column("node").take(at), table.column("n").take(at), grams], names=["node", "n", "grams"])
+            ends = np.concatenate([[0], np.cumsum(np.asarray(batch.column("keys").value_lengths()))])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + grams - size, side="right")) - 1)
+                held.append(batch.slice(lo, hi - lo))
+                size, lo = size + int(ends[hi] - ends[lo]), hi
+                if size >= grams:
+                    yield _send_bundle(bundle, held, deals, hot)
+                    bundle, held, size = bundle + 1, [], 0
+        if held:
+            yield _send_bundle(bundle, held, deals, hot)
+
+    return scan
+
 
-    return count
+def _frequencies(table: pa.Table) -> pa.Table:
+    """For one deal: the number of nodes of all bundles that have each gram a bundle sent.  What bundles keep for themselves passes."""
+    table = table.select(["deal", "bundle", "keys", "counts", "own"])
+    if table.column("deal")[0].as_py() < 0:
+        return table
+    sent = table.column("keys").to_pylist()
+    _, which = np.unique(np.frombuffer(b"".join(sent), "<i8"), return_inverse=True)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4")
+    df = np.minimum(np.bincount(which, counts), _MOST).astype("<i4")[which].tobytes()
+    edges = np.cumsum([0, *(len(x) // 2 for x in sent)])  # 4 bytes for each 8
+    return table.set_column(3, "counts", pa.array([df[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+
+
+def _rank(parts: int, whole: int):
+    """For one bundle: the nodes that can link, with their grams that another node has too, rarest first."""
+
+    def rank(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["deal"])
+        own = rows[0]["own"]
+        sent, names, nodes = np.frombuffer(own, "<i8", 3).tolist()
+        keys, df = np.frombuffer(b"".join(r["keys"] for r in rows), "<i8"), np.frombuffer(b"".join(r["counts"] for r in rows), "<i4")
+        if (sent, names) != (len(rows), len(keys)):
+            raise RuntimeError("a bundle of nodes was cut differently when it was read again")
+        node, n, size = np.frombuffer(own, "<i8", 3 * nodes, 24).reshape(3, nodes)
+        at = np.frombuffer(own, "<i4", offset=24 * (nodes + 1))
+        row = np.repeat(np.arange(nodes), size)
+        shared = df[at] > 1
+        row, at = row[shared], at[shared]
+        private = n - np.bincount(row, minlength=nodes)
+        first = first_grams(n, parts, whole) - private
+        can = first > 0
+        row, at = row[can[row]], at[can[row]]
+        by = np.lexsort((keys, df))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        order = np.argsort(row * len(by) + place[at])
+        ends = np.concatenate([[0], np.cumsum((n - private)[can])]).astype(np.int32)
+        grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[order]]))
+        return pa.Table.from_arrays([pa.array(node[can]), pa.array(n[can]), pa.array(private[can]), pa.array(first[can].astype(np.int32)), grams], names=["node", "n", "private", "first", "grams"])
+
+    return rank
 
 
 def _lists(live: DataFrame, parts: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n, grams) of nodes that can link, and (mark, node, n, place): their first grams, rarest first."""
+    """(node, n, grams) of nodes that can link, and (mark, node, n, place): their first grams, rarest first.
+
+    ``live`` is read more than once and has its rows in the same order each time.
+    """
     nodes, total = live.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-    deals = max(DEALS, -(-total // DEAL_GRAMS))
-    # a node's grams of one deal are one row, never a row each
-    counted = live.mapInArrow(_deal(deals, _hot(live, nodes)), _DEALT).groupBy("deal").applyInArrow(_frequencies(deals), _COUNTED)
-    ranked = counted.groupBy("node", "n").agg(F.sort_array(F.flatten(F.collect_list("grams"))).alias("grams"))
-    private = F.col("n") - F.size("grams")
-    ranked = ranked.withColumn("private", private).withColumn("first", F.expr(f"cast(n + floor(-({parts} * n) / {whole}) + 1 - private as int)")).filter("first > 0")
-    ranked = stage(ranked.select("node", "n", "private", "first", F.col("grams.key").alias("grams")), "ranked")
+    each = max(DEAL_GRAMS, ROOT_GRAMS * math.isqrt(total))
+    deals = max(DEALS, -(-total // each))
+    sent = live.select("node", "n", "keys").mapInArrow(_bundles(deals, each, _hot(live, nodes)), _SENT_BUNDLE)
+    # what a bundle keeps for itself goes to any task
+    counted = sent.groupBy(F.when(F.col("deal") < 0, -F.col("bundle") - 1).otherwise(F.col("deal").cast("long")).alias("task")).applyInArrow(_frequencies, _SENT_BUNDLE)
+    ranked = stage(counted.groupBy("bundle").applyInArrow(_rank(parts, whole), _RANKED), "ranked")
     marks = ranked.select("node", "n", "private", F.posexplode(F.slice("grams", F.lit(1), F.col("first"))).alias("i", "mark")).select("mark", "node", "n", (F.col("private") + F.col("i")).alias("place"))
     twice = marks.groupBy("mark").agg(F.count("*").alias("k")).filter("k > 1")
     return ranked, stage(marks.join(twice, "mark").select("mark", "node", "n", "place", "k"), "marks")

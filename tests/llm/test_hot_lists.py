@@ -68,3 +68,33 @@ def test_frequencies_make_no_row_for_each_gram(spark, monkeypatch, hot_nodes):
     assert {x.node: (x.n, x.private, x.first, x.grams) for x in ranked.collect()} == want
     (plan,) = [p for label, p in plans if label == "ranked"]
     assert "Generate" not in plan and "Join" not in plan
+
+
+def _arrow_rows(plan):
+    """Rows that the Python steps of an executed plan have made."""
+    name, children = plan.nodeName(), plan.children()
+    if name == "AdaptiveSparkPlan":
+        return _arrow_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _arrow_rows(plan.plan())
+    own = plan.metrics().get("pythonNumRowsReceived").get().value() if "InArrow" in name else 0
+    return own + sum(_arrow_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_counting_grams_makes_no_row_for_each_node_and_deal(spark, monkeypatch):
+    """Five times the nodes need five times the deals; rows that carry grams to deals and back grow no faster than the nodes."""
+    monkeypatch.setattr(vertical_join, "DEAL_GRAMS", 500)
+    r = random.Random(7)
+    made = []
+
+    def counted(df, label):
+        if label == "ranked":
+            df.collect()
+            made.append(_arrow_rows(df._jdf.queryExecution().executedPlan()))
+        return df
+
+    monkeypatch.setattr(vertical_join, "stage", counted)
+    for nodes in (20, 100):
+        rows = [(node, 2000, sorted(r.sample(range(50 * nodes, 10_000 + 50 * nodes), 2000))) for node in range(nodes)]
+        vertical_join._lists(spark.createDataFrame(rows, "node long, n long, keys array<long>").coalesce(1), 90, 100)
+    assert 20 <= made[0] and made[1] <= 5 * made[0], made
